@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harvestry.llm import lines, packing, simhash
+from harvestry.llm import langid, lines, packing, simhash, toxicity, transport, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_simhash": simhash.op3_simhash,
+        "op4_transport_stream": transport.op4_transport_stream,
         "op6_packing": packing.op6_packing,
+        "op7_embedding_dedup": vectors.op7_embedding_dedup,
+        "op9_language_id": langid.op9_language_id,
         "op10_line_dedup": lines.op10_line_dedup,
     }
 
