@@ -6,18 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harvestry.llm import langid, lines, packing, simhash, toxicity, transport, vectors
+import corpus_pipeline
+from harvestry.llm import langid, licenses, lines, packing, pieces, scoring, simhash, toxicity, transport, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": licenses.op1_license_scan,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_simhash": simhash.op3_simhash,
         "op4_transport_stream": transport.op4_transport_stream,
+        "op5_lm_scoring": scoring.op5_lm_scoring,
         "op6_packing": packing.op6_packing,
         "op7_embedding_dedup": vectors.op7_embedding_dedup,
+        "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_language_id": langid.op9_language_id,
         "op10_line_dedup": lines.op10_line_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
