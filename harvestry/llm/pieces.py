@@ -12,7 +12,7 @@ import re
 import zlib
 from collections.abc import Iterable
 from functools import lru_cache
-from heapq import heappop, heappush
+from heapq import heappop, heappush, nsmallest
 
 import numpy as np
 import public_tokenizers
@@ -31,118 +31,128 @@ UNKNOWN_COST = 10.0
 CACHE, LONGEST = 400_000, 48
 
 
+#: Segmentations as (score, ids), best first.
+Best = list[tuple[float, tuple[int, ...]]]
+
+
 class Pieces:
     """A piece table: pieces with ids and scores, byte pieces, and the N best segmentations of texts."""
 
     def __init__(self, pieces: Iterable[tuple[str, int, float]], bytes_: dict[int, int], n_best: int = N_BEST) -> None:
         self.score = {p: (s, i) for p, i, s in pieces}
         self.bytes_, self.n_best = bytes_, n_best
-        self.text_of = {i: p for p, (_, i) in self.score.items()}
-        self.byte_of = {i: b for b, i in bytes_.items()}
-        self.prefixes = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
+        self.raw = {i: p.encode("utf-8", "surrogatepass") for p, (_, i) in self.score.items()} | {i: bytes([b]) for b, i in bytes_.items()}
+        # Every prefix of a piece, with the piece's score and ids where it is one.
+        self.trie: dict[str, tuple[float, tuple[int, ...]] | None] = {p[:k]: None for p in self.score for k in range(1, len(p))}
+        self.trie.update((p, (s, (i,))) for p, (s, i) in self.score.items())
         self.pairs = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         usual = [s for s, _ in self.score.values() if s > -1e8]
         self.unknown = min(usual, default=0.0) - UNKNOWN_COST
         crossed = any(p[k] != BLANK and p[k + 1] == BLANK for p in self.score for k in range(len(p) - 1))
         self.chunks = re.compile(".+" if crossed else f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+", re.S)
-        self.known: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
+        self.known: dict[str, Best] = {}
 
-    def lattice(self, text: str) -> list[tuple[float, tuple[int, ...]]]:
+    def lattice(self, text: str) -> Best:
         """The N best (score, ids) of one chunk, best first; paths of equal scores in a fixed order."""
-        n, score, prefixes = len(text), self.score, self.prefixes
-        into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
+        n, look, score = len(text), self.trie.get, self.score
+        into: list[list[tuple[float, int, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
         best = [0.0] + [-np.inf] * n
         for i in range(n):
             have = best[i]
             for j in range(i + 1, n + 1):
-                part = text[i:j]
-                if part not in prefixes:
+                found = look(text[i:j], 0)
+                if not found:
+                    if found is None:
+                        continue
                     break
-                if found := score.get(part):
-                    into[j].append((i, found[0], (found[1],)))
-                    if have + found[0] > best[j]:
-                        best[j] = have + found[0]
+                to = have + found[0]
+                into[j].append((to, i, found))
+                if to > best[j]:
+                    best[j] = to
             if text[i] not in score:
+                to = have + self.unknown
                 spelled = tuple(self.bytes_[b] for b in text[i].encode("utf-8", "surrogatepass"))
-                into[i + 1].append((i, self.unknown, spelled))
-                best[i + 1] = max(best[i + 1], have + self.unknown)
-        out: list[tuple[float, tuple[int, ...]]] = []
-        # An entry: minus the whole path's score, the place it has come back to, its own part of the score, and its ids.
-        heap: list[tuple[float, int, int, float, tuple]] = [(-best[n], n, 0, 0.0, ())]
+                into[i + 1].append((to, i, (self.unknown, spelled)))
+                best[i + 1] = max(best[i + 1], to)
+        most = self.n_best
+        for edges in into:  # beyond the N best ways into a place no other can be on an N best path
+            if len(edges) > most:
+                edges.sort(key=lambda e: (-e[0], e[1]))
+                del edges[most:]
+        out: Best = []
+        # An entry: minus the whole path's score, a number, the place it has come back to, its own part of the score, its pieces.
+        heap: list[tuple[float, int, int, float, tuple]] = [(-best[n], 0, n, 0.0, ())]
         count = 0
-        while heap and len(out) < self.n_best:
-            whole, at, _, own, ids = heappop(heap)
-            if not at:
-                flat: list[int] = []
-                while ids:
-                    flat += ids[0]
-                    ids = ids[1]
-                out.append((-whole, tuple(flat)))
-                continue
-            for start, s, piece in into[at]:
-                count += 1
-                heappush(heap, (-(best[start] + s + own), start, count, own + s, (piece, ids)))
+        while heap:
+            whole, _, at, own, path = heappop(heap)
+            while at:
+                first = into[at][0]
+                for edge in into[at][1:]:
+                    if edge[0] > first[0]:
+                        first, edge = edge, first
+                    count += 1
+                    heappush(heap, (-(edge[0] + own), count, edge[1], own + edge[2][0], (edge[2][1], path)))
+                # The best way in keeps the path's score, so nothing in the heap comes before it.
+                own, at, path = own + first[2][0], first[1], (first[2][1], path)
+            ids: list[int] = []
+            while path:
+                ids += path[0]
+                path = path[1]
+            out.append((-whole, tuple(ids)))
+            if len(out) == most:
+                break
         return out
 
-    def chunk(self, text: str) -> list[tuple[float, tuple[int, ...]]]:
+    def chunk(self, text: str) -> Best:
         """The N best of a chunk that may be cut further where no piece crosses; remembered."""
         found = self.known.get(text)
         if found is None:
-            cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.pairs]
-            found = self.lattice(text) if not cuts else self.join([self.part(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)])
+            pairs = self.pairs
+            cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in pairs]
+            found = self.join([self.chunk(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]) if cuts else self.lattice(text)
             if len(text) <= LONGEST:
                 if len(self.known) >= CACHE:
                     self.known.clear()
                 self.known[text] = found
         return found
 
-    def part(self, text: str) -> list[tuple[float, tuple[int, ...]]]:
-        found = self.known.get(text)
-        if found is None:
-            found = self.lattice(text)
-            if len(text) <= LONGEST:
-                self.known[text] = found
-        return found
-
-    def join(self, parts: list[list[tuple[float, tuple[int, ...]]]]) -> list[tuple[float, tuple[int, ...]]]:
+    def join(self, parts: list[Best]) -> Best:
         """The N best sums over the parts' N best lists."""
+        open_ = [k for k, p in enumerate(parts) if len(p) > 1]
+        if len(open_) < 2:  # at most one part has a choice
+            k = open_[0] if open_ else 0
+            left, right = tuple(i for p in parts[:k] for i in p[0][1]), tuple(i for p in parts[k + 1 :] for i in p[0][1])
+            more = sum(p[0][0] for j, p in enumerate(parts) if j != k)
+            return [(s + more, left + ids + right) for s, ids in parts[k]]
         total = sum(p[0][0] for p in parts)
-        out = []
-        for loss, changes in self.changes(parts):
-            ids: list[int] = []
-            for k, p in enumerate(parts):
-                ids += p[changes.get(k, 0)][1]
-            out.append((total - loss, tuple(ids)))
-        return out
+        return [(total - loss, tuple(i for k, p in enumerate(parts) for i in p[c.get(k, 0)][1])) for loss, c in self.changes(parts)]
 
-    def changes(self, parts: list[list[tuple[float, tuple[int, ...]]]]) -> list[tuple[float, dict[int, int]]]:
+    def changes(self, parts: list[Best]) -> list[tuple[float, dict[int, int]]]:
         """What the N best choices lose against the best, and which parts take another rank there.
 
         A choice that is among the N best changes at most N - 1 parts, each of them among the N - 1 whose second rank
         loses least, so a search over those parts is exact.
         """
         n = self.n_best
-        second = [(p[0][0] - p[1][0], k) for k, p in enumerate(parts) if len(p) > 1]
-        cheap = sorted(second)[: n - 1] if len(second) > n else sorted(second)
+        second = [p[0][0] - p[1][0] if len(p) > 1 else np.inf for p in parts]
         done: list[tuple[float, dict[int, int]]] = [(0.0, {})]
-        for _, k in cheap:
+        for k in nsmallest(n - 1, range(len(parts)), key=second.__getitem__):
             p = parts[k]
             options = [(loss + p[0][0] - p[r][0], {**c, k: r} if r else c) for loss, c in done for r in range(len(p))]
             done = sorted(options, key=lambda x: x[0])[:n]
         return done
 
-    def best(self, text: str) -> list[tuple[float, tuple[int, ...]]]:
+    def best(self, text: str) -> Best:
         """The N best (score, ids) of a whole text; an empty text has one empty segmentation."""
         return self.join(self.parts_of(text)) if text else [(0.0, ())]
 
-    def parts_of(self, text: str) -> list[list[tuple[float, tuple[int, ...]]]]:
-        known, chunk = self.known, self.chunk
-        return [known.get(c) or chunk(c) for c in self.chunks.findall(BLANK + text.replace(" ", BLANK))]
+    def parts_of(self, text: str) -> list[Best]:
+        get, chunk = self.known.get, self.chunk
+        return [get(c) or chunk(c) for c in self.chunks.findall(BLANK + text.replace(" ", BLANK))]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD. The first blank goes."""
-        out: list[bytes] = [bytes([self.byte_of[i]]) if i in self.byte_of else self.text_of[i].encode("utf-8", "surrogatepass") for i in ids]
-        text = b"".join(out).decode("utf-8", "replace").replace(BLANK, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(BLANK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -179,11 +189,12 @@ def segment_documents(docs: DataFrame, model: str | None = None, n_best: int = N
             parts = table.parts_of(text) if text else []
             ranks = table.changes(parts)
             ids = [x for p in parts for x in p[0][1]]
-            second = ids
+            second, same = ids, table.decode(ids) == text
             if len(ranks) > 1:
                 second = [x for k, p in enumerate(parts) for x in p[ranks[1][1].get(k, 0)][1]]
+                # Only the changed chunks decode anew.
+                same = same and all(table.decode(parts[k][r][1]) == table.decode(parts[k][0][1]) for k, r in ranks[1][1].items())
             score = sum(p[0][0] for p in parts)
-            same = table.decode(ids) == text and table.decode(second) == text
             rows.append((i, len(ids), crc(ids), score, len(ranks), ranks[1][0] if len(ranks) > 1 else None, ranks[-1][0] if len(ranks) == n_best else None, len(second), crc(second), same))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in RESULT.split(", ")])
