@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from harvestry.plans import classify, extraction, queues, resolution, sets, spatial, statistics, textual, urls, views, windows  # noqa: F401
+from harvestry.plans.registry import ORACLES, QUERIES
+from harvestry.streaming import plans as _streaming  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

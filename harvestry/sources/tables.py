@@ -40,7 +40,7 @@ def keep(df: DataFrame, tag: str = "part") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/harvestry-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
