@@ -28,6 +28,8 @@ from harvestry.llm.common import bounded_batches, each_batch, fold_id, read_tabl
 #: Most documents of the ordinary and of the toxic class to fit on.
 SAMPLE = {0: 3000, 1: 2000}
 FOLDS, DISCOUNT, WINDOW, STEM = 5, 0.75, 16, 5
+#: Marks that may stand around a word.
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 #: A pair's pooled count from which on it is kept; the mass of others goes to the word level.
 KEEP = 3
 
@@ -49,7 +51,7 @@ class Model:
     def ratios(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number and log-likelihood ratio of each word of all texts in turn; the number of words of each text."""
         get, stem, size = self.ids.get, self.stems.get, self.p.shape[1]
-        words = [tokens_of(t) for t in texts]
+        words = [words_of(t) for t in texts]
         counts = np.fromiter(map(len, words), np.int64, len(words))
         ids = np.fromiter((get(w) or stem(w[:STEM], 0) for line in words for w in line), np.int64, int(counts.sum()))
         before = np.empty_like(ids)
@@ -98,6 +100,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.features(texts) @ self.w, -30, 30)))
 
 
+def words_of(text: bytes) -> list[bytes]:
+    """Lower-cased words without marks around them; a word of marks alone stays."""
+    return [w.strip(MARKS) or w for w in tokens_of(text)]
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Weights of a ridge logistic regression by Newton steps."""
     w = np.zeros(x.shape[1])
@@ -119,7 +126,7 @@ def fit(rows: list[tuple[int, bytes, bool]]) -> Model | None:
     ids: dict[bytes, int] = {}
     found: list[list[np.ndarray]] = [[], []]
     for c, text, _ in rest:
-        line = np.fromiter((ids.setdefault(w, len(ids) + 1) for w in tokens_of(text)), np.int64)
+        line = np.fromiter((ids.setdefault(w, len(ids) + 1) for w in words_of(text)), np.int64)
         found[c].append(np.concatenate([[-1, -1], line]))
     names: dict[bytes, int] = {}
     of = np.fromiter((names.setdefault(w[:STEM], len(names)) for w in ids), np.int64, len(ids))
