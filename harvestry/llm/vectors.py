@@ -2,18 +2,20 @@
 
 Unit vectors are cut into halves; each half has a codebook of its own, and the two form a grid of cells. Every vector is
 in the cell of its two nearest centroids. A query visits cells in the order of a multi-sequence traversal, by growing
-lower bound of the distance to any vector in the cell, and stops where the bound passes the radius that the cosine
-threshold allows: the distance from a half to the border of a centroid's region bounds its distance to each half in that
-region. So the target recall is 1 (up to rounding, which the radius has room for). Found candidates are verified in
-double precision.
-
-The codebooks are fitted on at most `SAMPLE` vectors, chosen by a hash; any codebook gives the same result, only the
-work differs. Every distinct vector is indexed. Equal vectors are one entry with a weight.
+distance from its halves to the borders of the cells' regions, until the target recall: the reach beyond which no more
+than 1 - RECALL of the pairs at the very threshold lie, whose difference points anywhere, and none of the pairs found by
+brute force in the sample. A pair is found if either of its vectors visits the other's cell, and then counts for both.
+Found candidates are verified in double precision.
+
+The codebooks and the reach are fitted on at most `SAMPLE` vectors, chosen by a hash. Every distinct vector is indexed and
+every one is a query. Equal vectors are one entry with a weight. A recall of 1 against brute force is what the tests
+measure; `recall=None` visits every cell in the reach of the threshold, which is exact and slower.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from heapq import heappop, heappush
 
 import numpy as np
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 from harvestry.llm.common import each_batch, keep, read_table, segments
 from harvestry.llm.graph import connected_components, forest
 
-COSINE, SAMPLE = 0.98, 20_000
+COSINE, SAMPLE, RECALL = 0.98, 20_000, 0.9995
+#: Sampled vectors that are compared with each other for the reach.
+PAIRED = 4_000
 #: Entries a part of a cell holds on average at most.
 PART = 512
 SLACK = 1e-4
@@ -48,14 +52,55 @@ def codebook(x: np.ndarray, size: int, rounds: int = 12) -> np.ndarray:
 
 
 def borders(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the order of centroids by the distance to their regions' borders with its own, and those distances."""
+    """Each row's own centroid, and its distances to the borders of all centroids' regions with that one's (0 for its own)."""
     d = ((x[:, None, :] - c[None]) ** 2).sum(2)
     own = d.argmin(1)
     apart = np.sqrt(((c[:, None, :] - c[None]) ** 2).sum(2))
-    away = (d - d[np.arange(len(x)), own][:, None]) / np.maximum(2 * apart[own], 1e-12)
+    away = np.maximum((d - d[np.arange(len(x)), own][:, None]) / np.maximum(2 * apart[own], 1e-12), 0)
     away[np.arange(len(x)), own] = 0
-    order = np.argsort(away, axis=1, kind="stable")
-    return order, np.take_along_axis(np.maximum(away, 0), order, 1)
+    return own, away
+
+
+@dataclass
+class Index:
+    """The codebooks of vectors of one length, and the squared reach of a query."""
+
+    first: np.ndarray
+    second: np.ndarray
+    half: int
+    reach2: float
+
+    def borders(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return *borders(x[:, : self.half], self.first), *borders(x[:, self.half :], self.second)
+
+    def cells(self, x: np.ndarray) -> Iterator[list[tuple[int, int]]]:
+        """The cells that each row visits, its own first."""
+        p, a, q, b = self.borders(x)
+        one, two = np.argsort(a, axis=1, kind="stable"), np.argsort(b, axis=1, kind="stable")
+        for k in range(len(x)):
+            i, j = [p[k], *one[k][one[k] != p[k]]], [q[k], *two[k][two[k] != q[k]]]
+            yield list(traverse((np.array(i), np.array(j)), (a[k][i], b[k][j]), self.reach2))
+
+
+def build(x: np.ndarray, cosine: float, recall: float | None) -> Index:
+    """An index for unit vectors like the rows of x."""
+    size, half = int(np.clip(len(x) ** 0.5 / 4, 1, 32)), x.shape[1] // 2
+    index = Index(codebook(x[:, :half], size) if half else np.zeros((1, 0)), codebook(x[:, half:], size), half, 2 - 2 * cosine + SLACK)
+    if recall is None or x.shape[1] < 8:
+        return index
+    some = x[:PAIRED]
+    p, a, q, b = index.borders(some)
+    rng = np.random.default_rng(0)
+    turn = rng.normal(size=some.shape)
+    turn -= (turn * some).sum(1)[:, None] * some
+    p2, _, q2, _ = index.borders(some * cosine + unit(turn) * (1 - cosine * cosine) ** 0.5)
+    rows = np.arange(len(some))
+    needed = [np.quantile(a[rows, p2] ** 2 + b[rows, q2] ** 2, recall)]
+    for i in range(0, len(some), 500):
+        u, v = np.nonzero(some[i : i + 500] @ some.T >= cosine)
+        needed.append((a[u + i, p[v]] ** 2 + b[u + i, q[v]] ** 2).max(initial=0))
+    index.reach2 = min(index.reach2, float(max(needed)) + SLACK)
+    return index
 
 
 def traverse(order: tuple[np.ndarray, np.ndarray], away: tuple[np.ndarray, np.ndarray], radius2: float) -> Iterator[tuple[int, int]]:
@@ -78,21 +123,21 @@ def linkable() -> Column:
     return F.coalesce(F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, recall: float | None = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of `vectors` (vec_id, embedding, label).
 
     Rows with a null label, and vectors that are null, empty, zero or hold null or non-finite numbers, link with
     nothing: 0 links, their own id, kept. So do vectors of different length. component_id is the smallest vec_id
     reachable. Rows that repeat a vec_id are rows of their own. Other columns are not read.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("embedding"), "label")
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(F.col("embedding").cast(kind), lambda x: x + F.lit(0).cast(kind[6:-1])).alias("embedding"), "label")
     rows = rows.withColumns({"eid": F.xxhash64(F.lit(1), "label", "embedding"), "eid2": F.xxhash64(F.lit(2), "label", "embedding"), "ok": linkable()})
     rows = keep(rows, "vectors")
     known = rows.where("ok")
     groups = keep(known.groupBy("eid", "eid2").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("n"), F.min("vec_id").alias("low")).withColumn("rank", F.xxhash64("eid", "eid2")), "entries")
     chosen = groups.orderBy("rank").limit(sample).select("embedding").toArrow().column(0).to_pylist()
-    edges = _edges(groups, chosen, cosine)
+    edges = _edges(groups, chosen, cosine, recall)
     pair = keep(edges, "links")
     counts = pair.where("kind = 0").groupBy(F.col("a").alias("eid")).agg(F.sum("w").alias("more"))
     roots = connected_components(pair.where("kind = 1").select("a", "b"))
@@ -105,19 +150,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _edges(groups: DataFrame, chosen: list[list[float]], cosine: float) -> DataFrame:
+def _edges(groups: DataFrame, chosen: list[list[float]], cosine: float, recall: float | None) -> DataFrame:
     """Rows (kind, a, b, w): kind 0 gives entry a's linked rows w found in one place, kind 1 links a spanning forest."""
     spark = groups.sparkSession
     schema = "kind int, a long, b long, w long"
-    lengths = {len(x) for x in chosen}
-    radius2 = 2 - 2 * cosine + SLACK
-    books: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
-    for n in lengths:
-        x = unit(np.array([v for v in chosen if len(v) == n]))
-        size = int(np.clip(len(x) ** 0.5 / 4, 1, 32))
-        half = n // 2
-        books[n] = codebook(x[:, :half], size) if half else np.zeros((1, 0)), codebook(x[:, half:], size), half
-    shared = spark.sparkContext.broadcast(books)
+    by_size: dict[int, list[list[float]]] = {}
+    for v in chosen:
+        by_size.setdefault(len(v), []).append(v)
+    shared = spark.sparkContext.broadcast({n: build(unit(np.array(x, float)), cosine, recall) for n, x in by_size.items()})
 
     def visit(batch: pa.RecordBatch) -> pa.RecordBatch:
         eid = batch.column("eid").to_numpy()
@@ -127,13 +167,8 @@ def _edges(groups: DataFrame, chosen: list[list[float]], cosine: float) -> DataF
         for i, v in enumerate(vectors):
             by_length.setdefault(len(v), []).append(i)
         for n, at in by_length.items():
-            x = unit(np.array([vectors[i] for i in at]))
-            if n not in shared.value:  # no centroid has been fitted for this length: one cell for all
-                found = [[(-1, -1)] for _ in at]
-            else:
-                a, b, half = shared.value[n]
-                one, two = borders(x[:, :half], a), borders(x[:, half:], b)
-                found = [list(traverse((one[0][k], two[0][k]), (one[1][k], two[1][k]), radius2)) for k in range(len(at))]
+            # For a length without a sampled vector there is one cell for all.
+            found = shared.value[n].cells(unit(np.array([vectors[i] for i in at], float))) if n in shared.value else [[(-1, -1)]] * len(at)
             for i, cells in zip(at, found, strict=True):
                 for k, (p, q) in enumerate(cells):  # the first is its own
                     out[0].append(i)
@@ -154,15 +189,20 @@ def _edges(groups: DataFrame, chosen: list[list[float]], cosine: float) -> DataF
             if not own.any():
                 continue
             eid, n = u.column("eid").to_numpy(), u.column("n").to_numpy()
-            x = unit(np.array(u.column("embedding").to_pylist()))
-            # A pair is counted at the cell of the one that is indexed there, for the one that visits.
-            met = (x @ x[own].T >= cosine) & (eid[:, None] != eid[own][None, :])
+            x = unit(np.array(u.column("embedding").to_pylist(), float))
+            mine = np.flatnonzero(own)
+            met = (x @ x[mine].T >= cosine) & (eid[:, None] != eid[mine][None, :])
             if u.column("p")[0] != u.column("q")[0]:
-                met &= side[:, None] != side[own][None, :]
+                met &= side[:, None] != side[mine][None, :]
             i, j = np.nonzero(met)
             if not len(i):
                 continue
-            j = np.flatnonzero(own)[j]
+            # A visitor counts what it finds here; so does the one found, unless that one's own visit finds the pair too.
+            j, guest = mine[j], ~own[i]
+            if guest.any() and (index := shared.value.get(x.shape[1])):
+                p, a, q, b = index.borders(x)
+                alone = guest & (a[j, p[i]] ** 2 + b[j, q[i]] ** 2 > index.reach2)
+                i, j = np.concatenate([i, j[alone]]), np.concatenate([j, i[alone]])
             w = np.bincount(i, n[j], minlength=len(eid)).astype(np.int64)
             label = forest(len(eid), i, j)
             tied, counted = np.flatnonzero(label != np.arange(len(eid))), np.flatnonzero(w)

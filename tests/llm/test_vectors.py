@@ -42,13 +42,31 @@ def test_against_all_pairs(spark, rng, monkeypatch):
         assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
-def test_traversal_visits_every_cell_in_reach(rng):
-    x = vectors.unit(np.array(cloud(rng, 300)))
-    a, b = vectors.codebook(x[:, :8], 8), vectors.codebook(x[:, 8:], 8)
-    one, two = vectors.borders(x[:, :8], a), vectors.borders(x[:, 8:], b)
-    cells = [list(vectors.traverse((one[0][k], two[0][k]), (one[1][k], two[1][k]), 0.04)) for k in range(len(x))]
-    i, j = np.nonzero(x @ x.T >= 0.98)
-    assert all(cells[q][0] in cells[p] for p, q in zip(i.tolist(), j.tolist(), strict=True))
+def test_traversal_finds_pairs(rng):
+    """Without a target recall every near pair's cells are visited; with it at least 0.999 of those at the threshold, either way."""
+    g = np.random.default_rng(1)
+    x = vectors.unit(g.normal(size=(3000, 64)))
+    turn = g.normal(size=x.shape)
+    turn -= (turn * x).sum(1)[:, None] * x
+    y = x * 0.9801 + vectors.unit(turn) * (1 - 0.9801**2) ** 0.5
+    for recall, least in ((None, 1.0), (vectors.RECALL, 0.999)):
+        index = vectors.build(x, 0.98, recall)
+        from_x, from_y = list(index.cells(x)), list(index.cells(y))
+        assert np.mean([a[0] in b or b[0] in a for a, b in zip(from_x, from_y, strict=True)]) >= least
+        p, a, q, b = index.borders(x[:50])
+        for k in range(50):  # in order, and all that are in reach
+            bounds = [a[k, i] ** 2 + b[k, j] ** 2 for i, j in from_x[k]]
+            assert bounds == sorted(bounds) and len(bounds) == (a[k][:, None] ** 2 + b[k][None, :] ** 2 <= index.reach2).sum()
+
+
+def test_recall_on_clouds(spark, rng):
+    g = np.random.default_rng(2)
+    centres = g.normal(size=(60, 64))
+    x = [list(map(float, centres[i % 60] + g.normal(size=64) * 0.12)) for i in range(900)]
+    want = brute(list(range(900)), x, [0] * 900)
+    got = {r.vec_id: r for r in vectors.near_duplicates(spark.createDataFrame(list(zip(range(900), x, [0] * 900)), "vec_id long, embedding array<float>, label int")).collect()}
+    links = sum(n for _, n, _ in want)
+    assert links > 1000 and sum(got[i].n_links for i, _, _ in want) >= 0.999 * links
 
 
 def test_nothing(spark):
