@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from harvestry.plans import classify, extraction, queues, resolution, sets, spatial, statistics, textual, urls, views, windows  # noqa: F401
+from harvestry.plans import classify, extraction, landing, queues, resolution, sets, spatial, statistics, textual, upkeep, urls, views, windows  # noqa: F401
 from harvestry.plans.registry import ORACLES, QUERIES
 from harvestry.streaming import plans as _streaming  # noqa: F401
 
