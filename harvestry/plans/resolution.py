@@ -10,6 +10,7 @@ from harvestry.functions import text as X
 from harvestry.operators.components import connected_components
 from harvestry.plans.registry import Tables, query
 from harvestry.plans.textual import STOP_SQL
+from harvestry.sources.tables import keep
 
 AGREE, CONTAINED = 0.5, 0.75
 
@@ -47,7 +48,7 @@ def similar_titles(titles: DataFrame, key: str, least: float = AGREE) -> DataFra
     stems = titles.select(F.col(key).alias("id"), F.explode(X.title_stems(F.col("title"))).alias("stem")).join(weights, "stem")
     by = Window.partitionBy("id")
     rest = F.sum("weight").over(by.orderBy("weight", "stem"))  # of this and all lighter stems
-    stems = stems.withColumn("total", F.sum("weight").over(by)).withColumn("rest", rest)
+    stems = keep(stems.withColumn("total", F.sum("weight").over(by)).withColumn("rest", rest), "stems")  # four uses below
     whole = stems.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("stem", "weight"))).alias("m"), F.max("total").alias("total"), F.max("weight").alias("top"), F.max("n").alias("n"))
     left = stems.where(F.col("rest") >= (least - 1e-9) * F.col("total")).select("stem", F.col("id").alias("x"), F.col("total").alias("tx"))
     right = stems.select("stem", F.col("id").alias("y"), F.col("total").alias("ty"))
