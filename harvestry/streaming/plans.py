@@ -93,3 +93,51 @@ def stream_host_state(spark, base):
     out = rows.groupBy("user_id").applyInPandasWithState(host_state, BREAKER, "visits long, rate double, trouble int, downs int", "update", GroupStateTimeout.NoTimeout)
     latest = drain(out, "update").groupBy("user_id").agg(F.max_by("rate", "visits").alias("rate"), F.max("visits").alias("visits"))
     return latest.select("user_id", "visits", F.round("rate", 9).alias("rate"))
+
+
+@query("SELECT user_id, event_type FROM events GROUP BY ALL")
+def stream_dedup_watermark(spark, base):
+    """Keys seen once within the watermark's reach; the table spans less than the reach."""
+    rows = stream_of(spark, base).withWatermark("ts", "40 days").select("ts", "user_id", "event_type")
+    return drain(rows.dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type"), "append")
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
+def stream_upsert(spark, base):
+    """Each batch merged by key into a collection: rows seen again replace what is there."""
+    from harvestry.sources.collections import merge_into, read_collection
+
+    path = f"{shared_dir(spark)}/harvestry-upsert-{uuid.uuid4().hex}"
+    rows = stream_of(spark, base).select("user_id", "event_id", "event_type", "ts")
+
+    def merge(batch: DataFrame, number: int) -> None:
+        merge_into(batch, f"{path}/rows", ["user_id"], ["ts", "event_id"])
+
+    rows.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
+    return read_collection(spark, f"{path}/rows", rows.schema).select("user_id", "event_id", "event_type")
+
+
+@query("""WITH w AS (SELECT event_type, ts, value, unnest([0, 12]) AS o FROM events), b AS (SELECT event_type, value, time_bucket(INTERVAL 1 DAY, ts - INTERVAL (o) HOUR, TIMESTAMP '2024-01-01') + INTERVAL (o) HOUR AS s FROM w)
+SELECT event_type, CAST(epoch_us(s) AS BIGINT) AS start_us, count(*) AS n FROM b GROUP BY 1, 2""")
+def stream_sliding(spark, base):
+    """Windows of a day that slide by twelve hours."""
+    rows = stream_of(spark, base).withWatermark("ts", "1 hour")
+    w = rows.groupBy(F.window("ts", "1 day", "12 hours"), "event_type").agg(F.count("*").alias("n"))
+    return drain(w, "complete").select("event_type", F.unix_micros("window.start").alias("start_us"), "n")
+
+
+def interval_state(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Hours until a site's next visit: shorter after news, longer without, between twelve hours and a week."""
+    hours = state.get[0] if state.exists else 48.0
+    for kind in pd.concat(list(frames)).sort_values(["ts", "event_id"]).event_type:
+        hours = min(168.0, max(12.0, hours * (0.8 if kind == "purchase" else 1.25)))
+    state.update((hours,))
+    yield pd.DataFrame({"user_id": [key[0]], "hours": [hours]})
+
+
+@query("""WITH l AS (SELECT user_id, list(CASE WHEN event_type = 'purchase' THEN 0.8::DOUBLE ELSE 1.25::DOUBLE END ORDER BY ts, event_id) AS xs FROM events GROUP BY 1)
+SELECT user_id, round(list_reduce(list_prepend(48.0::DOUBLE, xs), lambda a, x: least(168.0, greatest(12.0, a * x))), 6) AS hours FROM l""")
+def stream_intervals(spark, base):
+    rows = stream_of(spark, base).select("user_id", "ts", "event_id", "event_type")
+    out = rows.groupBy("user_id").applyInPandasWithState(interval_state, "user_id long, hours double", "hours double", "update", GroupStateTimeout.NoTimeout)
+    return drain(out, "update").select("user_id", F.round("hours", 6).alias("hours"))
