@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from harvestry.functions.scores import chao1, half_up, region_of
 from harvestry.plans.registry import Tables, query
+from harvestry.sources.tables import keep
 
 MIN_EVENTS = 8
 
@@ -33,18 +34,21 @@ def coverage_report(rows: DataFrame, min_events: int = MIN_EVENTS) -> DataFrame:
 
     An event in several kinds counts once in what is not by kind; estimates need min_events.
     """
-    sites_of = rows.groupBy("event_id", "town", "tag").agg(F.countDistinct("site").alias("n"))
-    sets = [[], ["town"], ["tag"], ["town", "tag"]]
-    out = None
-    for keys in sets:
-        of = sites_of if "tag" in keys else rows.groupBy("event_id", "town").agg(F.countDistinct("site").alias("n"))
-        a = of.groupBy(*keys).agg(F.count("*").alias("events"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"), F.count_if(F.col("n") > 2).alias("more"))
-        s = rows.groupBy(*keys).agg(F.countDistinct("site").alias("sites"))
-        j = a.join(s, keys) if keys else a.crossJoin(s)  # one row each
-        for k in ("town", "tag"):
-            j = j if k in keys else j.withColumn(k, F.lit(None).cast("string"))
-        j = j.withColumn("lvl", F.lit(("town" not in keys) + 2 * ("tag" not in keys)).cast("long")).select("lvl", "town", "tag", "events", "once", "twice", "more", "sites")
-        out = j if out is None else out.unionByName(j)
+    town, tag = F.col("town"), F.col("tag")
+    seen = keep(rows.select("event_id", "town", "tag", "site").distinct(), "seen")  # the one pass over the sightings
+    level = (F.grouping("town") + 2 * F.grouping("tag")).cast("long").alias("lvl")
+    whole = F.grouping("town").cast("long") + 2
+
+    def events(*more):
+        return [F.count("*").alias("events"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"), F.count_if(F.col("n") > 2).alias("more"), *more]
+
+    by_kind = seen.groupBy("event_id", "town", "tag").agg(F.count("*").alias("n")).groupingSets([[tag], [town, tag]], town, tag).agg(*events(level))
+    in_all = seen.groupBy("event_id", "town").agg(F.countDistinct("site").alias("n")).groupingSets([[], [town]], town).agg(*events(whole.alias("lvl")))
+    columns = ["lvl", "town", "tag", "events", "once", "twice", "more"]
+    out = by_kind.select(*columns).unionByName(in_all.withColumn("tag", F.lit(None).cast("string")).select(*columns))
+    sites = seen.groupingSets([[], [town], [tag], [town, tag]], town, tag).agg(level, F.countDistinct("site").alias("sites"))
+    s = sites.select("lvl", F.col("town").alias("s_town"), F.col("tag").alias("s_tag"), "sites")
+    out = out.join(s, (out.lvl == s.lvl) & out.town.eqNullSafe(s.s_town) & out.tag.eqNullSafe(s.s_tag)).select(out.lvl, "town", "tag", "events", "once", "twice", "more", "sites")
     estimate = F.greatest(F.col("events"), half_up(chao1(F.col("events"), F.col("once"), F.col("twice")))).cast("long")
     enough = F.col("events") >= min_events
     return out.withColumn("estimate", F.when(enough, estimate)).withColumn("coverage", F.round(F.col("events") / F.col("estimate"), 6))

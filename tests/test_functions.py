@@ -115,3 +115,13 @@ def test_no_bridge():
 
     rows = pd.DataFrame({"id": [1, 2, 3], "town": ["a", None, "b"], "root": [1, 1, 1], "links": [[[1.0, 2.0, 0.9]], [[2.0, 3.0, 0.8]], []]})
     assert dict(split_unrelated(rows).values.tolist()) == {1: 1, 2: 1, 3: 3}
+
+
+def test_polygon(spark):
+    from harvestry.functions.geo import polygon
+
+    ring = [(0.0, 0.0), (0.0, 2.0), (1.0, 1.0), (2.0, 2.0), (2.0, 0.0)]
+    points = [(0.5, 0.5), (1.0, 1.5), (1.0, -0.004), (1.0, -0.5), (None, 1.0)]
+    df = spark.createDataFrame(points, "lat double, lon double")
+    assert [r[0] for r in df.select(polygon(ring)("lat", "lon")).collect()] == [True, False, False, False, None]
+    assert [r[0] for r in df.select(polygon(ring, 1.0)("lat", "lon")).collect()] == [True, False, True, False, None]
