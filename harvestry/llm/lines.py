@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestry.llm.common import ASCII_SPACE, read_table
+from harvestry.llm.common import ASCII_SPACE, keep, read_table
 
 MIN_CHARS, MIN_DOCS = 20, 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,20 +21,19 @@ def line_key(line: Column) -> Column:
 
 
 def decisions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id and the positions `drop` of its lines that go, for documents that lose any.
+    """doc_id, the text's hash, and the positions `drop` of its lines that go, for texts that lose any.
 
-    A key is known by its 128-bit MD5.
+    A key is known by its 128-bit MD5. The keys of enough documents are written before they are joined, so that the join
+    reads both sides from a shuffle and a key with very many lines can be split.
     """
     keys = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line_key)
     keyed = F.transform(keys, lambda k, i: F.struct(i.alias("pos"), k.alias("key")))
-    lines = (
-        docs.select("doc_id", F.explode(F.filter(keyed, lambda x: F.length(x["key"]) >= min_chars)).alias("x"))
-        .select("doc_id", F.unhex(F.md5(F.col("x.key").cast("binary"))).alias("h"), F.col("x.pos").alias("pos"))
-        .groupBy("h", "doc_id")
-        .agg(F.collect_list("pos").alias("pos"))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("of"), F.explode(F.filter(keyed, lambda x: F.length(x["key"]) >= min_chars)).alias("x")).select(
+        F.unhex(F.md5(F.col("x.key").cast("binary"))).alias("h"), "doc_id", "of", F.col("x.pos").alias("pos")
     )
-    common = lines.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs).select("h", "last")
-    return lines.join(common, "h").where(~F.col("doc_id").eqNullSafe(F.col("last"))).groupBy("doc_id").agg(F.flatten(F.collect_list("pos")).alias("drop"))
+    counts = lines.select("h", "doc_id").distinct().groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
+    common = keep(counts.where(F.col("n") >= min_docs).select("h", "last"), "lines")
+    return lines.join(common, "h").where(~F.col("doc_id").eqNullSafe(F.col("last"))).groupBy("doc_id", "of").agg(F.collect_list("pos").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -42,7 +41,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     Null or empty text is one empty line; a null doc_id never counts as a document of its own: such rows share one
     place, and a key keeps its lines in the largest known doc_id. Rows that repeat a doc_id are one document for the
-    counts and all lose or keep a key together. Columns of any other name pass through.
+    counts and lose or keep a key together. Columns of any other name pass through.
     """
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     n = F.size(lines)
@@ -50,7 +49,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     kept = F.transform(stay, lambda i: F.get(lines, i))
     return (
         docs.alias("d")
-        .join(decisions(docs, min_chars, min_docs).alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")), "left")
+        .join(decisions(docs, min_chars, min_docs).alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.xxhash64("d.text") == F.col("x.of")), "left")
         .select("d.*", F.array_join(kept, "\n").alias("kept_text"), n.cast("long").alias("n_lines"), (n - F.size(stay)).cast("long").alias("n_dropped"))
     )
 

@@ -94,7 +94,7 @@ def lines_by_hand(rows):
 
 def test_lines(spark, rng):
     pool = ["a line that is long enough to count"] * 2 + ["  A Line THAT is long enough to count\t", "short", "", "another line of some twenty letters", "ünïcödé lines count by code points"]
-    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))) for i in range(40)] + [(50, None), (51, "")]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))) for i in range(40)] + [(50, None), (51, ""), (3, "short\n" + pool[0]), (3, pool[0])]
     out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in out) == lines_by_hand(rows)
 
@@ -218,6 +218,11 @@ def test_n_best_against_all(rng):
 
 
 def test_pieces_round_trip(documents, odd, nothing):
+    import public_tokenizers
+
+    table = pieces.load(public_tokenizers.path(pieces.MODEL))
+    for t in [r.text for r in documents.select("text").collect()] + [x for _, x in ODD if x and "▁" not in x]:
+        assert all(table.decode(ids) == t for _, ids in table.best(t))
     assert pieces.segment_documents(documents).where("not round_trip").count() == 0
     rows = pieces.segment_documents(odd).collect()
     assert len(rows) == len(ODD) and {r.doc_id for r in rows if not r.round_trip} == {10}
