@@ -41,16 +41,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     Null or empty text is one empty line; a null doc_id never counts as a document of its own: such rows share one
     place, and a key keeps its lines in the largest known doc_id. Rows that repeat a doc_id are one document for the
-    counts and lose or keep a key together. Columns of any other name pass through.
+    counts and lose or keep a key together. Columns of any other name pass through; one of an added name is replaced.
     """
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    added = ("kept_text", "n_lines", "n_dropped")
+    lines = F.split(F.coalesce("d.text", F.lit("")), "\n")
     n = F.size(lines)
-    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("drop", F.array().cast("array<int>")))
+    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("x.drop", F.array().cast("array<int>")))
     kept = F.transform(stay, lambda i: F.get(lines, i))
     return (
         docs.alias("d")
         .join(decisions(docs, min_chars, min_docs).alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.xxhash64("d.text") == F.col("x.of")), "left")
-        .select("d.*", F.array_join(kept, "\n").alias("kept_text"), n.cast("long").alias("n_lines"), (n - F.size(stay)).cast("long").alias("n_dropped"))
+        .select(*(F.col(f"d.`{c}`") for c in docs.columns if c not in added), F.array_join(kept, "\n").alias("kept_text"), n.cast("long").alias("n_lines"), (n - F.size(stay)).cast("long").alias("n_dropped"))
     )
 
 

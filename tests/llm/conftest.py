@@ -12,8 +12,8 @@ ODD = [
 @pytest.fixture(scope="session")
 def odd(spark):
     """Odd rows, with columns whose names clash with what operators add."""
-    rows = [(i, t, "en", "s", 0, 1.0, "z") for i, t in ODD]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, key string").repartition(3)
+    rows = [(i, t, "en", "s", 0, 1.0, "z", [1], 2, 3) for i, t in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, key string, drop array<int>, of long, n_lines long").repartition(3)
 
 
 @pytest.fixture(scope="session")
