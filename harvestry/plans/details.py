@@ -1,0 +1,104 @@
+"""Smaller readings of listings: what has ended, facts written after a title, labelled places, countries in addresses."""
+
+from __future__ import annotations
+
+import html
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from harvestry.functions.text import clean
+from harvestry.plans.registry import Tables, query
+
+#: Minutes after its start at which a listing without an end time counts as over, and the minute that stands for now.
+OVER_AFTER, NOW_MINUTE = 120, 20 * 60
+
+
+@query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_linenumber * 150 AS starts, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber * 150 + 90 END AS ends FROM lineitem)
+SELECT l_orderkey, l_linenumber, coalesce(ends, starts + {OVER_AFTER}) <= {NOW_MINUTE} AS ended FROM t""")
+def ended_today(spark, base):
+    """Over at a given minute: by the end time, else some time after the start."""
+    starts = F.col("l_linenumber") * 150
+    clock = lambda m: F.format_string("%02d:%02d", F.floor(m / 60).cast("int"), (m % 60).cast("int"))
+    minutes = lambda t: F.substring(t, 1, 2).cast("int") * 60 + F.substring(t, 4, 2).cast("int")
+    rows = Tables(spark, base).lineitem.select("l_orderkey", "l_linenumber", clock(starts).alias("time"), F.when(F.col("l_linenumber") % 2 == 0, clock(starts + 90)).alias("end_time"))
+    over = F.coalesce(minutes(F.col("end_time")), minutes(F.col("time")) + OVER_AFTER) <= NOW_MINUTE
+    return rows.select("l_orderkey", "l_linenumber", over.alias("ended"))
+
+
+#: A title, a kind, a date and a place, as one listing site writes them in a line.
+FACTS = r"^(.+?) — ([^,—]{2,40}), (\d{1,2}\.\s?\d{1,2}\.\s?\d{4}(?: \d{1,2}:\d{2})?), (.+?)\.?$"
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN p_name ELSE p_name || ' — ' || p_type END AS title, CASE WHEN p_partkey % 3 > 0 THEN lower(p_type) END AS kind, CASE WHEN p_partkey % 3 > 0 THEN 'Hall, ' || p_brand END AS place FROM part")
+def title_facts(spark, base):
+    """A title taken apart where a date follows its kind; any other stays whole."""
+    facts = F.concat(F.col("p_name"), F.lit(" — "), F.lower("p_type"), F.lit(", 20.11.2026 20:30, Hall, "), F.col("p_brand"), F.lit("."))
+    line = clean(F.when(F.col("p_partkey") % 3 > 0, facts).otherwise(F.concat_ws(" — ", "p_name", "p_type")))
+    part = lambda i: F.when(line.rlike(FACTS), F.regexp_extract(line, FACTS, i))
+    return Tables(spark, base).part.select("p_partkey", F.coalesce(part(1), line).alias("title"), part(2).alias("kind"), part(4).alias("place"))
+
+
+def clean_location(c):
+    """A place without labels, dates, prices and separators around it; a word that stands for none gives an empty text."""
+    t = F.regexp_replace(clean(c), r"(?i)(termín|dátum|kedy|začiatok)\s*:.*?(?=(mesto|miesto|adresa|lokalita)\s*:|$)", "")
+    for pattern, to in ((r"(?i)\b(miesto|mesto|adresa|lokalita|venue|location)\s*:\s*", ""), (r"(?<![\d.])\d{1,2}\.\s*\d{1,2}\.\s*(\d{4})?(\s*,?\s*\d{1,2}[:.]\d{2})?\s*[|,–-]?\s*", ""), (r"(?i)\s*[·|,–-]?\s*\d[\d\s]*(?:[.,]\d+)?\s*(€|eur)\.?\s*$", ""), (r"\s+—\s+", ", "), (r"\s+,\s*", ", "), (r"^[\s/—–\-|·•,;:@]+|[\s/—–\-|·•,;:@]+$", "")):
+        t = F.regexp_replace(t, pattern, to)
+    return F.when(t.rlike(r"(?i)^(tba|tbd|n/a|bude upresnen[éá])\.?$"), "").otherwise(t)
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN '' ELSE 'Hall ' || s_suppkey || ', Town' END AS place FROM supplier")
+def clean_locations(spark, base):
+    k = F.col("s_suppkey")
+    hall = F.concat(F.lit("Hall "), k.cast("string"))
+    raw = (
+        F.when(k % 5 == 0, "TBA.").when(k % 5 == 1, F.concat(F.lit("Termín: 03.10.2026 a ďalšie Mesto: "), hall, F.lit(", Town"))).when(k % 5 == 2, F.concat(F.lit("04.10.2026 10:30 | "), hall, F.lit(" — Town")))
+        .when(k % 5 == 3, F.concat(F.lit("// "), hall, F.lit(" ,Town  6 €"))).otherwise(F.concat(F.lit("Venue: "), hall, F.lit(" , Town |")))
+    )
+    return Tables(spark, base).supplier.select("s_suppkey", clean_location(raw).alias("place"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'home' WHEN 1 THEN 'abroad' WHEN 2 THEN 'abroad' END AS country FROM customer")
+def country_in_url(spark, base):
+    """Which country an address names; the one that comes first in it counts."""
+    k = F.col("c_custkey") % 4
+    url = F.when(k == 0, "https://x.example/slovakia--kosice/germany").when(k == 1, "https://x.example/d/germany--berlin/slovakia").when(k == 2, "https://x.example/austria").otherwise("https://x.example/list")
+    at = lambda p: F.nullif(F.regexp_instr(url, F.lit(p)), F.lit(0))
+    home, away = at("slovakia|slovensko|kosice"), at("germany|austria|hungary|poland")
+    return Tables(spark, base).customer.select("c_custkey", F.when(home.isNull() & away.isNull(), None).when(away.isNull() | (home < away), "home").otherwise("abroad").alias("country"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'abroad' WHEN 1 THEN 'abroad' END AS country FROM orders")
+def zone_country(spark, base):
+    """A time zone west of Greenwich or more than two hours east of it is abroad."""
+    k = F.col("o_orderkey") % 4
+    text = F.concat(F.lit("2026-11-20T19:00:00"), F.when(k == 0, "-05:00").when(k == 1, "+03:00").when(k == 2, "+01:00").otherwise("Z"))
+    hours = F.regexp_extract(text, r"([+-]\d{2}):?\d{2}$", 1).try_cast("int")
+    return Tables(spark, base).orders.select("o_orderkey", F.when((hours < 0) | (hours > 2), "abroad").alias("country"))
+
+
+@query("SELECT n_nationkey, n_name || ' & friends read' AS plain FROM nation")
+def plain_text(spark, base):
+    """Text of strings that hold markup, also where it is written as entities."""
+
+    @F.pandas_udf(StringType())
+    def unescape(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    raw = F.concat(F.lit("&lt;b&gt;"), F.col("n_name"), F.lit("&lt;/b&gt; &amp;amp; friends<br>read"))
+    once = F.regexp_replace(unescape(raw), "<[^>]*>", " ")
+    return Tables(spark, base).nation.select("n_nationkey", clean(F.regexp_replace(unescape(once), "<[^>]*>", " ")).alias("plain"))
+
+
+@query()
+def unknown_sample(spark, base):
+    """Twelve listings drawn with a seed: the draw is the feature."""
+    return Tables(spark, base).orders.where("o_orderstatus = 'P'").orderBy(F.rand(7)).limit(12).select("o_orderkey")
+
+
+@query()
+def discovery_pick(spark, base):
+    """One of the five best targets, drawn by weight with a seed."""
+    c = Tables(spark, base).customer.groupBy("c_nationkey").agg(F.sum("c_acctbal").alias("w")).where("w > 0").orderBy(F.desc("w"), "c_nationkey").limit(5)
+    return c.orderBy(-F.log(F.rand(7)) / F.col("w")).limit(1).select("c_nationkey")
