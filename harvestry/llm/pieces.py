@@ -9,8 +9,9 @@ segmentations of the text are the N best sums over its chunks. Characters withou
 from __future__ import annotations
 
 import re
+import struct
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import lru_cache
 from heapq import heappop, heappush, nsmallest
 
@@ -27,12 +28,15 @@ MODEL, N_BEST = "piece_bpe_32k.model", 3
 BLANK = "▁"
 #: What a character without a piece costs beyond the lowest score of a usual piece.
 UNKNOWN_COST = 10.0
-#: Chunks a worker remembers at most, and the longest that it does.
-CACHE, LONGEST = 400_000, 48
+#: Chunks a generation of a worker's memory holds, and the longest that it does.
+CACHE, LONGEST = 600_000, 48
 
 
 #: Segmentations as (score, ids), best first.
 Best = list[tuple[float, tuple[int, ...]]]
+#: Of a chunk: its best score, what the second loses (infinite where there is none), the best ids as bytes, and whether they
+#: decode to the chunk.
+Digest = tuple[float, float, bytes, bool]
 
 
 class Pieces:
@@ -50,12 +54,14 @@ class Pieces:
         self.unknown = min(usual, default=0.0) - UNKNOWN_COST
         crossed = any(p[k] != BLANK and p[k + 1] == BLANK for p in self.score for k in range(len(p) - 1))
         self.chunks = re.compile(".+" if crossed else f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+", re.S)
-        self.known: dict[str, Best] = {}
+        # Digests of chunks in two generations: when the young one is full it becomes the old one.
+        self.young: dict[str, Digest] = {}
+        self.old: dict[str, Digest] = {}
 
-    def lattice(self, text: str) -> Best:
-        """The N best (score, ids) of one chunk, best first; paths of equal scores in a fixed order."""
+    def ways(self, text: str) -> tuple[list[list[tuple[float, int, tuple[float, tuple[int, ...]]]]], list[float]]:
+        """Forward Viterbi: per place the ways into it (score from the start, start, piece) and the best score from the start."""
         n, look, score = len(text), self.trie.get, self.score
-        into: list[list[tuple[float, int, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
+        into: list[list] = [[] for _ in range(n + 1)]
         best = [0.0] + [-np.inf] * n
         for i in range(n):
             have = best[i]
@@ -74,6 +80,11 @@ class Pieces:
                 spelled = tuple(self.bytes_[b] for b in text[i].encode("utf-8", "surrogatepass"))
                 into[i + 1].append((to, i, (self.unknown, spelled)))
                 best[i + 1] = max(best[i + 1], to)
+        return into, best
+
+    def lattice(self, text: str) -> Best:
+        """The N best (score, ids) of one chunk, best first, by A-star from the end; paths of equal scores in a fixed order."""
+        into, best = self.ways(text)
         most = self.n_best
         for edges in into:  # beyond the N best ways into a place no other can be on an N best path
             if len(edges) > most:
@@ -81,7 +92,7 @@ class Pieces:
                 del edges[most:]
         out: Best = []
         # An entry: minus the whole path's score, a number, the place it has come back to, its own part of the score, its pieces.
-        heap: list[tuple[float, int, int, float, tuple]] = [(-best[n], 0, n, 0.0, ())]
+        heap: list[tuple[float, int, int, float, tuple]] = [(-best[-1], 0, len(text), 0.0, ())]
         count = 0
         while heap:
             whole, _, at, own, path = heappop(heap)
@@ -103,27 +114,75 @@ class Pieces:
                 break
         return out
 
+    def best_two(self, text: str) -> Digest:
+        """A chunk's best path and what the second best loses: the best that goes through a way the best one does not take."""
+        into, best = self.ways(text)
+        n, path = len(text), []
+        taken: list = [None] * (n + 1)
+        at = n
+        while at:
+            first = into[at][0]
+            for edge in into[at]:
+                if edge[0] > first[0]:
+                    first = edge
+            taken[at], at = first, first[1]
+            path.append(first[2][1])
+        after, second = [-np.inf] * n + [0.0], -np.inf
+        for j in range(n, 0, -1):
+            rest = after[j]
+            for edge in into[j]:
+                if edge is not taken[j] and edge[0] + rest > second:
+                    second = edge[0] + rest
+                if edge[2][0] + rest > after[edge[1]]:
+                    after[edge[1]] = edge[2][0] + rest
+        ids = [i for piece in reversed(path) for i in piece]
+        return best[n], best[n] - second, packed(ids), self.spells(ids, text)
+
+    def spells(self, ids: Iterable[int], text: str) -> bool:
+        """Whether the ids decode to the chunk: texts are their chunks in a row, so each can be decoded by itself."""
+        return b"".join(map(self.raw.__getitem__, ids)) == text.encode("utf-8", "surrogatepass")
+
+    def cuts(self, text: str) -> list[int]:
+        """Places where no piece crosses."""
+        pairs = self.pairs
+        return [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in pairs]
+
     def chunk(self, text: str) -> Best:
-        """The N best of a chunk that may be cut further where no piece crosses; remembered."""
-        found = self.known.get(text)
+        """The N best of a chunk, cut further where no piece crosses."""
+        cuts = self.cuts(text)
+        return self.join([self.lattice(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]) if cuts else self.lattice(text)
+
+    def digest(self, text: str) -> Digest:
+        """A chunk's digest; remembered."""
+        found = self.young.get(text) or self.old.get(text)
         if found is None:
-            pairs = self.pairs
-            cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in pairs]
-            found = self.join([self.chunk(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]) if cuts else self.lattice(text)
-            if len(text) <= LONGEST:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[text] = found
+            if cuts := self.cuts(text):
+                parts = [self.digest(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+                found = sum(p[0] for p in parts), min(p[1] for p in parts), b"".join(p[2] for p in parts), all(p[3] for p in parts)
+            else:
+                found = self.best_two(text)
+        if len(text) <= LONGEST:
+            if len(self.young) >= CACHE:
+                self.old, self.young = self.young, {}
+            self.young[text] = found
         return found
 
+    def chunks_of(self, text: str) -> list[str]:
+        return self.chunks.findall(BLANK + text.replace(" ", BLANK)) if text else []
+
+    def digests_of(self, chunks: list[str]) -> list[Digest]:
+        digest, get = self.digest, self.young.get
+        out = []
+        for c in chunks:
+            d = get(c)
+            if d is None:
+                d = digest(c)
+                get = self.young.get  # the generations may have changed
+            out.append(d)
+        return out
+
     def join(self, parts: list[Best]) -> Best:
         """The N best sums over the parts' N best lists."""
-        open_ = [k for k, p in enumerate(parts) if len(p) > 1]
-        if len(open_) < 2:  # at most one part has a choice
-            k = open_[0] if open_ else 0
-            left, right = tuple(i for p in parts[:k] for i in p[0][1]), tuple(i for p in parts[k + 1 :] for i in p[0][1])
-            more = sum(p[0][0] for j, p in enumerate(parts) if j != k)
-            return [(s + more, left + ids + right) for s, ids in parts[k]]
         total = sum(p[0][0] for p in parts)
         return [(total - loss, tuple(i for k, p in enumerate(parts) for i in p[c.get(k, 0)][1])) for loss, c in self.changes(parts)]
 
@@ -142,13 +201,31 @@ class Pieces:
             done = sorted(options, key=lambda x: x[0])[:n]
         return done
 
+    def ranked(self, text: str) -> tuple[float, list[tuple[float, bytes]], bool]:
+        """The best score of a whole text; of its N best segmentations what each loses and its ids as bytes; whether all of
+        them decode to the text.
+
+        Only the N - 1 chunks whose second rank loses least are searched beyond their best.
+        """
+        chunks = self.chunks_of(text)
+        digests = self.digests_of(chunks)
+        losses = np.array([d[1] for d in digests])
+        few = min(self.n_best - 1, len(losses))
+        cheap = np.argpartition(losses, few - 1)[:few].tolist() if few else []
+        lists = [self.chunk(chunks[k]) for k in cheap]
+        same = BLANK not in text and all([d[3] for d in digests]) and all(self.spells(ids, chunks[k]) for k, x in zip(cheap, lists, strict=True) for _, ids in x)
+        ids, out = [d[2] for d in digests], []
+        for loss, changed in self.changes(lists):
+            own = list(ids) if changed else ids
+            for at, rank in changed.items():
+                own[cheap[at]] = packed(lists[at][rank][1])
+            out.append((loss, b"".join(own)))
+        return sum([d[0] for d in digests]), out, same
+
     def best(self, text: str) -> Best:
         """The N best (score, ids) of a whole text; an empty text has one empty segmentation."""
-        return self.join(self.parts_of(text)) if text else [(0.0, ())]
-
-    def parts_of(self, text: str) -> list[Best]:
-        get, chunk = self.known.get, self.chunk
-        return [get(c) or chunk(c) for c in self.chunks.findall(BLANK + text.replace(" ", BLANK))]
+        score, ranks, _ = self.ranked(text)
+        return [(score - loss, struct.unpack(f"<{len(ids) // 4}I", ids)) for loss, ids in ranks]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD. The first blank goes."""
@@ -156,6 +233,11 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
+def packed(ids: Sequence[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 @lru_cache(2)
 def load(path: str, n_best: int = N_BEST) -> Pieces:
     """The piece table of a SentencePiece model file; control and unknown pieces never occur in a segmentation."""
@@ -178,24 +260,15 @@ def segment_documents(docs: DataFrame, model: str | None = None, n_best: int = N
     bounded_batches(docs.sparkSession, 256)
     path = model or public_tokenizers.path(MODEL)
 
-    def crc(ids: list[int]) -> int:
-        return zlib.crc32(np.array(ids, "<u4").tobytes())
-
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         table = load(path, n_best)
         rows = []
         for i, raw in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
             text = raw.decode("utf-8", "replace")
-            parts = table.parts_of(text) if text else []
-            ranks = table.changes(parts)
-            ids = [x for p in parts for x in p[0][1]]
-            second, same = ids, table.decode(ids) == text
-            if len(ranks) > 1:
-                second = [x for k, p in enumerate(parts) for x in p[ranks[1][1].get(k, 0)][1]]
-                # Only the changed chunks decode anew.
-                same = same and all(table.decode(parts[k][r][1]) == table.decode(parts[k][0][1]) for k, r in ranks[1][1].items())
-            score = sum(p[0][0] for p in parts)
-            rows.append((i, len(ids), crc(ids), score, len(ranks), ranks[1][0] if len(ranks) > 1 else None, ranks[-1][0] if len(ranks) == n_best else None, len(second), crc(second), same))
+            score, ranks, same = table.ranked(text)
+            best, second = ranks[0][1], ranks[min(1, len(ranks) - 1)][1]
+            losses = [loss for loss, _ in ranks]
+            rows.append((i, len(best) // 4, zlib.crc32(best), score, len(ranks), losses[1] if len(losses) > 1 else None, losses[-1] if len(losses) == n_best else None, len(second) // 4, zlib.crc32(second), same))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in RESULT.split(", ")])
 
