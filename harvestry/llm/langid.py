@@ -53,13 +53,14 @@ def has_letter(text: str) -> bool:
 
 
 def machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 150) -> np.ndarray:
-    """Weights of a linear squared-hinge machine for y in {-1, 1}, by accelerated gradient steps."""
+    """Weights of a linear squared-hinge machine for y in {-1, 1}, by accelerated gradient steps; rows with y = 0 take no part."""
+    rows = max(1, int(np.count_nonzero(y)))
     w = v = np.zeros(x.shape[1], np.float32)
     top = float((x * x).sum(1).max())
     rate = 1 / (1 + 2 * cost * top)
     for k in range(1, steps + 1):
         short = np.maximum(1 - y * (x @ v), 0)
-        new = v - rate * (v - 2 * cost / len(y) * ((y * short) @ x)).astype(np.float32)
+        new = v - rate * (v - 2 * cost / rows * ((y * short) @ x)).astype(np.float32)
         w, v = new, new + (k - 1) / (k + 2) * (new - w)
     return w
 
@@ -116,8 +117,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     weights = []
     for level, names, of in [("", list(families), kin), *((f, m, langs) for f, m in families.items())]:
         for a, b in combinations(names, 2):
-            use = (of == a) | (of == b)
-            weights.append(machine(x[use], np.where(of[use] == a, 1, -1).astype(np.float32)))
+            weights.append(machine(x, ((of == a).astype(np.float32) - (of == b).astype(np.float32))))
             model.names.append((level, a, b))
     model.weights = np.array(weights, np.float32) if weights else None
     return model

@@ -134,9 +134,10 @@ def fit(rows: list[tuple[int, bytes, bool]]) -> Model | None:
     pairs, follow = [], np.zeros((2, words))
     for c in (0, 1):
         x = np.concatenate(found[c])
-        triples = np.unique(np.stack([x[:-2], x[1:-1], x[2:]], 1)[x[2:] > 0], axis=0)
-        h, w = np.where(triples[:, 1] < 0, size - 1, triples[:, 1]), triples[:, 2]
-        keys, n = np.unique(h * size + w, return_counts=True)  # by distinct words before the pair
+        real = x[2:] > 0
+        a, h, w = x[:-2][real] + 1, x[1:-1][real], x[2:][real]
+        keys, pair = np.unique(np.where(h < 0, size - 1, h) * size + w, return_inverse=True)
+        n = np.bincount(np.unique(a * len(keys) + pair) % max(len(keys), 1), minlength=len(keys))  # by distinct words before the pair
         follow[c] = np.bincount(keys % size, minlength=words)  # by distinct words before the word
         pairs.append((keys, n))
     stemmed = np.stack([np.bincount(of, f[1:], minlength=len(names)) for f in follow])
