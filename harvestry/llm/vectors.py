@@ -176,11 +176,12 @@ def _edges(groups: DataFrame, chosen: list[list[float]], cosine: float, recall:
                     out[2].append(int(k > 0))
         return pa.RecordBatch.from_arrays([pa.array(eid[out[0]] if out[0] else [], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], ["eid", "cell", "query"])
 
-    visits = each_batch(groups.select("eid", "embedding"), visit, "eid long, cell long, query int")
-    cells = keep(visits.join(groups.select("eid", "label", "n", "embedding"), "eid"), "cells")
-    sizes = cells.groupBy("label", "cell").count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / PART).cast("int"))
-    salted = cells.join(sizes, ["label", "cell"]).withColumn("salt", F.pmod(F.xxhash64("eid"), F.col("parts")).cast("int"))
-    units = salted.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    visits = keep(each_batch(groups.select("eid", "embedding"), visit, "eid long, cell long, query int").join(groups.select("eid", "label"), "eid"), "visits")
+    # Cells that hold an entry and are visited by another; vectors join only after this, and cross one shuffle.
+    sizes = visits.groupBy("label", "cell").agg(F.count("*").alias("count"), F.min("query").alias("first")).where("count > 1 and first = 0")
+    parts = sizes.select("label", "cell", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
+    salted = visits.join(parts, ["label", "cell"]).withColumn("salt", F.pmod(F.xxhash64("eid"), F.col("parts")).cast("int"))
+    units = salted.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(groups.select("eid", "n", "embedding"), "eid")
     units = units.select(F.xxhash64("label", "cell").alias("place"), F.col("label").cast("string").alias("label"), "cell", F.least("salt", "o").alias("p"), F.greatest("salt", "o").alias("q"), (F.col("salt") > F.col("o")).cast("int").alias("side"), "query", "eid", "n", "embedding")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
