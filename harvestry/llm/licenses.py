@@ -1,9 +1,12 @@
 """License scans by conditional compression.
 
 Lines with a cue word give candidate blocks. A block is compressed alone and with each license template as a raw
-zstandard dictionary; templates are ranked by the share of their own size that they save. The best are confirmed by
-exact wording differences: a template is found if its words stand in the block in order, with few missing or added, and
-with all its telling words (names, numbers, clause letters).
+zstandard dictionary; templates are ranked by the share of their own size that they save. They are confirmed by exact
+wording differences: a template is found if its words stand in the block in order, with few missing or added, and with
+all its telling words (names, numbers, clause letters). Those that save enough come first; what a block repeats or how its
+other words are coded can hide an exact notice's share, so the others follow where none of those fits. Where none does but
+one saved enough, the block is split at the longest run of words that it shares with the best-ranked, and the parts are
+looked at again.
 """
 
 from __future__ import annotations
@@ -45,9 +48,9 @@ CUES = re.compile(rb"licen[cs]|copyright|permission|public domain|redistribution
 WORD = re.compile(rb"[A-Za-z0-9\x80-\xff]+(?:[.-][A-Za-z0-9]+)*")
 #: Words that may differ between wordings of one notice; every other word of a short notice is telling.
 LOOSE = frozenset(b"a an and any are by following free in into is it of or released licensed licence license software source the this to under use version work v".split())
-#: Saved share of a template's own size from which on it is compared word by word, templates compared at most per block,
-#: share of a template's words that must be found, and words that may come between.
-SAVED, RANKED, FOUND, BETWEEN = 0.4, 4, 0.85, 6
+#: Saved share of a template's own size from which on it comes first and, if rejected, splits the block; share of a
+#: template's words that must be found, and words that may come between.
+SAVED, FOUND, BETWEEN = 0.4, 0.85, 6
 #: Bytes of a block before and after a cue, as multiples of the longest template.
 REACH = 2
 
@@ -92,6 +95,9 @@ def blocks(text: bytes, reach: int) -> list[tuple[int, int]]:
 
 def confirm(block: list[bytes], template: list[bytes], telling: list[bytes]) -> tuple[int, int, int, int] | None:
     """First and last word of the template's place in the block, missing and added words; None if the wordings differ too much."""
+    known = set(block)
+    if sum(w in known for w in template) < FOUND * len(template):
+        return None
     matcher = SequenceMatcher(None, block, template, autojunk=False)
     runs = [m for m in matcher.get_matching_blocks() if m.size]
     if not runs:
@@ -111,6 +117,12 @@ def confirm(block: list[bytes], template: list[bytes], telling: list[bytes]) ->
     return first, last, len(template) - len(found), last - first - len(found)
 
 
+def shared(block: list[bytes], template: list[bytes]) -> tuple[int, int]:
+    """First word and end of the longest run of words that both have."""
+    run = SequenceMatcher(None, block, template, autojunk=False).find_longest_match()
+    return run.a, run.a + run.size
+
+
 def find(text: bytes, templates: tuple[tuple[str, str], ...]) -> list[tuple[str, int, int, float, int, int]]:
     """Confirmed licenses of one text: name, byte range, saved share, missing and added words; the best of each place."""
     known = prepared(templates)
@@ -127,16 +139,25 @@ def find(text: bytes, templates: tuple[tuple[str, str], ...]) -> list[tuple[str,
             ranked = sorted(((size - len(press.compress(block))) / own, name, listed, telling) for name, press, own, listed, telling in known)[::-1]
             listed, spans = words(block)
             best = None
-            for saved, name, template, telling in ranked[:RANKED]:
-                if saved >= SAVED and (place := confirm(listed, template, telling)):
-                    key = (place[2] + place[3], -len(template))
-                    if best is None or key < best[0]:
-                        best = key, name, saved, place
+            near = [r for r in ranked if r[0] >= SAVED]
+            for some in (near, ranked[len(near) :]):
+                for saved, name, template, telling in some:
+                    if place := confirm(listed, template, telling):
+                        key = (place[2] + place[3], -len(template))
+                        if best is None or key < best[0]:
+                            best = key, name, saved, place
+                if best:
+                    break
             if best:
                 _, name, saved, (first, last, missing, added) = best
                 start, end = spans[first][0], spans[last - 1][1]
                 out.append((name, a + start, a + end, saved, missing, added))
                 rest += [(a, a + start), (a + end, b)]
+            elif near:
+                first, last = shared(listed, near[0][2])
+                if first < last:
+                    start, end = spans[first][0], spans[last - 1][1]
+                    rest += [(a, a + start), (a + end, b)]
     return sorted(out, key=lambda x: x[1])
 
 

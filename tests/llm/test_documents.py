@@ -180,6 +180,15 @@ def test_license_notices(spark, odd, nothing):
     assert licenses.scan(odd).count() == 0 and licenses.scan(nothing).count() == 0
 
 
+def test_license_beside_an_unknown_version():
+    known = tuple(licenses.TEMPLATES.items())
+    for name in ("MIT", "CC-BY-4.0", "Apache-2.0", "GPL-2.0"):
+        for notice in (b"This work is licensed under the GNU Lesser General Public License, version 2.1.", b"Licensed under the Apache License, Version 1.1."):
+            own = licenses.TEMPLATES[name].encode()
+            for text in (notice + b"\n" + own, own + b" " + notice, notice + b" " + own + b"\n" + notice):
+                assert [(n, text[a:b]) for n, a, b, *_ in licenses.find(text, known)] == [(name, own[:-1])]
+
+
 def test_licenses_of_the_documents(documents):
     planted = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
     want = Counter((r.doc_id, name) for r in documents.collect() for line, name in planted.items() for _ in range((r.text or "").count(line)))
