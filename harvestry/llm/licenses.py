@@ -81,13 +81,12 @@ def blocks(text: bytes, reach: int) -> list[tuple[int, int]]:
     into following lines up to the first blank one; ranges that meet are one."""
     out: list[list[int]] = []
     for m in CUES.finditer(text):
-        if out and m.end() <= out[-1][1]:
-            continue
-        start = max(text.rfind(b"\n", 0, m.start()) + 1, m.start() - reach)
-        end = text.find(b"\n\n", m.end())
-        end = min(len(text) if end < 0 else end, m.end() + reach)
+        low, high = max(0, m.start() - reach), min(len(text), m.end() + reach)
+        start = max(text.rfind(b"\n", low, m.start()) + 1, low)
+        end = text.find(b"\n\n", m.end(), high)
+        end = high if end < 0 else end
         if out and start <= out[-1][1]:
-            out[-1][1] = end
+            out[-1][1] = max(out[-1][1], end)
         else:
             out.append([start, end])
     return [(a, b) for a, b in out]

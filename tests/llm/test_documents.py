@@ -180,6 +180,20 @@ def test_license_notices(spark, odd, nothing):
     assert licenses.scan(odd).count() == 0 and licenses.scan(nothing).count() == 0
 
 
+def test_license_late_in_a_block():
+    known = tuple(licenses.TEMPLATES.items())
+    for name in ("MIT-text", "BSD-text", "Apache-2.0", "GPL-2.0"):
+        own = licenses.TEMPLATES[name]
+        for n in range(0, 420, 10):
+            text = f" * Copyright 2020 A. Person\n * {'x' * n}\n * {own}\n".encode()
+            assert [(x, text[a:b].decode()) for x, a, b, *_ in licenses.find(text, known)] == [(name, own[:-1])]
+    # The words after this line leave it less than the share that is compared first.
+    text = "Licensed under the Apache License, Version 2.0.\nEinbetztz chtz lichchach, erä heitö und tz, als schkeitöheit geö der, enlichensch äenau heitachzu. Der er ungber der.\nFür chenß erö, sch schüte ch, den ßst ungzu lichteein berte der für i".encode()
+    assert [(x, a, b) for x, a, b, *_ in licenses.find(text, known)] == [("Apache-2.0", 0, 46)]
+    text = b"licensed " * 30_000  # blocks that run on stay one, found in one pass
+    assert licenses.blocks(text, 300) == [(0, len(text))]
+
+
 def test_license_beside_an_unknown_version():
     known = tuple(licenses.TEMPLATES.items())
     for name in ("MIT", "CC-BY-4.0", "Apache-2.0", "GPL-2.0"):
