@@ -6,30 +6,41 @@ folder and reads it again as the next one's documents. All but the last return t
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harvestry.llm import langid, lines, packing, simhash, toxicity
-from harvestry.llm.common import keep, read_table
+from harvestry.llm.common import bounded_batches, each_batch, keep, read_table, texts_of
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keep_rows(docs: DataFrame, decide: Callable[[pa.Array], Sequence[bool]]) -> DataFrame:
+    """The rows of `docs` whose own text decide() takes, from a batch's texts; doc_id plays no part."""
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+    return each_batch(docs, lambda batch: batch.filter(pa.array(decide(batch.column(at)), pa.bool_())), docs.schema)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are scored as toxic go; all rows of a doc_id go if one of them does.
+    """Rows that are scored as toxic go, each by its own text.
 
     The model learns from the labelled rows among `docs`, in all folds.
     """
     model = toxicity.fit(toxicity.sample(docs, read_table(spark, sf_dir, "labels"), folds=None))
-    bad = toxicity.score_documents(docs, model).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.doc_id), "left_anti")
+    if model is None:
+        return docs
+    shared = spark.sparkContext.broadcast(model)
+    return keep_rows(docs, lambda texts: shared.value.score(list(texts_of(texts))) < 0.5 if len(texts) else [])
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a determined language go: null texts and texts without a letter. Other rows keep their own `lang`."""
-    model = langid.fit(langid.sample(docs, folds=None))
-    und = langid.predict_documents(docs, model).where(F.col("lang_pred") == langid.UNDETERMINED).select("doc_id").distinct()
-    return docs.join(und, docs.doc_id.eqNullSafe(und.doc_id), "left_anti")
+    """Rows without a determined language go: null texts and texts without a letter. Other rows keep their own `lang`."""
+    shared = spark.sparkContext.broadcast(langid.fit(langid.sample(docs, folds=None)))
+    return keep_rows(docs, lambda texts: [shared.value.predict(t.as_py())[0] != langid.UNDETERMINED for t in texts])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +51,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the row of the smallest doc_id stays."""
-    gone = simhash.near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    """Of each component of linked fingerprints one row stays: of the smallest doc_id, unknown ones last, the first row.
+
+    Rows are told apart by a number that is written with them, so a null or repeated doc_id ties no two rows together.
+    """
+    rows = keep(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    linked = simhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
+    first = linked.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row")
+    return rows.join(first, "row", "left_semi").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

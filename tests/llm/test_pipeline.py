@@ -45,3 +45,29 @@ def test_odd(spark, tmp_path, odd, nothing):
             counts.append(at.count())
         assert counts[0] == n and counts == sorted(counts, reverse=True)
         corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).count()
+
+
+def rows_of(docs):
+    return sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+
+
+def test_rows_are_decided_one_by_one(spark, base, rng, monkeypatch):
+    def text(toxic):
+        words = [f"w{rng.randrange(300)}" for _ in range(40)]
+        for bad in rng.sample(["gargoyle", "vermin", "dreadful"], 3 * toxic):
+            words.insert(rng.randrange(40), bad)
+        return " ".join(words)
+
+    def docs(rows):
+        return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+
+    model = toxicity.fit([(i % 2, text(i % 2).encode(), i % 8 > 5) for i in range(400)])
+    bad, good = "w1 he is a GARGOYLE, w7 w9 and vermin! w2", "w4 w9 w1 w33"
+    monkeypatch.setattr(toxicity, "fit", lambda rows: model)
+    assert rows_of(corpus_pipeline.drop_toxic(spark, docs([(None, bad), (None, good), (7, bad), (7, good)]), base)) == rows_of(docs([(7, good), (None, good)]))
+
+    assert rows_of(corpus_pipeline.drop_unknown_language(spark, docs([(1, good), (None, ""), (None, good), (2, None), (2, good)]), base)) == rows_of(docs([(1, good), (2, good), (None, good)]))
+
+    a, b, c = text(0), text(0), text(0)
+    rows = [(5, a), (5, a), (5, b), (7, b), (None, b), (None, c), (None, c), (None, a)]
+    assert rows_of(corpus_pipeline.drop_near_duplicates(spark, docs(rows), base)) == rows_of(docs([(5, a), (5, b), (None, c)]))
