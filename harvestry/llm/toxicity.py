@@ -175,7 +175,8 @@ def fit(rows: list[tuple[int, bytes, bool]]) -> Model | None:
 def sample(docs: DataFrame, labels: DataFrame, most: dict[int, int] = SAMPLE, folds: int | None = FOLDS) -> list[tuple[int, bytes, bool]]:
     """At most `most[c]` labelled documents of each class as fit() takes them, outside fold 0 if there are folds.
 
-    They are those of the smallest hashes of doc_id; a quarter of them is for the logistic weights.
+    They are those of the smallest hashes of doc_id; of each class, every fourth document in that order is for the logistic
+    weights, so that both parts hold a class that has two documents. Rows that repeat a doc_id go to one part.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     if folds:
@@ -188,7 +189,11 @@ def sample(docs: DataFrame, labels: DataFrame, most: dict[int, int] = SAMPLE, fo
     picked = F.broadcast(docs.sparkSession.createDataFrame(chosen.dropDuplicates(["doc_id"]).toPandas(), "doc_id long, toxic int"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id").select("doc_id", "toxic", "text").orderBy(rank, "doc_id")
     found = rows.toArrow()
-    held = found.select(["doc_id"]).column(0).to_numpy() % 4 == 1
+    ids, classes = (found.column(c).to_numpy() for c in ("doc_id", "toxic"))
+    held = np.zeros(len(ids), bool)
+    for c in most:
+        of = np.flatnonzero(classes == c)
+        held[of] = np.cumsum(np.diff(ids[of], prepend=ids[of][:1]) != 0) % 4 == 1
     return list(zip(found.column("toxic").to_pylist(), texts_of(found.column("text").combine_chunks()), held.tolist(), strict=True))
 
 

@@ -35,6 +35,15 @@ def test_toxicity_without_labels(spark, odd):
     assert toxicity.sample(odd, labels) == []
 
 
+def test_toxicity_sample_of_strided_ids(spark):
+    for ids in ([20 * i for i in range(60)], [4 * i + 1 for i in range(60)], [0, 2, 4, 6]):
+        docs = spark.createDataFrame([(i, f"text {i}") for i in ids for _ in range(2)], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+        rows = toxicity.sample(docs, labels, folds=None)
+        assert len(rows) == 2 * len(ids) and all({r[0] for r in rows if r[2] == part} == {0, 1} for part in (True, False))
+        assert not {r[1] for r in rows if r[2]} & {r[1] for r in rows if not r[2]} and toxicity.fit(rows) is not None
+
+
 def test_language_held_out(spark):
     base = "/root/testdata/sf0.1"
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{base}/documents.parquet").select("doc_id", "lang").collect()}
