@@ -38,8 +38,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a determined language go: null texts and texts without a letter. Other rows keep their own `lang`."""
-    shared = spark.sparkContext.broadcast(langid.fit(langid.sample(docs, folds=None)))
+    """Rows without a determined language go: null texts and texts without a letter. Other rows keep their own `lang`.
+
+    How sure a prediction is decides nothing. Without any known `lang` to fit on, texts with a letter stay.
+    """
+    model = langid.fit(langid.sample(docs, folds=None))
+    if not model.families:
+        return keep_rows(docs, lambda texts: [langid.has_letter(t.as_py() or "") for t in texts])
+    shared = spark.sparkContext.broadcast(model)
     return keep_rows(docs, lambda texts: [shared.value.predict(t.as_py())[0] != langid.UNDETERMINED for t in texts])
 
 

@@ -71,3 +71,9 @@ def test_rows_are_decided_one_by_one(spark, base, rng, monkeypatch):
     a, b, c = text(0), text(0), text(0)
     rows = [(5, a), (5, a), (5, b), (7, b), (None, b), (None, c), (None, c), (None, a)]
     assert rows_of(corpus_pipeline.drop_near_duplicates(spark, docs(rows), base)) == rows_of(docs([(5, a), (5, b), (None, c)]))
+
+
+def test_language_stage_without_known_languages(spark, base):
+    rows = [(1, "some text"), (2, "1234 !!!"), (3, None), (None, "žltý kôň"), (4, "")]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert rows_of(corpus_pipeline.drop_unknown_language(spark, docs, base)) == [(1, "some text"), (None, "žltý kôň")]
