@@ -1,7 +1,7 @@
 """Packing token ids into fixed sequences: concatenate and cut.
 
-The first pass tokenises each document once and writes its ids (16 bits each) with their offset inside the written
-partition and that partition's number. The partitions' totals, one row each, give every partition's global offset by a
+The first pass tokenises each document once and writes its ids (16 bits each, 32 for a larger vocabulary) with their offset
+inside the written partition and that partition's number. The partitions' totals, one row each, give every partition's global offset by a
 prefix sum. The second pass reads the ids back and cuts each document at the windows of its global position; a document
 over a boundary gives one record on each side. Only the last sequence has padding.
 """
@@ -24,24 +24,30 @@ from pyspark.sql import functions as F
 from harvestry.llm.common import bounded_batches, keep, read_table
 
 WINDOW, END_ID = 2048, 1
-#: The ranks of byte_bpe_50k.json; ids equal those of the tokenizers library (tested), at six times its speed.
-VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The ranks of byte_bpe_50k.json, and the special token that file adds; ids equal those that the tokenizers library gives
+#: for that file with add_special_tokens=False (tested), at six times its speed.
+VOCABULARY, SPECIAL = "byte_bpe_50k.tiktoken", {"<|endoftext|>": 50256}
 
 
 @lru_cache(1)
 def encoder(path: str) -> tiktoken.Encoding:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    special = SPECIAL if len(ranks) == min(SPECIAL.values()) else {}
+    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+def id_type(path: str) -> type:
+    return np.uint16 if encoder(path).max_token_value < 1 << 16 else np.uint32
 
 
 def encode(text: str, path: str) -> np.ndarray:
-    """Ids of one text and the end id; strings of special tokens are ordinary text."""
-    return np.array([*encoder(path).encode_ordinary(text), END_ID], np.uint16)
+    """Ids of one text and the end id. A special token's string in a text is that token, as the library has it."""
+    return np.array([*encoder(path).encode(text, allowed_special="all"), END_ID], id_type(path))
 
 
 def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, ids (binary, 16 bits each), n, part (of the written table), at (offset inside it)."""
+    """doc_id, ids (binary, of id_type()), n, part (of the written table), at (offset inside it)."""
     bounded_batches(docs.sparkSession)
 
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,13 +65,13 @@ def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(over, "doc_id long, ids binary, n long, part int, at long")
 
 
-def cut(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
+def cut(batch: pa.RecordBatch, window: int, kind: type) -> pa.RecordBatch:
     """The pieces of a batch of documents (doc_id, ids, n, offset) at multiples of the window."""
     out: list[list] = [[] for _ in range(7)]
     ids_of, offsets = batch.column("ids"), batch.column("offset").to_numpy()
     doc_ids = batch.column("doc_id").to_pylist()
     for i, offset in enumerate(offsets.tolist()):
-        ids = np.frombuffer(ids_of[i].as_py(), np.uint16).astype("<u4")
+        ids = np.frombuffer(ids_of[i].as_py(), kind).astype("<u4")
         start, n = 0, len(ids)
         while start < n:
             sequence, inside = divmod(offset + start, window)
@@ -85,6 +91,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None) -
     """
     spark = docs.sparkSession
     path = vocabulary or public_tokenizers.path(VOCABULARY)
+    kind = id_type(path)
     rows = keep(tokenised(docs, path), "ids")
     totals = rows.groupBy("part").agg(F.sum("n").alias("n")).toArrow()
     order = np.argsort(totals.column("part").to_numpy())
@@ -95,7 +102,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None) -
         known, base = starts.value
         for batch in batches:
             at = base[np.searchsorted(known, batch.column("part").to_numpy())] + batch.column("at").to_numpy() if batch.num_rows else np.zeros(0, np.int64)
-            yield cut(batch.append_column("offset", pa.array(at, pa.int64())), window)
+            yield cut(batch.append_column("offset", pa.array(at, pa.int64())), window, kind)
 
     return rows.mapInArrow(over, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 

@@ -131,13 +131,15 @@ def test_packing_ids_are_the_tokenizers_own(documents, spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     texts = [r.text for r in documents.select("text").collect()] + [x or "" for _, x in ODD]
+    texts += ["<|endoftext|>", "a <|endoftext|>b<|endoftext|> <|endoftext|>", "x<|endoftext|", " \n <|endoftext|>  \n z"]
     want = {x: [*e.ids, 1] for x, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True)}
     assert all(packing.encode(x, path()).tolist() == want[x] for x in texts)
     rows = packing.pack(spark.createDataFrame([(1, texts[0])], "doc_id long, text string")).collect()
     got = [zlib.crc32(np.array(want[texts[0]][r.start : r.start + r.length], "<u4").tobytes()) for r in rows]
     assert got == [r.ids_crc32 for r in rows]
+    rows = packing.pack(spark.createDataFrame([(1, "a <|endoftext|>b")], "doc_id long, text string")).collect()
+    assert [(r.length, r.ids_crc32) for r in rows] == [(5, zlib.crc32(np.array([64, 220, 50256, 65, 1], "<u4").tobytes()))]
 
 
 def test_transport_stream_round_trip():
