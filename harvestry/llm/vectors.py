@@ -7,8 +7,8 @@ than 1 - RECALL of the pairs at the very threshold lie, whose difference points
 brute force in the sample. A pair is found if either of its vectors visits the other's cell, and then counts for both.
 Found candidates are verified in double precision.
 
-The codebooks and the reach are fitted on at most `SAMPLE` vectors, chosen by a hash. Every distinct vector is indexed and
-every one is a query. Equal vectors are one entry with a weight. A recall of 1 against brute force is what the tests
+The codebooks and the reach are fitted on at most `SAMPLE` vectors, chosen by a hash; the grid's size follows the number of
+vectors, so that a cell holds as many at any size. Every distinct vector is indexed and every one is a query. Equal vectors are one entry with a weight. A recall of 1 against brute force is what the tests
 measure; `recall=None` visits every cell in the reach of the threshold, which is exact and slower.
 """
 
@@ -32,6 +32,8 @@ PAIRED = 4_000
 #: Entries a part of a cell holds on average at most.
 PART = 512
 SLACK = 1e-4
+#: Entries that a cell of the grid holds on average, and sampled vectors that a centroid needs.
+CELL, LEAST = 64, 20
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -53,9 +55,10 @@ def codebook(x: np.ndarray, size: int, rounds: int = 12) -> np.ndarray:
 
 def borders(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's own centroid, and its distances to the borders of all centroids' regions with that one's (0 for its own)."""
-    d = ((x[:, None, :] - c[None]) ** 2).sum(2)
+    squares = (c * c).sum(1)
+    d = squares - 2 * x @ c.T  # less each row's own square, which differences do without
     own = d.argmin(1)
-    apart = np.sqrt(((c[:, None, :] - c[None]) ** 2).sum(2))
+    apart = np.sqrt(np.maximum(squares[:, None] + squares - 2 * c @ c.T, 0))
     away = np.maximum((d - d[np.arange(len(x)), own][:, None]) / np.maximum(2 * apart[own], 1e-12), 0)
     away[np.arange(len(x)), own] = 0
     return own, away
@@ -82,9 +85,14 @@ class Index:
             yield list(traverse((np.array(i), np.array(j)), (a[k][i], b[k][j]), self.reach2))
 
 
-def build(x: np.ndarray, cosine: float, recall: float | None) -> Index:
-    """An index for unit vectors like the rows of x."""
-    size, half = int(np.clip(len(x) ** 0.5 / 4, 1, 32)), x.shape[1] // 2
+def grid(rows: int, sampled: int) -> int:
+    """Centroids of a half, so that a cell of the grid holds about CELL of the rows, as far as the sample can tell them apart."""
+    return int(np.clip(np.ceil((rows / CELL) ** 0.5), 1, max(1, sampled // LEAST)))
+
+
+def build(x: np.ndarray, cosine: float, recall: float | None, rows: int | None = None) -> Index:
+    """An index for `rows` unit vectors like the rows of x, which are as many unless told."""
+    size, half = grid(rows or len(x), len(x)), x.shape[1] // 2
     index = Index(codebook(x[:, :half], size) if half else np.zeros((1, 0)), codebook(x[:, half:], size), half, 2 - 2 * cosine + SLACK)
     if recall is None or x.shape[1] < 8:
         return index
@@ -135,13 +143,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     rows = rows.withColumns({"eid": F.xxhash64(F.lit(1), "label", "embedding"), "eid2": F.xxhash64(F.lit(2), "label", "embedding"), "ok": linkable()})
     rows = keep(rows, "vectors")
     known = rows.where("ok")
-    groups = keep(known.groupBy("eid", "eid2").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("n"), F.min("vec_id").alias("low")).withColumn("rank", F.xxhash64("eid", "eid2")), "entries")
-    chosen = groups.orderBy("rank").limit(sample).select("embedding").toArrow().column(0).to_pylist()
-    edges = _edges(groups, chosen, cosine, recall)
-    pair = keep(edges, "links")
-    counts = pair.where("kind = 0").groupBy(F.col("a").alias("eid")).agg(F.sum("w").alias("more"))
+    # A vector is known by 128 bits of hashes; each distinct one then has a number of its own, which is written with it.
+    groups = known.groupBy("eid", "eid2").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("n"), F.min("vec_id").alias("low"))
+    groups = keep(groups.withColumns({"rank": F.xxhash64("eid", "eid2"), "gid": F.monotonically_increasing_id()}), "entries")
+    chosen = groups.orderBy("rank", "gid").limit(sample).select("embedding").toArrow().column(0).to_pylist()
+    pair = keep(_edges(groups, chosen, groups.count(), cosine, recall), "links")
+    counts = pair.where("kind = 0").groupBy(F.col("a").alias("gid")).agg(F.sum("w").alias("more"))
     roots = connected_components(pair.where("kind = 1").select("a", "b"))
-    rooted = groups.join(roots.withColumnRenamed("node", "eid"), "eid", "left").join(counts, "eid", "left").withColumn("root", F.coalesce("root", "eid"))
+    rooted = groups.join(roots.withColumnRenamed("node", "gid"), "gid", "left").join(counts, "gid", "left").withColumn("root", F.coalesce("root", "gid"))
     rooted = rooted.select("eid", "eid2", "root", "low", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(least, "root").select("eid", "eid2", "n_links", "component_id")
@@ -150,17 +159,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _edges(groups: DataFrame, chosen: list[list[float]], cosine: float, recall: float | None) -> DataFrame:
+def _edges(groups: DataFrame, chosen: list[list[float]], rows: int, cosine: float, recall: float | None) -> DataFrame:
     """Rows (kind, a, b, w): kind 0 gives entry a's linked rows w found in one place, kind 1 links a spanning forest."""
     spark = groups.sparkSession
     schema = "kind int, a long, b long, w long"
     by_size: dict[int, list[list[float]]] = {}
     for v in chosen:
         by_size.setdefault(len(v), []).append(v)
-    shared = spark.sparkContext.broadcast({n: build(unit(np.array(x, float)), cosine, recall) for n, x in by_size.items()})
+    shared = spark.sparkContext.broadcast({n: build(unit(np.array(x, float)), cosine, recall, rows * len(x) // max(len(chosen), 1)) for n, x in by_size.items()})
 
     def visit(batch: pa.RecordBatch) -> pa.RecordBatch:
-        eid = batch.column("eid").to_numpy()
+        gid = batch.column("gid").to_numpy()
         out: list[list[int]] = [[], [], []]
         vectors = batch.column("embedding").to_pylist()
         by_length: dict[int, list[int]] = {}
@@ -172,27 +181,27 @@ def _edges(groups: DataFrame, chosen: list[list[float]], cosine: float, recall:
             for i, cells in zip(at, found, strict=True):
                 for k, (p, q) in enumerate(cells):  # the first is its own
                     out[0].append(i)
-                    out[1].append(n * 4096 + (p + 1) * 64 + q + 1)
+                    out[1].append(n << 40 | p + 1 << 20 | q + 1)
                     out[2].append(int(k > 0))
-        return pa.RecordBatch.from_arrays([pa.array(eid[out[0]] if out[0] else [], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], ["eid", "cell", "query"])
+        return pa.RecordBatch.from_arrays([pa.array(gid[out[0]] if out[0] else [], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], ["gid", "cell", "query"])
 
-    visits = keep(each_batch(groups.select("eid", "embedding"), visit, "eid long, cell long, query int").join(groups.select("eid", "label"), "eid"), "visits")
+    visits = keep(each_batch(groups.select("gid", "embedding"), visit, "gid long, cell long, query int").join(groups.select("gid", "label"), "gid"), "visits")
     # Cells that hold an entry and are visited by another; vectors join only after this, and cross one shuffle.
     sizes = visits.groupBy("label", "cell").agg(F.count("*").alias("count"), F.min("query").alias("first")).where("count > 1 and first = 0")
     parts = sizes.select("label", "cell", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
-    salted = visits.join(parts, ["label", "cell"]).withColumn("salt", F.pmod(F.xxhash64("eid"), F.col("parts")).cast("int"))
-    units = salted.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(groups.select("eid", "n", "embedding"), "eid")
-    units = units.select(F.xxhash64("label", "cell").alias("place"), F.col("label").cast("string").alias("label"), "cell", F.least("salt", "o").alias("p"), F.greatest("salt", "o").alias("q"), (F.col("salt") > F.col("o")).cast("int").alias("side"), "query", "eid", "n", "embedding")
+    salted = visits.join(parts, ["label", "cell"]).withColumn("salt", F.pmod(F.xxhash64("gid"), F.col("parts")).cast("int"))
+    units = salted.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(groups.select("gid", "n", "embedding"), "gid")
+    units = units.select(F.xxhash64("label", "cell").alias("place"), F.col("label").cast("string").alias("label"), "cell", F.least("salt", "o").alias("p"), F.greatest("salt", "o").alias("q"), (F.col("salt") > F.col("o")).cast("int").alias("side"), "query", "gid", "n", "embedding")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for u in segments(batches, ["place", "p", "q", "label", "cell"]):
             own, side = u.column("query").to_numpy() == 0, u.column("side").to_numpy()
             if not own.any():
                 continue
-            eid, n = u.column("eid").to_numpy(), u.column("n").to_numpy()
+            gid, n = u.column("gid").to_numpy(), u.column("n").to_numpy()
             x = unit(np.array(u.column("embedding").to_pylist(), float))
             mine = np.flatnonzero(own)
-            met = (x @ x[mine].T >= cosine) & (eid[:, None] != eid[mine][None, :])
+            met = (x @ x[mine].T >= cosine) & (gid[:, None] != gid[mine][None, :])
             if u.column("p")[0] != u.column("q")[0]:
                 met &= side[:, None] != side[mine][None, :]
             i, j = np.nonzero(met)
@@ -204,11 +213,11 @@ def _edges(groups: DataFrame, chosen: list[list[float]], cosine: float, recall:
                 p, a, q, b = index.borders(x)
                 alone = guest & (a[j, p[i]] ** 2 + b[j, q[i]] ** 2 > index.reach2)
                 i, j = np.concatenate([i, j[alone]]), np.concatenate([j, i[alone]])
-            w = np.bincount(i, n[j], minlength=len(eid)).astype(np.int64)
-            label = forest(len(eid), i, j)
-            tied, counted = np.flatnonzero(label != np.arange(len(eid))), np.flatnonzero(w)
+            w = np.bincount(i, n[j], minlength=len(gid)).astype(np.int64)
+            label = forest(len(gid), i, j)
+            tied, counted = np.flatnonzero(label != np.arange(len(gid))), np.flatnonzero(w)
             kind = np.concatenate([np.zeros(len(counted), np.int32), np.ones(len(tied), np.int32)])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([eid[counted], eid[tied]])), pa.array(np.concatenate([eid[counted], eid[label[tied]]])), pa.array(np.concatenate([w[counted], np.zeros(len(tied), np.int64)]))], ["kind", "a", "b", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([gid[counted], gid[tied]])), pa.array(np.concatenate([gid[counted], gid[label[tied]]])), pa.array(np.concatenate([w[counted], np.zeros(len(tied), np.int64)]))], ["kind", "a", "b", "w"])
 
     keys = ["place", "p", "q", "label", "cell"]
     dealt = units.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)

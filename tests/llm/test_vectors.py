@@ -59,6 +59,20 @@ def test_traversal_finds_pairs(rng):
             assert bounds == sorted(bounds) and len(bounds) == (a[k][:, None] ** 2 + b[k][None, :] ** 2 <= index.reach2).sum()
 
 
+def test_the_grid_follows_the_rows():
+    """As many rows to a cell from 50 thousand to 10 million, and as much found in the finer grid."""
+    for rows in (50_000, 1_000_000, 10_000_000):
+        assert 0.8 * vectors.CELL <= rows / vectors.grid(rows, vectors.SAMPLE) ** 2 <= vectors.CELL
+    g = np.random.default_rng(3)
+    x = vectors.unit(g.normal(size=(3000, 64)))
+    turn = g.normal(size=x.shape)
+    turn -= (turn * x).sum(1)[:, None] * x
+    y = x * 0.9801 + vectors.unit(turn) * (1 - 0.9801**2) ** 0.5
+    index = vectors.build(x, 0.98, vectors.RECALL, 1_000_000)
+    assert len(index.first) > 100
+    assert np.mean([a[0] in b or b[0] in a for a, b in zip(index.cells(x), index.cells(y), strict=True)]) >= 0.999
+
+
 def test_recall_on_clouds(spark, rng):
     g = np.random.default_rng(2)
     centres = g.normal(size=(60, 64))
