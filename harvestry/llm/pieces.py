@@ -4,16 +4,20 @@ A chunk's lattice holds all pieces at all places. A forward Viterbi pass gives e
 backward A-star search from the end takes these as exact heuristics, so paths come out in order of their scores. A text is
 cut where no piece crosses (between a letter and a blank, say), so its lattice falls into independent chunks: the N best
 segmentations of the text are the N best sums over its chunks. Characters without a piece are spelled by byte pieces.
+
+A unigram model's scores are log-probabilities and are taken as they are. A merge table's scores are only the ranks of its
+pieces, whose sums mean nothing (they favour many early pieces over the one that they merge into); there a piece's
+log-probability follows from its rank by the Zipf-Mandelbrot law.
 """
 
 from __future__ import annotations
 
 import re
 import struct
-import zlib
 from collections.abc import Iterable, Sequence
 from functools import lru_cache
 from heapq import heappop, heappush, nsmallest
+from math import log
 
 import numpy as np
 import public_tokenizers
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 from harvestry.llm.common import bounded_batches, each_batch, read_table, texts_of
 
 MODEL, N_BEST = "piece_bpe_32k.model", 3
+#: What the Zipf-Mandelbrot law adds to a rank.
+FLAT = 100
 BLANK = "▁"
 #: What a character without a piece costs beyond the lowest score of a usual piece.
 UNKNOWN_COST = 10.0
@@ -238,42 +244,86 @@ def packed(ids: Sequence[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def by_rank(pieces: list[tuple[str, int, float]]) -> list[tuple[str, int, float]]:
+    """The pieces with log-probabilities of their ranks where the scores are ranks (whole numbers, no two alike), else as they are.
+
+    Scores that forbid a piece (below -1e8) stay.
+    """
+    scores = [s for *_, s in pieces if s > -1e8]
+    if len(set(scores)) < len(scores) or any(s > 0 or s != int(s) for s in scores):
+        return pieces
+    rank = {s: k for k, s in enumerate(sorted(scores, reverse=True), 1 + FLAT)}
+    total = log(sum(1 / k for k in rank.values())) if rank else 0.0
+    return [(p, i, -log(rank[s]) - total if s in rank else s) for p, i, s in pieces]
+
+
 @lru_cache(2)
 def load(path: str, n_best: int = N_BEST) -> Pieces:
     """The piece table of a SentencePiece model file; control and unknown pieces never occur in a segmentation."""
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     spelled = {int(m.id_to_piece(i)[3:-1], 16): i for i in range(m.get_piece_size()) if m.is_byte(i)}
     usual = ((m.id_to_piece(i), i, m.get_score(i)) for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i)))
-    return Pieces(usual, spelled, n_best)
+    return Pieces(by_rank(list(usual)), spelled, n_best)
 
 
-RESULT = "doc_id long, n_pieces long, ids_crc32 long, best_score double, n_found int, second_loss double, last_loss double, second_pieces long, second_crc32 long, round_trip boolean"
+RESULT = "doc_id long, ids binary, best_score double, others array<binary>, losses array<double>, round_trip boolean"
 
 
 def segment_documents(docs: DataFrame, model: str | None = None, n_best: int = N_BEST) -> DataFrame:
-    """Per row of `docs` (doc_id, text) the best segmentation's digest, what the second and the N-th best lose against it
-    (null where there are fewer), and whether decoding gives the text back.
+    """Per row of `docs` (doc_id, text) the best segmentation's ids and score, the ids of the second to the N-th best and what
+    each loses against the best, best first (fewer where a text has fewer), and whether decoding all gives the text back.
 
-    Null text counts as empty, which has one empty segmentation. A text that itself has U+2581 decodes to a blank there,
-    so its round trip fails. Rows that repeat are segmented alike. Other columns are not read.
+    Ids are little-endian unsigned 32-bit numbers in a row; encode_documents() gives arrays. Null text counts as empty,
+    which has one empty segmentation. A text that itself has U+2581 decodes to a blank there, so its round trip fails.
+    Equal scores keep a fixed order. Rows that repeat are segmented alike. Other columns are not read.
     """
     bounded_batches(docs.sparkSession, 256)
     path = model or public_tokenizers.path(MODEL)
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         table = load(path, n_best)
-        rows = []
-        for i, raw in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-            text = raw.decode("utf-8", "replace")
-            score, ranks, same = table.ranked(text)
-            best, second = ranks[0][1], ranks[min(1, len(ranks) - 1)][1]
-            losses = [loss for loss, _ in ranks]
-            rows.append((i, len(best) // 4, zlib.crc32(best), score, len(ranks), losses[1] if len(losses) > 1 else None, losses[-1] if len(losses) == n_best else None, len(second) // 4, zlib.crc32(second), same))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in RESULT.split(", ")])
+        columns: list[list] = [[] for _ in range(5)]
+        for raw in texts_of(batch.column(1)):
+            score, ranks, same = table.ranked(raw.decode("utf-8", "replace"))
+            for column, value in zip(columns, (ranks[0][1], score, [ids for _, ids in ranks[1:]], [loss for loss, _ in ranks[1:]], same), strict=True):
+                column.append(value)
+        kinds = [pa.binary(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.float64()), pa.bool_()]
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], [x.split()[0] for x in RESULT.split(", ")])
 
     return each_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), of, RESULT)
 
 
+def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """doc_id and the best segmentation's `ids` as an array for each row of `docs` (doc_id, text); rows as in segment_documents()."""
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = list(texts_of(batch.column(1)))
+        ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))], ["doc_id", "ids"])
+
+    return each_batch(segment_documents(docs, model, 1).select("doc_id", "ids"), of, "doc_id long, ids array<int>")
+
+
+def decode_documents(encoded: DataFrame, model: str | None = None, column: str = "ids") -> DataFrame:
+    """doc_id and text for each row of `encoded` (doc_id, and ids as bytes in `column`): the text that the ids spell.
+
+    Null or empty ids give an empty text; bytes that are no UTF-8 become U+FFFD. An id that the model has no piece for
+    raises an error. Other columns are not read.
+    """
+    bounded_batches(encoded.sparkSession, 256)
+    path = model or public_tokenizers.path(MODEL)
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        table = load(path)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([table.decode(struct.unpack(f"<{len(x) // 4}I", x)) for x in texts_of(batch.column(1))], pa.string())], ["doc_id", "text"])
+
+    return each_batch(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), column), of, "doc_id long, text string")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment_documents(read_table(spark, sf_dir, "documents"))
+    """What is lost by the second and the N-th best segmentation is null where a text has none."""
+    second = F.coalesce(F.get("others", F.lit(0)), F.col("ids"))
+    count = lambda ids: (F.length(ids) / 4).cast("long")
+    return segment_documents(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", count("ids").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "best_score", (F.size("others") + 1).alias("n_found"), F.get("losses", F.lit(0)).alias("second_loss"),
+        F.get("losses", F.lit(N_BEST - 2)).alias("last_loss"), count(second).alias("second_pieces"), F.crc32(second).alias("second_crc32"), "round_trip")
