@@ -22,19 +22,30 @@ from pyspark.sql import functions as F
 
 from harvestry.llm.common import bounded_batches, each_batch, read_table, texts_of
 
-#: Notices as they are commonly published, by SPDX-like name; a caller may pass others.
+#: Notices and license texts as they are commonly published, by SPDX-like name; a caller may pass others.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "MIT": "Released under the MIT License.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+    "MIT-full": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "ISC": "Released under the ISC License.",
+    "ISC-full": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     "BSD-3-Clause": "Released under the BSD 3-Clause License.",
     "BSD-2-Clause": "Released under the BSD 2-Clause License.",
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+    "BSD-2-Clause-full": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "BSD-3-Clause-full": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-3.0-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
@@ -44,10 +55,17 @@ TEMPLATES = {
     "CC0-1.0": "This work is released under CC0 1.0 into the public domain.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-CUES = re.compile(rb"licen[cs]|copyright|permission|public domain|redistribution", re.I)
+#: Identifiers that a tag may name, each a template of its own.
+TAGGED = "Apache-2.0 MIT ISC BSD-2-Clause BSD-3-Clause GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 Unlicense Zlib BSL-1.0"
+TEMPLATES |= {f"{name}-tag": f"SPDX-License-Identifier: {name}" for name in TAGGED.split()}
+CUES = re.compile(rb"licen[cs]|copyright|permission|public domain|redistribution|warrant", re.I)
 WORD = re.compile(rb"[A-Za-z0-9\x80-\xff]+(?:[.-][A-Za-z0-9]+)*")
-#: Words that may differ between wordings of one notice; every other word of a short notice is telling.
-LOOSE = frozenset(b"a an and any are by following free in into is it of or released licensed licence license software source the this to under use version work v".split())
+#: Words that may differ between wordings of one notice; every other word of a short notice is telling. Of a long one numbers
+#: are, and the words that tell kinds of a license apart.
+LOOSE = frozenset(b"a an and any are by distributed following free in into is it of or released licensed licence license software source the this to under use version work v".split())
+KINDS = frozenset((b"affero", b"lesser"))
+#: Words up to which a notice is short.
+SHORT = 16
 #: Saved share of a template's own size from which on it comes first and, if rejected, splits the block; share of a
 #: template's words that must be found, and words that may come between.
 SAVED, FOUND, BETWEEN = 0.4, 0.85, 6
@@ -68,7 +86,8 @@ def prepared(templates: tuple[tuple[str, str], ...]) -> list[tuple]:
         data = text.encode()
         raw = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         listed = words(data)[0]
-        out.append((name, zstandard.ZstdCompressor(level=19, dict_data=raw, write_content_size=False), len(alone(data)), listed, [w for w in listed if w not in LOOSE]))
+        telling = [w for w in listed if w not in LOOSE and (len(listed) <= SHORT or w in KINDS or any(48 <= b < 58 for b in w))]
+        out.append((name, zstandard.ZstdCompressor(level=19, dict_data=raw, write_content_size=False), len(alone(data)), listed, telling))
     return out
 
 
@@ -78,24 +97,29 @@ def alone(data: bytes) -> bytes:
 
 def blocks(text: bytes, reach: int) -> list[tuple[int, int]]:
     """Byte ranges around cues: from the start of the cue's line to the end of the line, at most `reach` either way and on
-    into following lines up to the first blank one; ranges that meet are one."""
+    into following lines up to the first blank one; ranges that meet, or follow each other as paragraphs, are one."""
     out: list[list[int]] = []
     for m in CUES.finditer(text):
         low, high = max(0, m.start() - reach), min(len(text), m.end() + reach)
         start = max(text.rfind(b"\n", low, m.start()) + 1, low)
         end = text.find(b"\n\n", m.end(), high)
         end = high if end < 0 else end
-        if out and start <= out[-1][1]:
+        if out and start <= out[-1][1] + 2:
             out[-1][1] = max(out[-1][1], end)
         else:
             out.append([start, end])
     return [(a, b) for a, b in out]
 
 
+def weight(found: list[bytes], template: list[bytes]) -> float:
+    """How much of a template the words are: in a short one, words that may differ count a quarter."""
+    return sum(0.25 if w in LOOSE else 1 for w in found) if len(template) <= SHORT else len(found)
+
+
 def confirm(block: list[bytes], template: list[bytes], telling: list[bytes]) -> tuple[int, int, int, int] | None:
     """First and last word of the template's place in the block, missing and added words; None if the wordings differ too much."""
-    known = set(block)
-    if sum(w in known for w in template) < FOUND * len(template):
+    known, enough = set(block), FOUND * weight(template, template)
+    if not known.issuperset(telling) or weight([w for w in template if w in known], template) < enough:
         return None
     matcher = SequenceMatcher(None, block, template, autojunk=False)
     runs = [m for m in matcher.get_matching_blocks() if m.size]
@@ -110,9 +134,11 @@ def confirm(block: list[bytes], template: list[bytes], telling: list[bytes]) ->
         high += 1
     place = runs[low : high + 1]
     found = [w for m in place for w in template[m.b : m.b + m.size]]
-    if len(found) < FOUND * len(template) or (len(template) <= 16 and any(w not in found for w in telling)):
+    if weight(found, template) < enough or any(w not in found for w in telling):
         return None
     first, last = place[0].a, place[-1].a + place[-1].size
+    if not KINDS.intersection(block[first:last]).issubset(template):
+        return None
     return first, last, len(template) - len(found), last - first - len(found)
 
 
@@ -122,44 +148,63 @@ def shared(block: list[bytes], template: list[bytes]) -> tuple[int, int]:
     return run.a, run.a + run.size
 
 
-def find(text: bytes, templates: tuple[tuple[str, str], ...]) -> list[tuple[str, int, int, float, int, int]]:
-    """Confirmed licenses of one text: name, byte range, saved share, missing and added words; the best of each place."""
+Find = tuple[str, int, int, float, int, int]
+
+
+@lru_cache(2048)
+def inside(window: bytes, templates: tuple[tuple[str, str], ...]) -> list[Find]:
+    """Confirmed licenses of a window: name, byte range, saved share, missing and added words; the best of each place. Remembered."""
     known = prepared(templates)
-    reach = REACH * max((len(t.encode()) for _, t in templates), default=0)
     out = []
-    for a, b in blocks(text, reach):
-        rest = [(a, b)]
-        while rest:
-            a, b = rest.pop()
-            block = text[a:b]
-            if not CUES.search(block):
-                continue
-            size = len(alone(block))
-            ranked = sorted(((size - len(press.compress(block))) / own, name, listed, telling) for name, press, own, listed, telling in known)[::-1]
-            listed, spans = words(block)
-            best = None
-            near = [r for r in ranked if r[0] >= SAVED]
-            for some in (near, ranked[len(near) :]):
-                for saved, name, template, telling in some:
-                    if place := confirm(listed, template, telling):
-                        key = (place[2] + place[3], -len(template))
-                        if best is None or key < best[0]:
-                            best = key, name, saved, place
-                if best:
-                    break
+    rest = [(0, len(window))]
+    while rest:
+        a, b = rest.pop()
+        block = window[a:b]
+        if not CUES.search(block):
+            continue
+        size = len(alone(block))
+        ranked = sorted(((size - len(press.compress(block))) / own, name, listed, telling) for name, press, own, listed, telling in known)[::-1]
+        listed, spans = words(block)
+        best = None
+        near = [r for r in ranked if r[0] >= SAVED]
+        for some in (near, ranked[len(near) :]):
+            for saved, name, template, telling in some:
+                if place := confirm(listed, template, telling):
+                    key = (place[2] + place[3], -len(template))
+                    if best is None or key < best[0]:
+                        best = key, name, saved, place
             if best:
-                _, name, saved, (first, last, missing, added) = best
+                break
+        if best:
+            _, name, saved, (first, last, missing, added) = best
+            start, end = spans[first][0], spans[last - 1][1]
+            out.append((name, a + start, a + end, saved, missing, added))
+            rest += [(a, a + start), (a + end, b)]
+        elif near:
+            first, last = shared(listed, near[0][2])
+            if first < last:
                 start, end = spans[first][0], spans[last - 1][1]
-                out.append((name, a + start, a + end, saved, missing, added))
                 rest += [(a, a + start), (a + end, b)]
-            elif near:
-                first, last = shared(listed, near[0][2])
-                if first < last:
-                    start, end = spans[first][0], spans[last - 1][1]
-                    rest += [(a, a + start), (a + end, b)]
     return sorted(out, key=lambda x: x[1])
 
 
+def find(text: bytes, templates: tuple[tuple[str, str], ...]) -> list[Find]:
+    """Confirmed licenses of one text, in windows of bounded size, so that the work grows with the text and no faster.
+
+    A notice is shorter than the reach. Of a window that others follow, those that begin in its first half are taken, which
+    stand in it whole; the next one begins behind them.
+    """
+    reach = REACH * max((len(t.encode()) for _, t in templates), default=0)
+    out = []
+    for a, b in blocks(text, reach):
+        while a < b:
+            stop = b if a + 2 * reach >= b else a + 2 * reach
+            found = [x for x in inside(text[a:stop], templates) if stop == b or x[1] < reach]
+            out += [(name, a + start, a + end, *more) for name, start, end, *more in found]
+            a = b if stop == b else a + max([reach, *(x[2] for x in found)])
+    return out
+
+
 FINDS = "doc_id long, license string, start long, length long, saved double, n_missing int, n_added int, notice string"
 
 

@@ -163,6 +163,40 @@ def test_transport_stream_faults():
     assert transport.section_crc(b"123456789") == 0x0376E6E7  # the check value of this CRC
 
 
+def packets(data):
+    return [data[i : i + 188] for i in range(0, len(data), 188)]
+
+
+def test_transport_stream_repeats_and_discontinuities():
+    payload = transport.padded(bytes(range(250)) * 300)
+    points = []
+    data = transport.write_stream(payload, points)
+    assert transport.parse_stream(data).points == points and len(points) == -(-len(payload) // (transport.UNIT * transport.RANDOM_EVERY))
+    once = packets(data)
+    s = transport.parse_stream(b"".join(p for q in once for p in (q, q)))  # each packet sent twice
+    assert b"".join(u[3] for u in s.units) == payload and s.breaks == s.bad_sections == 0 and s.repeats == len(once)
+    assert transport.parse_stream(b"".join([*once[:4], once[4], once[4], once[4], *once[5:]])).breaks == 1  # but not three times
+    k = next(i for i, p in enumerate(once) if i > 50 and p[3] & 0x20 and p[1:3] == b"\x41\x01" and p[5] & 0x40)  # an access point's first packet
+    cut = [*once[: k - 3], *once[k - 2 :]]  # without the data packet before it and its tables
+    assert transport.parse_stream(b"".join(cut)).breaks == 1
+    cut[k - 1] = cut[k - 1][:5] + bytes([cut[k - 1][5] | 0x80]) + cut[k - 1][6:]
+    assert transport.parse_stream(b"".join(cut)).breaks == 0
+
+
+def test_transport_stream_long_sections():
+    """A map with many streams takes three packets; its section runs on across their headers."""
+    streams = list(range(0x200, 0x200 + 80))
+    import struct
+
+    body = struct.pack(">HH", 0xE000 | streams[0], 0xF000) + b"".join(struct.pack(">BHH", 6, 0xE000 | p, 0xF000) for p in streams)
+    long = b"\x00" + transport.section(2, 1, body)
+    parts = [long[i : i + 184].ljust(184, b"\xff") for i in range(0, len(long), 184)]
+    head = lambda pid, first, n: struct.pack(">BHB", 0x47, first << 14 | pid, 0x10 | n)
+    data = head(0, 1, 0) + transport.tables()[0] + b"".join(head(transport.PMT_PID, i == 0, i) + p for i, p in enumerate(parts))
+    s = transport.parse_stream(data)
+    assert len(parts) == 3 and s.types == dict.fromkeys(streams, 6) and s.bad_sections == s.breaks == 0
+
+
 def test_transport_stream_query(odd, nothing):
     rows = transport.read_back(transport.store(odd)).collect()
     assert len(rows) == len(ODD)
@@ -170,6 +204,8 @@ def test_transport_stream_query(odd, nothing):
         if r.doc_id in (4, 8):
             payload = transport.padded(dict(ODD)[r.doc_id].encode())
             assert (r.payload_sha256, r.tail_crc32, r.payload_bytes) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(payload))
+    stored = {r.doc_id: r.points for r in transport.store(odd).collect()}
+    assert all(r.points == stored[r.doc_id] and r.points[0].time == 0 for r in rows if r.doc_id != 10)
     assert transport.read_back(transport.store(nothing)).count() == 0
 
 
@@ -211,6 +247,41 @@ def test_licenses_of_the_documents(documents):
     assert Counter((r.doc_id, r.license) for r in licenses.scan(documents).collect()) == want
 
 
+def test_license_texts_and_tags(rng):
+    known = tuple(licenses.TEMPLATES.items())
+    filler = lambda n: " ".join(rng.choice("some other words stand here and there in plain prose".split()) for _ in range(n))
+    for name, own in known:
+        wrapped = own.replace(". THE", ".\n\nTHE").replace(". 2.", ".\n2.")
+        for text in (own, f"{filler(200)}\n{own}\n{filler(200)}", f"{filler(30)}\n\n{wrapped}\n\n{filler(30)}"):
+            assert [x for x, *_ in licenses.find(text.encode(), known)] == [name], (name, text)
+    for text, name in (("Distributed under the ISC License", "ISC"), ("It is licensed under the MIT license", "MIT"), ("/* SPDX-License-Identifier: GPL-2.0-only */", "GPL-2.0-only-tag"), ("he studied at MIT, under the old license", None), (licenses.TEMPLATES["LGPL-3.0-header"].replace("version 3", "version 2"), None)):
+        assert [x for x, *_ in licenses.find(text.encode(), known)] == [name] * bool(name)
+
+
+def test_license_work_grows_with_the_text():
+    import time
+
+    known = tuple(licenses.TEMPLATES.items())
+    took = []
+    for n in (400, 1600):
+        text = "".join(f"Part {i}: Released under the MIT License. \n" for i in range(n)).encode()
+        licenses.inside.cache_clear()
+        began = time.process_time()
+        assert [x for x, *_ in licenses.find(text, known)] == ["MIT"] * n
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0]
+
+
+def test_no_cue_no_license(documents):
+    """What decides that a text is looked at loses nothing: without it the same notices are found."""
+    known = tuple(licenses.TEMPLATES.items())
+    some = [r.text.encode() for r in documents.collect() if r.text and not licenses.CUES.search(r.text.encode())][:60]
+    prepared = licenses.prepared(known)
+    for text in some:
+        listed = licenses.words(text)[0]
+        assert not any(licenses.confirm(listed, template, telling) for _, _, _, template, telling in prepared)
+
+
 def small_pieces(rng, n_best=4):
     names = ["▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab", "ca", "cab"]
     return pieces.Pieces([(p, 300 + i, rng.choice([-1.0, -2.0, -3.5, -2.2])) for i, p in enumerate(names)], {b: b for b in range(256)}, n_best)
@@ -251,8 +322,31 @@ def test_pieces_round_trip(documents, odd, nothing):
     assert pieces.segment_documents(documents).where("not round_trip").count() == 0
     rows = pieces.segment_documents(odd).collect()
     assert len(rows) == len(ODD) and {r.doc_id for r in rows if not r.round_trip} == {10}
-    assert [(r.n_pieces, r.best_score) for r in rows if r.doc_id == 4] == [(0, 0.0)]
-    assert pieces.segment_documents(nothing).count() == 0
+    assert [(len(r.ids), r.best_score, r.others) for r in rows if r.doc_id == 4] == [(0, 0.0, [])]
+    assert pieces.segment_documents(nothing).count() == 0 and pieces.decode_documents(pieces.segment_documents(nothing)).count() == 0
+
+
+def test_pieces_as_a_user_has_them(spark, documents):
+    from pyspark.sql import functions as F
+
+    encoded = pieces.segment_documents(documents)
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    decoded = {r.doc_id: r.text for r in pieces.decode_documents(encoded).collect()}
+    again = {r.doc_id: r.text for r in pieces.decode_documents(encoded.select("doc_id", F.get("others", F.lit(0)).alias("x")), column="x").collect()}
+    assert decoded == texts and {i: t for i, t in again.items() if t} == {i: t for i, t in texts.items() if again[i]}
+    import public_tokenizers
+
+    table = pieces.load(public_tokenizers.path(pieces.MODEL))
+    for r in pieces.encode_documents(documents).limit(20).collect():
+        assert r.ids == list(table.best(texts[r.doc_id])[0][1])
+    assert [table.raw[i].decode() for i in table.best("The cat sat on the mat")[0][1]] == ["▁The", "▁cat", "▁sat", "▁on", "▁the", "▁mat"]
+
+
+def test_scores_of_a_unigram_model_stay():
+    given = [("a", 3, -1.5), ("b", 4, -2.25), ("ab", 5, -3.0)]
+    assert pieces.by_rank(given) == given
+    ranked = pieces.by_rank([("a", 3, -7.0), ("b", 4, -2.0), ("ab", 5, -1e9)])
+    assert ranked[1][2] > ranked[0][2] and ranked[2][2] == -1e9 and abs(sum(np.exp(s) for *_, s in ranked[:2]) - 1) < 1e-12
 
 
 def test_scoring_base_by_hand(documents):
