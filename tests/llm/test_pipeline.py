@@ -1,11 +1,64 @@
 """The pipeline: each stage's decisions against the stage's operator by hand, and the run as a whole."""
 
 import corpus_pipeline
+import numpy as np
 from harvestry.llm import langid, lines, packing, simhash, toxicity
 from tests.llm.conftest import ODD
 from tests.llm.test_documents import lines_by_hand
 
 
+def alike_by_hand(rows, least=0.8):
+    """The smallest id reachable over pairs whose five-word shingles are so similar, from all pairs."""
+    sets = {}
+    for i, text in rows:
+        words = (text or "").encode().lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if j < i and top(i) != top(j) and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9:
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    return {i: top(i) for i in sets}
+
+
+def test_near_copies_against_all_pairs(spark, rng, monkeypatch):
+    """Groups of edited copies, some of which only reach each other over the original, in one part and in many."""
+    rows = []
+    for group in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((8, 40, 150, 600)))]
+        for k in range(10):
+            words = list(base)
+            for _ in range(rng.randrange(1 + len(words) // 40 * (k > 0) + (k > 0))):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(3000)}"
+            rows.append((group * 100 + (k * 7) % 11, " ".join(words)))
+    rows += [(5000, None), (5001, ""), (5002, " "), (5003, "one two"), (5004, "One  TWO")]
+    want = alike_by_hand(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for part, whole in ((simhash.PART, simhash.WHOLE), (3, 700)):
+        monkeypatch.setattr(simhash, "PART", part)
+        monkeypatch.setattr(simhash, "WHOLE", whole)
+        assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == want
+
+
+def test_recall_of_candidates(rng):
+    """Pairs at the similarity itself: nearly all share a band and are within the radius."""
+    met = close = 0
+    for _ in range(400):
+        n = rng.choice((30, 100, 400))
+        common = [rng.getrandbits(64) for _ in range(8 * n)]
+        x, y = (simhash.sketch(np.array(sorted([*common, *(rng.getrandbits(64) for _ in range(n))]), np.uint64)) for _ in range(2))
+        met += any(a == b for a, b in zip(x[1], y[1], strict=True))
+        close += (x[0] ^ y[0]).bit_count() <= simhash.WIDE
+    assert met >= 0.985 * 400 and close >= 0.985 * 400
+
+
 def test_stages(spark, base):
     docs = spark.read.parquet(f"{base}/documents.parquet")
     columns = docs.columns
@@ -20,8 +73,8 @@ def test_stages(spark, base):
     deduped = {r.doc_id: r.kept_text for r in lines.dedup_lines(spark.createDataFrame(kept, docs.schema)).collect()}
     assert sum(by_hand.values()) == len(deduped)
     kept = [{**r, "text": deduped[r["doc_id"]]} for r in kept]
-    component = simhash.brute_force([(r["doc_id"], r["text"]) for r in kept])
-    kept = [r for r in kept if component[r["doc_id"]][1] == r["doc_id"]]
+    component = alike_by_hand([(r["doc_id"], r["text"]) for r in kept])
+    kept = [r for r in kept if component[r["doc_id"]] == r["doc_id"]]
 
     at = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
