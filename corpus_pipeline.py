@@ -57,12 +57,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints one row stays: of the smallest doc_id, unknown ones last, the first row.
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) one row stays: of the smallest doc_id,
+    unknown ones last, the first row.
 
     Rows are told apart by a number that is written with them, so a null or repeated doc_id ties no two rows together.
     """
     rows = keep(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    linked = simhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    linked = simhash.similar_groups(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
     first = linked.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row")
     return rows.join(first, "row", "left_semi").select(*docs.columns)
