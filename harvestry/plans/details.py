@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from harvestry.functions.locations import clean_location, country_in_url, zone_country
 from harvestry.functions.text import clean
 from harvestry.plans.registry import Tables, query
 
@@ -40,42 +41,33 @@ def title_facts(spark, base):
     return Tables(spark, base).part.select("p_partkey", F.coalesce(part(1), line).alias("title"), part(2).alias("kind"), part(4).alias("place"))
 
 
-def clean_location(c):
-    """A place without labels, dates, prices and separators around it; a word that stands for none gives an empty text."""
-    t = F.regexp_replace(clean(c), r"(?i)(termín|dátum|kedy|začiatok)\s*:.*?(?=(mesto|miesto|adresa|lokalita)\s*:|$)", "")
-    for pattern, to in ((r"(?i)\b(miesto|mesto|adresa|lokalita|venue|location)\s*:\s*", ""), (r"(?<![\d.])\d{1,2}\.\s*\d{1,2}\.\s*(\d{4})?(\s*,?\s*\d{1,2}[:.]\d{2})?\s*[|,–-]?\s*", ""), (r"(?i)\s*[·|,–-]?\s*\d[\d\s]*(?:[.,]\d+)?\s*(€|eur)\.?\s*$", ""), (r"\s+—\s+", ", "), (r"\s+,\s*", ", "), (r"^[\s/—–\-|·•,;:@]+|[\s/—–\-|·•,;:@]+$", "")):
-        t = F.regexp_replace(t, pattern, to)
-    return F.when(t.rlike(r"(?i)^(tba|tbd|n/a|bude upresnen[éá])\.?$"), "").otherwise(t)
-
-
-@query("SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN '' ELSE 'Hall ' || s_suppkey || ', Town' END AS place FROM supplier")
+@query("SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'Mill ' || s_suppkey || ', Brookton' WHEN 5 THEN 'Mill ' || s_suppkey ELSE 'Mill ' || s_suppkey || ', Brookton' END AS place FROM supplier")
 def clean_locations(spark, base):
+    """Places with labels, dates, times, prices and marks beside them, as six kinds of listings write them."""
     k = F.col("s_suppkey")
-    hall = F.concat(F.lit("Hall "), k.cast("string"))
+    mill = F.concat(F.lit("Mill "), k.cast("string"))
     raw = (
-        F.when(k % 5 == 0, "TBA.").when(k % 5 == 1, F.concat(F.lit("Termín: 03.10.2026 a ďalšie Mesto: "), hall, F.lit(", Town"))).when(k % 5 == 2, F.concat(F.lit("04.10.2026 10:30 | "), hall, F.lit(" — Town")))
-        .when(k % 5 == 3, F.concat(F.lit("// "), hall, F.lit(" ,Town  6 €"))).otherwise(F.concat(F.lit("Venue: "), hall, F.lit(" , Town |")))
+        F.when(k % 6 == 0, " TBD. ").when(k % 6 == 1, F.concat(F.lit("Dátum: 8.2.2031 and others Miesto: "), mill, F.lit(" | Brookton")))
+        .when(k % 6 == 2, F.concat(F.lit("8. 2. 2031 19:15 · "), mill, F.lit(" – Brookton"))).when(k % 6 == 3, F.concat(F.lit("@ "), mill, F.lit(" ,Brookton • 12,50 EUR")))
+        .when(k % 6 == 4, F.concat(F.lit("Where : "), mill, F.lit(" — Brookton /"))).otherwise(F.concat(mill, F.lit(" · When: later")))
     )
     return Tables(spark, base).supplier.select("s_suppkey", clean_location(raw).alias("place"))
 
 
-@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'home' WHEN 1 THEN 'abroad' WHEN 2 THEN 'abroad' END AS country FROM customer")
-def country_in_url(spark, base):
-    """Which country an address names; the one that comes first in it counts."""
-    k = F.col("c_custkey") % 4
-    url = F.when(k == 0, "https://x.example/slovakia--kosice/germany").when(k == 1, "https://x.example/d/germany--berlin/slovakia").when(k == 2, "https://x.example/austria").otherwise("https://x.example/list")
-    at = lambda p: F.nullif(F.regexp_instr(url, F.lit(p)), F.lit(0))
-    home, away = at("slovakia|slovensko|kosice"), at("germany|austria|hungary|poland")
-    return Tables(spark, base).customer.select("c_custkey", F.when(home.isNull() & away.isNull(), None).when(away.isNull() | (home < away), "home").otherwise("abroad").alias("country"))
+@query("""WITH u AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(lower(url), '[^a-z]+'), lambda w: CASE WHEN w IN ('news', 'articles') THEN 'home' WHEN w IN ('blog', 'post', 'posts') THEN 'abroad' END), lambda x: x IS NOT NULL) AS named FROM pages)
+SELECT page_id, named[1] AS country FROM u""")
+def country_in_urls(spark, base):
+    """Which country an address names; the one that comes first in it counts. Words of the pages' paths stand for names."""
+    return Tables(spark, base).pages.select("page_id", country_in_url(F.col("url"), ["news", "articles"], ["blog", "post", "posts"]).alias("country"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'abroad' WHEN 1 THEN 'abroad' END AS country FROM orders")
-def zone_country(spark, base):
-    """A time zone west of Greenwich or more than two hours east of it is abroad."""
-    k = F.col("o_orderkey") % 4
-    text = F.concat(F.lit("2026-11-20T19:00:00"), F.when(k == 0, "-05:00").when(k == 1, "+03:00").when(k == 2, "+01:00").otherwise("Z"))
-    hours = F.regexp_extract(text, r"([+-]\d{2}):?\d{2}$", 1).try_cast("int")
-    return Tables(spark, base).orders.select("o_orderkey", F.when((hours < 0) | (hours > 2), "abroad").alias("country"))
+@query("""WITH s AS (SELECT event_id, CAST(event_id % 14 - 5 AS INT) AS z FROM events) SELECT event_id, CASE WHEN z < 0 OR z > 2 THEN 'abroad' END AS country FROM s""")
+def zone_countries(spark, base):
+    """A time zone west of Greenwich or more than two hours east of it is abroad; fourteen zones, and times without one."""
+    z = (F.col("event_id") % 14 - 5).cast("int")
+    sign = F.when(z < 0, "-").otherwise("+")
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(z == 0, "Z").otherwise(F.concat(sign, F.lpad(F.abs(z).cast("string"), 2, "0"), F.lit(":00"))))
+    return Tables(spark, base).events.select("event_id", zone_country(stamp).alias("country"))
 
 
 @query("SELECT n_nationkey, n_name || ' & friends read' AS plain FROM nation")
@@ -91,14 +83,25 @@ def plain_text(spark, base):
     return Tables(spark, base).nation.select("n_nationkey", clean(F.regexp_replace(unescape(once), "<[^>]*>", " ")).alias("plain"))
 
 
-@query()
+def draw(key: str, seed: int):
+    """A number in (0, 1) from a key and a seed by a hash: the same draw on any cluster, after any retry."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), 1, 12)
+    return (F.conv(digits, 16, 10).cast("double") + 1) / float(1 << 48)
+
+
+def _draw_sql(key: str, seed: int) -> str:
+    return f"((('0x' || substr(md5('{seed}:' || {key}), 1, 12))::BIGINT::DOUBLE + 1) / {float(1 << 48)})"
+
+
+@query(f"SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' ORDER BY {_draw_sql('o_orderkey', 7)}, o_orderkey LIMIT 12")
 def unknown_sample(spark, base):
     """Twelve listings drawn with a seed: the draw is the feature."""
-    return Tables(spark, base).orders.where("o_orderstatus = 'P'").orderBy(F.rand(7)).limit(12).select("o_orderkey")
+    return Tables(spark, base).orders.where("o_orderstatus = 'P'").orderBy(draw("o_orderkey", 7), "o_orderkey").limit(12).select("o_orderkey")
 
 
-@query()
+@query(f"""WITH c AS (SELECT c_nationkey, sum(c_acctbal) AS w FROM customer GROUP BY 1 HAVING sum(c_acctbal) > 0 ORDER BY w DESC, c_nationkey LIMIT 5)
+SELECT c_nationkey FROM c ORDER BY -ln({_draw_sql('c_nationkey', 7)}) / w, c_nationkey LIMIT 1""")
 def discovery_pick(spark, base):
     """One of the five best targets, drawn by weight with a seed."""
     c = Tables(spark, base).customer.groupBy("c_nationkey").agg(F.sum("c_acctbal").alias("w")).where("w > 0").orderBy(F.desc("w"), "c_nationkey").limit(5)
-    return c.orderBy(-F.log(F.rand(7)) / F.col("w")).limit(1).select("c_nationkey")
+    return c.orderBy(-F.log(draw("c_nationkey", 7)) / F.col("w"), "c_nationkey").limit(1).select("c_nationkey")

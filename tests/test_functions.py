@@ -125,3 +125,40 @@ def test_polygon(spark):
     df = spark.createDataFrame(points, "lat double, lon double")
     assert [r[0] for r in df.select(polygon(ring)("lat", "lon")).collect()] == [True, False, False, False, None]
     assert [r[0] for r in df.select(polygon(ring, 1.0)("lat", "lon")).collect()] == [True, False, True, False, None]
+
+
+def test_places_and_signs(spark):
+    from harvestry.functions import locations
+
+    raw = ["Kde nič | Dom kultúry", "Miesto: Mlyn – Horná", "Mlyn (1. floor) | 5 €", "TBA", None, "Začiatok: 18:00 Adresa: Mlyn 7"]
+    assert column(spark, raw, locations.clean_location) == ["Kde nič, Dom kultúry", "Mlyn, Horná", "Mlyn (1. floor)", "", "", "Mlyn 7"]
+    urls_ = ["https://x.example/arvia/brookton", "https://x.example/brookton/arvia", "https://x.example/arvian", "https://x.example/"]
+    assert column(spark, urls_, lambda c: locations.country_in_url(c, ["brookton"], ["arvia"])) == ["abroad", "home", None, None]
+    stamps = ["2030-01-01T10:00:00-05:00", "2030-01-01T10:00:00+0200", "2030-01-01T10:00Z", "2030-01-01"]
+    assert column(spark, stamps, locations.zone_country) == ["abroad", None, None, None]
+
+
+def test_title_ends(spark):
+    raw = ["Night tour20:15", "Tour 20:15", "Reds – Blues – 3:1", "Reds – Blues - 3 : 1", "9:00 – 10 - 12", "One – two –", "Tour: ", "Bolero!9:05", "Track 25:99", "- –"]
+    assert column(spark, raw, text.clean_title) == ["Night tour", "Tour 20:15", "Reds – Blues", "Reds – Blues - 3 : 1", "9:00 – 10 - 12", "One – two", "Tour:", "Bolero!", "Track 25:99", "-"]
+
+
+def test_shapes(spark):
+    raw = ["12", "2030-01", "2030-01-02", "20-01", "news", "news-list", "a-b-c", "list.php", "list.exe", "caf%C3%A9", "x" * 25, "-", "a-"]
+    assert column(spark, raw, urls.shape) == ["#", "D", "D", "*", "news", "news-list", "*", "list.php", "*", "*", "*", "*", "*"]
+
+
+def test_repairs():
+    day = lambda d: date(2030, 5, d)
+    for given_, want in [
+        ((day(5), day(4), "10:00", "11:00"), (day(5), None, "10:00", None)),
+        ((day(5), day(7), "20:00", "00:00"), (day(5), day(6), "20:00", None)),
+        ((day(5), day(6), "20:00", "00:00"), (day(5), None, "20:00", None)),
+        ((day(5), day(6), "20:00", "04:00"), (day(5), None, "20:00", "04:00")),
+        ((day(5), None, "00:00", "23:59"), (day(5), None, None, None)),
+        ((day(5), None, "00:30", "23:30"), (day(5), None, None, None)),
+        ((day(5), None, "18:00", "09:00"), (day(5), None, "18:00", None)),
+        ((day(5), None, "18:00", "18:00"), (day(5), None, "18:00", None)),
+        ((day(5), date(2033, 5, 5), None, None), (day(5), None, None, None)),
+    ]:
+        assert dates.tidy(*given_) == want
