@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from harvestry.sources.tables import keep, read_table, shared_dir
 
-__all__ = ["ASCII_SPACE", "bounded_batches", "each_batch", "fold_id", "keep", "read_table", "segments", "shared_dir", "texts_of", "tokens_of"]
+__all__ = ["ASCII_SPACE", "bounded_batches", "each_batch", "fold_id", "give_back", "keep", "read_table", "segments", "shared_dir", "texts_of", "tokens_of"]
 
 #: [\x20\x09-\x0D]; bytes.split() without arguments splits at exactly these.
 ASCII_SPACE = " \t\n\x0b\f\r"
@@ -27,6 +29,15 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(name, str(rows))
 
 
+def give_back() -> None:
+    """Return what the driver's Python has freed (a fit's tables) to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def each_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 

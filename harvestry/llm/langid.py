@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestry.llm.common import bounded_batches, each_batch, fold_id, read_table
+from harvestry.llm.common import bounded_batches, each_batch, fold_id, give_back, read_table
 
 SAMPLE, FOLDS, BITS, UNDETERMINED = 2000, 5, 13, "und"
 #: Families of ISO 639-1 codes; a code that is not listed is a family of its own.
@@ -151,6 +151,7 @@ def predict_documents(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
+    give_back()
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = shared.value

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestry.llm.common import bounded_batches, each_batch, fold_id, read_table, texts_of, tokens_of
+from harvestry.llm.common import bounded_batches, each_batch, fold_id, give_back, read_table, texts_of, tokens_of
 
 #: Most documents of the ordinary and of the toxic class to fit on.
 SAMPLE = {0: 3000, 1: 2000}
@@ -205,6 +205,7 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
+    give_back()
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = shared.value
