@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harvestry.llm import langid, lines, packing, simhash, toxicity
-from harvestry.llm.common import bounded_batches, each_batch, keep, read_table, texts_of
+from harvestry.llm.common import bounded_batches, each_batch, give_back, keep, read_table, texts_of
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -34,6 +34,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if model is None:
         return docs
     shared = spark.sparkContext.broadcast(model)
+    del model
+    give_back()
     return keep_rows(docs, lambda texts: shared.value.score(list(texts_of(texts))) < 0.5 if len(texts) else [])
 
 
@@ -46,6 +48,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     if not model.families:
         return keep_rows(docs, lambda texts: [langid.has_letter(t.as_py() or "") for t in texts])
     shared = spark.sparkContext.broadcast(model)
+    del model
+    give_back()
     return keep_rows(docs, lambda texts: [shared.value.predict(t.as_py())[0] != langid.UNDETERMINED for t in texts])
 
 
