@@ -1,0 +1,67 @@
+"""Small invented tables of which some queries are made, as DataFrames and as SQL of the same rows."""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: SQL names of the types that fixtures use.
+KINDS = {"int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]"}
+
+
+class Fixture:
+    """Rows under columns "name kind, ..."."""
+
+    def __init__(self, columns: str, rows: list[tuple]) -> None:
+        self.columns, self.rows = columns, rows
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, self.columns)
+
+    @property
+    def sql(self) -> str:
+        kinds = dict(x.split(" ") for x in self.columns.split(", "))
+        rows = ", ".join("(" + ", ".join(f"CAST({literal(v)} AS {KINDS[k]})" for v, k in zip(r, kinds.values(), strict=True)) + ")" for r in self.rows)
+        return f"(SELECT * FROM (VALUES {rows}) AS x({', '.join(f'"{c}"' for c in kinds)}))"
+
+
+def literal(v: object) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, (bool, int, float)):
+        return str(v).lower()
+    if isinstance(v, (list, tuple)):
+        return "[" + ", ".join(map(literal, v)) + "]"
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+#: Towns of an invented country, folded.
+TOWNS = ["brookton", "millford", "harrowdale", "eastmere"]
+
+#: Sightings of events by several sites: spellings, runs, towns, times, screenings, matches and series.
+SIGHTINGS = Fixture(
+    "id long, site string, title string, start date, end date, time string, town string, city string, host_town string, screening boolean, venue array<string>, street string",
+    [
+        (1, "a", "Lanterns over Brookton", date(2031, 5, 3), None, "19:00", "brookton", None, None, False, [], None),
+        (2, "b", "Lanterns Over Brookton (premiere)", date(2031, 5, 3), None, "19:30", None, None, "brookton", False, [], None),
+        (3, "c", "Lanterns over Millford", date(2031, 5, 3), None, "19:00", "millford", None, None, False, [], None),
+        (4, "a", "Velvet Orchestra plays Dvorak", date(2031, 5, 10), None, "18:00", "eastmere", None, None, False, [], None),
+        (5, "d", "Velvet orchestra plays Dvořák", date(2031, 5, 12), None, None, None, "Eastmere", None, False, [], None),
+        (6, "a", "Velvet Orchestra plays Dvorak", date(2031, 5, 12), None, "18:00", "eastmere", None, None, False, [], None),
+        (7, "e", "Copper Fair", date(2031, 6, 1), date(2031, 6, 9), None, "harrowdale", None, None, False, [], None),
+        (8, "f", "Copper Fair evening: String quartet", date(2031, 6, 4), None, "20:00", "harrowdale", None, None, False, [], None),
+        (9, "g", "The Iron Harbour 2D ATMOS (ct)", date(2031, 6, 20), None, "17:30", "millford", None, None, True, ["tidal"], None),
+        (10, "h", "Iron Harbour", date(2031, 6, 20), None, "17:40", "millford", None, None, True, ["orion"], "dock street 4"),
+        (11, "i", "Iron Harbour 3D", date(2031, 6, 20), None, "17:30", "millford", None, None, True, ["tidal", "cinem"], None),
+        (12, "h", "Iron Harbour", date(2031, 6, 20), None, "20:10", "millford", None, None, True, ["orion"], "dock street 4"),
+        (13, "j", "HK Falcons vs. Brookton Bears", date(2031, 7, 2), None, "16:00", None, None, None, False, [], None),
+        (14, "k", "Falcons vs Bears", date(2031, 7, 2), None, "16:30", None, None, None, False, [], None),
+        (15, "k", "Falcons vs Otters", date(2031, 7, 2), None, "16:30", None, None, None, False, [], None),
+        (16, "l", "Summer stage: Night of drums", date(2031, 7, 8), None, None, None, None, None, False, [], None),
+        (17, "m", "Summer Stage: Night of Drums and bells", date(2031, 7, 8), None, "00:00", None, None, None, False, [], None),
+        (18, "m", "Summer Stage: Quiet letters", date(2031, 7, 8), None, None, None, None, None, False, [], None),
+        (19, "n", "Brookton", date(2031, 7, 9), None, None, None, None, None, False, [], None),
+        (20, "o", None, date(2031, 7, 9), None, None, None, None, None, False, [], None),
+    ],
+)
