@@ -65,3 +65,47 @@ SIGHTINGS = Fixture(
         (20, "o", None, date(2031, 7, 9), None, None, None, None, None, False, [], None),
     ],
 )
+
+#: Listings of an invented country, each with one kind of evidence more than those before it lack.
+LISTED = Fixture(
+    "id long, title string, description string, location string, via string, country string, page_country string, lat double, lon double",
+    [
+        (1, "Concert", None, "Old Mill, Brookton", "https://a.ld/list", None, "av", 60.0, 60.0),
+        (2, "Concert", None, "Hall, Arvia", "https://a.ld/list", None, None, None, None),
+        (3, "Concert", None, "Dolany", "https://b.example/list", None, None, None, None),
+        (4, "Concert", None, "Dolany", "https://away.example/list", None, None, None, None),
+        (5, "Concert", None, "Club 9", "https://b.example/list", None, "AV", 47.0, 18.0),
+        (6, "Concert", None, "Club 9", "https://b.example/list", "av", None, 47.0, 18.0),
+        (7, "Concert", None, "Club 9", "https://b.example/list", None, None, 10.0, 18.0),
+        (8, "Concert", None, "Salo Vastra", "https://b.example/list", "ld", None, None, None),
+        (9, "Concert", None, "Salo nameste", "https://b.example/list", "av", None, None, None),
+        (10, "Bears (LD)", None, "Somewhere", "https://b.example/list", None, None, None, None),
+        (11, "Bears - AV tour", None, "Somewhere", "https://b.example/list", None, None, None, None),
+        (12, "Concert", None, "Somewhere", "https://b.example/arvia/lundia", None, None, None, None),
+        (13, "Concert", None, None, "https://b.example/lundia/arvia", None, None, None, None),
+        (14, "Concert", None, "Somewhere", "https://b.example/lundia/arvia", None, None, None, None),
+        (15, "Concert", None, "Big stage", "https://town.example/list", None, None, None, None),
+        (16, "Concert", None, "Big stage", "https://venue.example/list", None, None, None, None),
+        (17, "Concert", None, None, "https://c.ld/list", None, None, None, None),
+        (18, "Concert", None, None, "https://mixed.ld/list", None, None, None, None),
+        (19, "Velo nera soŵ vasi", "elo nera", "Somewhere", "https://b.example/list", None, None, None, None),
+        (20, "Velo jera", "ela nero syř ela", "Somewhere", "https://b.example/list", None, None, None, None),
+        (21, "Velo jera", "ela nero syř ela", "Somewhere", "https://home.example/list", None, None, None, None),
+        (22, "Join us for the day", "with the best of the town", "Somewhere", "https://b.example/list", None, None, None, None),
+        (23, "Join us for the day", "with the best of Eastmere", "Somewhere", "https://b.example/list", None, None, None, None),
+        (24, "Concert", None, "Rialto", "https://b.example/list", None, None, None, None),
+        (25, "Concert", None, None, "https://home.example/list", None, None, None, None),
+        (26, "Concert", None, "Somewhere", "https://b.example/list", None, None, None, None),
+        (27, "Concert", None, "Rialto", "no address", None, None, None, None),
+        (28, None, None, None, None, None, None, None, None),
+        (29, "Join us for the day", "with the best of the town", None, "https://c.ld/list", None, None, None, None),
+        (30, "Concert", None, "New Harrowdale Pier", "https://b.example/list", None, None, None, None),
+    ],
+)
+GAZETTEER = Fixture(
+    "name string, kind string",
+    [("brookton", "town"), ("eastmere", "town"), ("harrowdale", "town"), ("new harrowdale", "foreign town"), ("dolany", "village"), ("vastra", "foreign town"), ("lundia", "home country"), ("arvia", "foreign country"), ("bolia", "foreign country")],
+)
+SITES = Fixture("host string, city string, venue_town string, judged string", [("town.example", "Brookton", None, None), ("venue.example", None, "Vastra", None), ("mixed.ld", None, None, "mixed"), ("a.ld", None, None, None)])
+VENUES = Fixture("location string, lat double, lon double, precision string", [("rialto", 47.5, 18.5, "venue"), ("old mill, brookton", 10.0, 10.0, "venue")])
+REGIONS = Fixture("host string, region string", [("away.example", "abroad"), ("home.example", "home"), ("mixed.ld", "home")])
