@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from harvestry.plans import classify, details, evidence, extraction, landing, matching, queues, resolution, scheduling, sets, spatial, statistics, textual, upkeep, urls, views, windows  # noqa: F401
+from harvestry.plans import classify, details, evidence, extraction, landing, matching, orders, queues, resolution, scheduling, sets, spatial, statistics, textual, upkeep, urls, views, windows  # noqa: F401
 from harvestry.plans.registry import ORACLES, QUERIES
 from harvestry.streaming import plans as _streaming  # noqa: F401
 

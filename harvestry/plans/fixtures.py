@@ -109,3 +109,18 @@ GAZETTEER = Fixture(
 SITES = Fixture("host string, city string, venue_town string, judged string", [("town.example", "Brookton", None, None), ("venue.example", None, "Vastra", None), ("mixed.ld", None, None, "mixed"), ("a.ld", None, None, None)])
 VENUES = Fixture("location string, lat double, lon double, precision string", [("rialto", 47.5, 18.5, "venue"), ("old mill, brookton", 10.0, 10.0, "venue")])
 REGIONS = Fixture("host string, region string", [("away.example", "abroad"), ("home.example", "home"), ("mixed.ld", "home")])
+
+_ENTRY = lambda kind, loc, day=None: f"<{kind}><loc>{loc}</loc>{f'<lastmod>{day}</lastmod>' if day else ''}</{kind}>"
+#: Site map files: an index with children of every rank, a loop back, a child that is not there, CDATA and entities.
+SITEMAPS = Fixture(
+    "url string, xml string",
+    [
+        ("https://a.example/sitemap.xml", "<sitemapindex>" + "".join(_ENTRY("sitemap", f"https://a.example/{n}.xml", d) for n, d in (("tags", "2031-05-05"), ("posts-1", "2030-01-01"), ("posts-2", "2031-01-01"), ("posts-3", None), ("events", None))) + "</sitemapindex>"),
+        ("https://a.example/events.xml", "<urlset>" + _ENTRY("url", "<![CDATA[https://a.example/e/1]]>", "2031-02-01") + _ENTRY("url", "https://a.example/e/2?x=1&amp;y=2", "2031-03-01") + "</urlset>"),
+        ("https://a.example/posts-2.xml", "<urlset>" + _ENTRY("url", "https://a.example/p/1") + _ENTRY("sitemap", "https://a.example/sitemap.xml") + _ENTRY("sitemap", "https://a.example/missing-events.xml") + "</urlset>"),
+        ("https://a.example/posts-1.xml", "<urlset>" + _ENTRY("url", "https://a.example/p/9", "2030-01-01") + "</urlset>"),
+        ("https://a.example/posts-3.xml", "<urlset>" + _ENTRY("url", "https://a.example/p/never") + "</urlset>"),
+        ("https://a.example/tags.xml", "<urlset>" + _ENTRY("url", "https://a.example/t/never") + "</urlset>"),
+        ("https://b.example/map.xml", "<urlset>" + _ENTRY("url", "https://b.example/1", "2031-01-01") + _ENTRY("url", "https://b.example/2") + "</urlset>"),
+    ],
+)

@@ -3,8 +3,12 @@ keep-latest upserts, and landed pages as rows."""
 
 from __future__ import annotations
 
+import codecs
 import uuid
+import zlib
 
+import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -21,22 +25,51 @@ def _place(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+#: Written versions that stay behind the current one, for readers that have begun with them.
+STAY = 2
+
+
+def _versions(spark: SparkSession, path: str, folder: str = "_finished") -> list[str]:
+    """The names of a collection's finished versions, oldest first: each has a marker that was made after its rows.
+
+    With `_numbers` the numbers that any writer has taken.
+    """
+    fs, where = _place(spark, f"{path}/{folder}")
+    return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
+
+
 def read_collection(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """The collection's rows in the given schema; a collection that was never written has none."""
-    fs, where = _place(spark, path)
-    return spark.read.schema(schema).parquet(path) if fs.exists(where) else spark.createDataFrame([], schema)
+    """The rows of the collection's newest version in the given schema; a collection that was never written has none."""
+    known = _versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/{known[-1]}") if known else spark.createDataFrame([], schema)
 
 
 def write_collection(df: DataFrame, path: str) -> None:
-    """Write the whole collection beside the old one, then put it in its place; a reader sees one or the other."""
+    """Write the whole collection as its next version. A reader sees the version before or this one, never a part.
+
+    A version counts from its marker on, a file that only one writer can make: of two writers of one version the second
+    fails and its rows are never read. A crash leaves the version before. The last STAY versions stay readable.
+    """
     spark = df.sparkSession
-    fs, where = _place(spark, path)
-    fresh, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
-    df.write.parquet(fresh)
-    if fs.exists(where):
-        fs.rename(where, _place(spark, old)[1])
-    fs.rename(_place(spark, fresh)[1], where)
-    fs.delete(_place(spark, old)[1], True)
+    known = _versions(spark, path)
+    taken = _versions(spark, path, "_numbers")
+    name = f"v{int(taken[-1][1:]) + 1 if taken else 0:012d}"
+    rows = f"{path}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(rows)
+    fs, number = _place(spark, f"{path}/_numbers/{name}")
+    try:
+        fs.create(number, False).close()
+    except Py4JJavaError as e:
+        raise RuntimeError(f"another writer has written {name} of {path}") from e
+    fs.create(_place(spark, f"{path}/_finished/{rows.rpartition('/')[2]}")[1], False).close()
+    for old in known[: -STAY if STAY else None]:
+        fs.delete(_place(spark, f"{path}/_finished/{old}")[1], False)
+        fs.delete(_place(spark, f"{path}/{old}")[1], True)
+
+
+def collection_is_empty(spark: SparkSession, path: str, schema: StructType | str) -> bool:
+    """Whether a collection has no row; at most one row is read."""
+    return read_collection(spark, path, schema).isEmpty()
 
 
 def merge_into(rows: DataFrame, path: str, keys: list[str], order: list[str], only_new: bool = False) -> None:
@@ -54,6 +87,37 @@ def decode_html(body: Column, content_type: Column) -> Column:
     return text
 
 
+#: The first two bytes of a gzip stream, and the last of a header without fields.
+GZIP = b"\x1f\x8b"
+
+
+def unpack_bounded(body: pd.Series, most: int) -> pd.Series:
+    """Bytes, unpacked if they are gzip, and never more than `most` of them; a broken stream gives what came before the break."""
+
+    def one(data: bytes | None) -> bytes | None:
+        if data is None or data[:2] != GZIP:
+            return data and data[:most]
+        reader, out = zlib.decompressobj(zlib.MAX_WBITS | 16), b""
+        try:
+            out = reader.decompress(data, most)
+        except zlib.error:
+            pass
+        return out
+
+    return body.map(one, na_action="ignore")
+
+
+def read_texts(spark: SparkSession, path: str, most: int = 3_000_000) -> DataFrame:
+    """Files of a folder, plain or gzip by their first bytes, as UTF-8 text of at most `most` bytes: path, text. A letter that the bound cuts goes."""
+
+    @F.pandas_udf("string")
+    def unpack(body: pd.Series) -> pd.Series:
+        return unpack_bounded(body, most).map(lambda b: codecs.getincrementaldecoder("utf-8")("replace").decode(b), na_action="ignore")
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", unpack("content").alias("text"))
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Files of a folder as landed pages: path, bytes, text by their own markup's charset, and a hash of the visible text."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

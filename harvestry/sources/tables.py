@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,13 +22,16 @@ def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the session names none (tests, local use) is a local folder made and set.
+    Only where the session names none and runs on this machine alone (tests, local use) is a local folder made and set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = known.get() if known.isDefined() else None
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set: on {master} intermediate tables need a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="harvestry-")
         spark.sparkContext.setCheckpointDir(path)
     return path

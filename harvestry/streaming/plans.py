@@ -68,31 +68,36 @@ def stream_sessions(spark, base):
     return drain(sessions, "complete").select("user_id", F.unix_micros("session_window.start").alias("start_us"), "n")
 
 
-BREAKER = "user_id long, visits long, rate double, trouble int, downs int"
+BREAKER = "user_id long, visits long, rate double, trouble int, downs int, rest_hours int"
+#: Troubles in a row that rest a host, hours of its first rest, and of its longest.
+TROUBLES, FIRST_REST, LONGEST_REST = 3, 2, 24
 
 
 def host_state(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A host's visits, moving average, run of troubles and times it was rested: three troubles in a row rest it."""
+    """A host's visits, moving average, run of troubles, rests in a row and hours of the last one: TROUBLES in a row rest it, each
+    time for twice as long; a visit without trouble ends all that."""
     visits, rate, trouble, downs = state.get if state.exists else (0, 0.0, 0, 0)
     rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
     for kind in rows.event_type:
         visits += 1
         rate = 0.8 * rate + 0.2 * (kind == "purchase")
-        trouble = trouble + 1 if kind == "error" else 0
-        if trouble == 3:
+        trouble, downs = (trouble + 1, downs) if kind == "error" else (0, 0)
+        if trouble == TROUBLES:
             downs, trouble = downs + 1, 0
+    rest = min(LONGEST_REST, FIRST_REST * 2 ** (downs - 1)) if downs else 0
     state.update((visits, rate, trouble, downs))
-    yield pd.DataFrame({"user_id": [key[0]], "visits": [visits], "rate": [rate], "trouble": [trouble], "downs": [downs]})
+    yield pd.DataFrame({"user_id": [key[0]], "visits": [visits], "rate": [rate], "trouble": [trouble], "downs": [downs], "rest_hours": [rest]})
 
 
-@query("""WITH l AS (SELECT user_id, count(*) AS visits, list(CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ORDER BY ts, event_id) AS xs FROM events GROUP BY 1)
-SELECT user_id, visits, round(list_reduce(list_prepend(0.0::DOUBLE, xs), lambda a, x: 0.8 * a + 0.2 * x), 9) AS rate FROM l""")
+@query(f"""WITH l AS (SELECT user_id, count(*) AS visits, list(CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ORDER BY ts, event_id) AS xs, list(event_type ORDER BY ts, event_id) AS kinds FROM events GROUP BY 1),
+ r AS (SELECT *, visits - coalesce(list_max(list_filter(range(1, visits + 1), lambda i: kinds[i] <> 'error')), 0) AS bad FROM l)
+SELECT user_id, visits, round(list_reduce(list_prepend(0.0::DOUBLE, xs), lambda a, x: 0.8 * a + 0.2 * x), 9) AS rate, CAST(bad % {TROUBLES} AS INT) AS trouble, CAST(bad // {TROUBLES} AS INT) AS downs, CAST(CASE WHEN bad >= {TROUBLES} THEN least({LONGEST_REST}, {FIRST_REST} * power(2, bad // {TROUBLES} - 1)) ELSE 0 END AS INT) AS rest_hours FROM r""")
 def stream_host_state(spark, base):
-    """Counters and averages per host as keyed state; the last row of each host is its current state."""
+    """Counters, averages and rests per host as keyed state; the last row of each host is its current state."""
     rows = stream_of(spark, base).select("user_id", "ts", "event_id", "event_type")
     out = rows.groupBy("user_id").applyInPandasWithState(host_state, BREAKER, "visits long, rate double, trouble int, downs int", "update", GroupStateTimeout.NoTimeout)
-    latest = drain(out, "update").groupBy("user_id").agg(F.max_by("rate", "visits").alias("rate"), F.max("visits").alias("visits"))
-    return latest.select("user_id", "visits", F.round("rate", 9).alias("rate"))
+    latest = drain(out, "update").groupBy("user_id").agg(F.max_by(F.struct("visits", F.round("rate", 9).alias("rate"), "trouble", "downs", "rest_hours"), "visits").alias("x"))
+    return latest.select("user_id", "x.*")
 
 
 @query("SELECT user_id, event_type FROM events GROUP BY ALL")

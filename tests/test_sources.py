@@ -17,6 +17,59 @@ def test_collections(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["c"]
 
 
+def test_versions(spark, tmp_path, monkeypatch):
+    import pytest
+
+    path, schema = f"{tmp_path}/c", "k long"
+    rows = lambda *r: spark.createDataFrame([(x,) for x in r], schema)
+    read = lambda: sorted(r.k for r in C.read_collection(spark, path, schema).collect())
+    assert C.collection_is_empty(spark, path, schema)
+    C.write_collection(rows(1), path)
+    old = C.read_collection(spark, path, schema)
+    C.write_collection(rows(2, 3), path)
+    assert [r.k for r in old.collect()] == [1] and read() == [2, 3]  # who has begun with a version can end with it
+    (tmp_path / "c" / "v000000000009-crashed").mkdir()  # rows without a marker are never read
+    C.write_collection(rows(4), path)
+    assert read() == [4] and not C.collection_is_empty(spark, path, schema)
+    (tmp_path / "c" / "_numbers" / "v000000000003").touch()
+    monkeypatch.setattr(C, "_versions", lambda s, p, folder="_finished", f=C._versions: f(s, p) if folder == "_finished" else f(s, p, folder)[:-1])
+    with pytest.raises(RuntimeError):
+        C.write_collection(rows(5), path)
+    assert read() == [4]
+
+
+def test_bounded_texts(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.xml.gz").write_bytes(gzip.compress("žltý kôň ".encode() * 1000))
+    (tmp_path / "b.xml").write_bytes(b"plain text")
+    (tmp_path / "c.gz").write_bytes(gzip.compress(b"cut off" * 100)[:-20])
+    got = {r.path[-4:]: r.text for r in C.read_texts(spark, str(tmp_path), 24).collect()}
+    assert got[".xml"] == "plain text"
+    assert got["l.gz"] == "žltý kôň žltý kô" and got["c.gz"].startswith("cut off")
+
+
+def test_shared_folder_is_asked_for(spark, monkeypatch):
+    import pytest
+
+    from harvestry.sources import tables
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = spark.sparkContext._jsc
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        sparkContext = Context
+
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not known.isDefined():
+        with pytest.raises(RuntimeError):
+            tables.shared_dir(Session)
+
+
 def test_landed_pages(spark, tmp_path):
     (tmp_path / "a.html").write_bytes('<meta charset="iso-8859-1"><p>Šaty a café</p>'.encode("iso-8859-1", "replace"))
     (tmp_path / "b.html").write_bytes("<meta charset=unknown-1><script>x</script><p>Čaj</p>".encode())
