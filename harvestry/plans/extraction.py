@@ -94,7 +94,10 @@ def link_counts(spark, base):
     return hrefs.where("href like '/%'").groupBy("page_id").agg(F.countDistinct("href").alias("links"))
 
 
-@query()
+@query(r"""WITH x AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+') AS origin, regexp_extract_all(html, '<a href="([^"]*)"[^>]*>([^<]*)</a>', 1) AS hs, regexp_extract_all(html, '<a href="([^"]*)"[^>]*>([^<]*)</a>', 2) AS ts FROM pages),
+a AS (SELECT page_id, unnest(range(len(hs))) AS n, origin || unnest(hs) AS href, unnest(ts) AS anchor FROM x),
+u AS (SELECT page_id, regexp_replace(href, '#.*$', '') AS href, min(n) AS n, arg_min(trim(regexp_replace(anchor, '\s+', ' ', 'g'))[1:100], n) AS anchor FROM a GROUP BY ALL)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS INT) AS place, href, anchor FROM u""".replace("GROUP BY ALL", "GROUP BY page_id, 2"))
 def page_links(spark, base):
     """Every page's links through the table function in SQL."""
     register(spark)

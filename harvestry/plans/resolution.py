@@ -111,7 +111,14 @@ def split_unrelated(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"page_id": rows.id, "event_id": [min(r.id for r in group[i]) for i in rows.id]})
 
 
-@query()
+#: Pairs one after the other, the most similar first: g holds the groups after each.
+GREEDY_SQL = f"""{PAIRS_SQL}, k AS (SELECT a, b, row_number() OVER (ORDER BY round(sim, 6) DESC, a, b) AS i FROM pr WHERE sim >= {AGREE})"""
+
+
+@query(f"""WITH RECURSIVE {GREEDY_SQL}, g(i, gs) AS (SELECT 0::BIGINT, (SELECT list([page_id]) FROM pages) UNION ALL
+ SELECT n, CASE WHEN x = y OR len(list_filter(x, lambda p: p % 3 > 0 AND len(list_filter(y, lambda q: q % 3 > 0 AND q % 3 <> p % 3)) > 0)) > 0 THEN gs ELSE list_append(list_filter(gs, lambda l: l <> x AND l <> y), list_concat(x, y)) END
+ FROM (SELECT k.i AS n, gs, list_filter(gs, lambda l: list_contains(l, k.a))[1] AS x, list_filter(gs, lambda l: list_contains(l, k.b))[1] AS y FROM g JOIN k ON k.i = g.i + 1)),
+z AS (SELECT unnest(gs) AS l FROM g WHERE i = (SELECT max(i) FROM g)) SELECT unnest(l) AS page_id, list_min(l) AS event_id FROM z""")
 def constrained_clusters(spark, base):
     """Clusters without bridges: components of similar titles, split by place inside each component."""
     t = Tables(spark, base)

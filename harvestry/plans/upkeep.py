@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from harvestry.operators.components import connected_components
 from harvestry.plans.registry import Tables, query
-from harvestry.plans.resolution import page_titles, similar_titles
+from harvestry.plans.resolution import GREEDY_SQL, page_titles, similar_titles
 
 
 @query("""WITH r AS (SELECT l_orderkey AS e, l_suppkey AS site, CAST(l_shipdate AS DATE) AS d, l_linenumber AS n, l_comment FROM (SELECT *, l_returnflag AS l_comment FROM lineitem))
@@ -34,7 +34,10 @@ def merge_greedily(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"page_id": list(into), "survivor": [int(v) for v in into.values()]})
 
 
-@query()
+@query(f"""WITH RECURSIVE {GREEDY_SQL}, h AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS site FROM pages), g(i, gs) AS (SELECT 0::BIGINT, (SELECT list({{'ids': [page_id], 'sites': [site]}}) FROM h) UNION ALL
+ SELECT n, CASE WHEN x = y OR len(list_intersect(x.sites, y.sites)) > 0 THEN gs ELSE list_append(list_filter(gs, lambda l: l <> x AND l <> y), {{'ids': list_concat(x.ids, y.ids), 'sites': list_concat(x.sites, y.sites)}}) END
+ FROM (SELECT k.i AS n, gs, list_filter(gs, lambda l: list_contains(l.ids, k.a))[1] AS x, list_filter(gs, lambda l: list_contains(l.ids, k.b))[1] AS y FROM g JOIN k ON k.i = g.i + 1)),
+z AS (SELECT unnest(gs) AS l FROM g WHERE i = (SELECT max(i) FROM g)) SELECT unnest(l.ids) AS page_id, list_min(l.ids) AS survivor FROM z""")
 def joined_duplicates(spark, base):
     """Similar listings of different sites as one, greedily inside each component."""
     t = Tables(spark, base)
