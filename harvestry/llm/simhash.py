@@ -144,7 +144,7 @@ WORDS, SIMILAR, WIDE = 5, 0.8, 18
 #: Bands of minima and minima in a band: sets of that similarity meet in a band with a probability of 0.998.
 BANDS, MINIMA = 12, 4
 #: Shingles that a part of a loose group holds on average at most.
-WHOLE = 1 << 20
+WHOLE = 1 << 18
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
