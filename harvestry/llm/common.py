@@ -8,12 +8,13 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harvestry.sources.tables import keep, read_table, shared_dir
 
-__all__ = ["ASCII_SPACE", "bounded_batches", "each_batch", "fold_id", "give_back", "keep", "read_table", "segments", "shared_dir", "texts_of", "tokens_of"]
+__all__ = ["ASCII_SPACE", "bounded_batches", "each_batch", "fold_id", "give_back", "keep", "read_table", "segments", "shared_dir", "texts_of", "tokens_of", "words_of"]
 
 #: [\x20\x09-\x0D]; bytes.split() without arguments splits at exactly these.
 ASCII_SPACE = " \t\n\x0b\f\r"
@@ -63,6 +64,15 @@ def tokens_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of a batch of texts as tokens_of() gives them, in one array: the words, each word's row, words of each row."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.large_string()), "")))
+    words = lists.flatten()
+    rows = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+    said = pc.binary_length(words).to_numpy() > 0  # white space at an end gives an empty word
+    return words.filter(pa.array(said)).cast(pa.large_binary()), rows[said], np.bincount(rows[said], minlength=len(lists))
+
+
 def fold_id(column: str, folds: int):
     """crc32(id as text) mod folds; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds
