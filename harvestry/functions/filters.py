@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from harvestry.functions import urls as U
-from harvestry.functions.text import clean, fold
+from harvestry.functions.text import clean, fold, let
 
 NOT_EVENTS = {
     "waste collection": r"^(planovany )?(vyvoz|odvoz|zber|zvoz)\b.{0,40}\b(odpad|plast|papier|sklo|bio)",
@@ -24,15 +24,15 @@ BORING = r"(?i)login|signin|register|cart|wp-admin|token=|api/|/tag/|/author/|pr
 
 def not_an_event(title: Column) -> Column:
     """Why a title is no public event, or null: the first class that it is in."""
-    t = fold(clean(title))
-    return F.coalesce(*(F.when(t.rlike(p), why) for why, p in NOT_EVENTS.items()))
+    return let(fold(clean(title)), lambda t: F.coalesce(*(F.when(t.rlike(p), why) for why, p in NOT_EVENTS.items())))
 
 
 def event_url(url: Column, listing: Column) -> Column:
     """The address if it can be a listing's own page: no script or mail link, file, front page or the listing itself."""
-    u = clean(url)
-    own = ~u.rlike(NO_PAGE) & U.is_web(u) & ~U.path(u).rlike(FILE) & ~((U.path(u) == "/") & (U.part(u, 5) == "")) & ~U.url_key(u).eqNullSafe(U.url_key(listing))
-    return F.when(own, u)
+    def own(u: Column) -> Column:
+        return F.when(~u.rlike(NO_PAGE) & U.is_web(u) & ~U.path(u).rlike(FILE) & ~((U.path(u) == "/") & (U.part(u, 5) == "")) & ~U.url_key(u).eqNullSafe(U.url_key(listing)), u)
+
+    return let(clean(url), own)
 
 
 def boring_url(url: Column) -> Column:

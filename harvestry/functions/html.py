@@ -129,3 +129,66 @@ def matches(node: Node, steps: list[tuple[str, list]], top: Node) -> bool:
             return False
         above = above.parent
     return False
+
+
+#: Attributes that a page's skeleton keeps, longest skeleton, and siblings of one kind that stay of a long run.
+KEPT_ATTRIBUTES, SKELETON, STAY, RUN = ("class", "id", "href", "datetime"), 45_000, 8, 10
+#: Elements that hold nothing to read.
+SILENT = SIDE | frozenset("link meta img picture source video form".split())
+
+
+def aside(node: Node) -> bool:
+    """Menus, footers and banners that every page has."""
+    return node.tag in SIDE or node.attrs.get("role") == "navigation" or "cookie" in f"{node.attrs.get('id', '')} {node.attrs.get('class', '')}".lower()
+
+
+def skeleton(html: str, most: int = SKELETON) -> str:
+    """A page's markup for a reader of structure: own content, few attributes, of a run of more than RUN like siblings the
+    first STAY and how many more there were; cut at `most` letters."""
+    out: list[str] = []
+
+    def show(node: Node) -> None:
+        kinds: dict[tuple[str, str], int] = {}
+        inner = [c for c in node.children if isinstance(c, str) or not (c.tag in SILENT or aside(c))]
+        kind = lambda c: (c.tag, c.attrs.get("class", ""))
+        for c in inner:
+            if isinstance(c, Node):
+                kinds[kind(c)] = kinds.get(kind(c), 0) + 1
+        shown: dict[tuple[str, str], int] = {}
+        for c in inner:
+            if isinstance(c, str):
+                out.append(" ".join(c.split()) if c.strip() else " " * bool(c))
+                continue
+            many, at = kinds[kind(c)], shown.setdefault(kind(c), 0)
+            shown[kind(c)] += 1
+            if many > RUN and at >= STAY:
+                if at == STAY:
+                    out.append(f"<p>[{many - STAY} more]</p>")
+                continue
+            begin = len(out)
+            out.append(f"<{c.tag}" + "".join(f' {k}="{c.attrs[k]}"' for k in KEPT_ATTRIBUTES if k in c.attrs) + ">")
+            show(c)
+            if c.tag in ("div", "span") and not "".join(out[begin + 1 :]).strip():
+                del out[begin:]  # an empty box
+            elif c.tag not in VOID:
+                out.append(f"</{c.tag}>")
+
+    body = parse(html).select("body")
+    show(body[0] if body else parse(html))
+    return " ".join("".join(out).split())[:most]
+
+
+def own_text(html: str, most: int = 6000) -> str:
+    """A page's visible text without menus, footers and banners; of at most `most` letters."""
+    root = parse(html)
+    body = (root.select("body") or [root])[0]
+    parts: list[str] = []
+    todo: list[Node | str] = [body]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            parts.append(x)
+        elif not aside(x):
+            parts.append(" " if x.tag in BLOCKS else "")
+            todo.extend(([" "] if x.tag in BLOCKS else []) + x.children[::-1])
+    return " ".join("".join(parts).split())[:most]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from harvestry.functions.text import clean, fold
+from harvestry.functions.text import clean, fold, let
 
 #: Fixed values, folded: labels before a place, labels before a time, and words that stand for no place yet.
 PLACE_LABELS = "miesto mesto adresa lokalita venue location place where".split()
@@ -35,8 +35,7 @@ def clean_location(c: Column) -> Column:
     priced = lambda f: F.regexp_replace(f, r"(?i)(^|\s)\d+([.,]\d+)?\s*(€|eur)(?=\s|$)", " ")
     fields = F.transform(fields, lambda f: F.array_join(F.filter(said(priced(f)), lambda w: ~moment(w)), " "))
     fields = F.filter(F.transform(fields, lambda f: F.btrim(f, F.lit(AROUND))), lambda f: f != "")
-    place = F.array_join(fields, ", ")
-    return F.when(F.btrim(fold(place), F.lit(AROUND)).isin(*NOT_YET), "").otherwise(place)
+    return let(F.array_join(fields, ", "), lambda place: F.when(F.btrim(fold(place), F.lit(AROUND)).isin(*NOT_YET), "").otherwise(place))
 
 
 def country_in_url(url: Column, home: list[str], away: list[str]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ STOP_WORDS = """a i o u v vo na do od po pri pre s so z zo za k ku je sa si to a
 event podujatie vypredane pridane zrusene presunute novy termin""".split()
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used: plans of nested steps stay as long as they are written."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def fold(c: Column) -> Column:
     """Lower case without the marks of MARKED. (ł folds to l; other letters without a plain form stay.)"""
     return F.translate(F.lower(F.coalesce(c, F.lit(""))), MARKED, PLAIN)
@@ -27,28 +34,34 @@ def clean(c: Column) -> Column:
 PARTING = "-–—|:,"
 
 
-def clean_title(c: Column) -> Column:
-    """A title without a clock time glued to its last letter, a score after the teams, or separators left at its end."""
-    t = clean(c)
-    # A time of day glued on: the last five or four characters, behind a letter or a closing mark.
-    for n in (5, 4):
-        tail, before = F.right(t, F.lit(n)), F.substring(t, F.length(t) - n, F.lit(1))
-        hour, minute = (F.element_at(F.split(tail, ":"), i).try_cast("int") for i in (1, -1))
-        glued = (F.length(t) > n) & (F.instr(tail, ":") == n - 2) & hour.between(0, 23) & minute.between(0, 59) & (before.rlike(r"\p{L}") | before.isin(*")!?."))
-        t = F.when(F.coalesce(glued, F.lit(False)), F.substring(t, F.lit(1), F.length(t) - n)).otherwise(t)
-    # A score: two numbers as the last part behind a dash, unless a time stands before the dash.
-    parts = F.split(t, " – ")
+def _unglued(t: Column, n: int) -> Column:
+    """Without a time of day of n characters behind a letter or a closing mark."""
+    tail, before = F.right(t, F.lit(n)), F.substring(t, F.length(t) - n, F.lit(1))
+    hour, minute = (F.element_at(F.split(tail, ":"), i).try_cast("int") for i in (1, -1))
+    glued = (F.length(t) > n) & (F.instr(tail, ":") == n - 2) & hour.between(0, 23) & minute.between(0, 59) & (before.rlike(r"\p{L}") | before.isin(*")!?."))
+    return F.when(F.coalesce(glued, F.lit(False)), F.substring(t, F.lit(1), F.length(t) - n)).otherwise(t)
+
+
+def _unscored(parts: Column) -> Column:
+    """Without a last part that is two numbers, unless a time stands before it."""
     numbers = F.transform(F.split(F.translate(F.element_at(parts, -1), ":–", "--"), "-"), lambda n: F.trim(n))
-    scored = (F.size(parts) > 1) & (F.size(numbers) == 2) & F.forall(numbers, lambda n: F.length(n).between(1, 3) & n.try_cast("int").isNotNull())
+    scored = let(numbers, lambda x: (F.size(x) == 2) & F.forall(x, lambda n: F.length(n).between(1, 3) & n.try_cast("int").isNotNull()))
     ahead = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1)))
-    timed = F.element_at(ahead, -1).rlike(r"\d:\d\d$")
-    t = F.when(scored & ~timed, F.array_join(ahead, " – ")).otherwise(t)
-    # Words up to the last that is more than marks.
-    said = F.split(t, " ")
+    return F.array_join(F.when((F.size(parts) > 1) & scored & ~F.element_at(ahead, -1).rlike(r"\d:\d\d$"), ahead).otherwise(parts), " – ")
+
+
+def _unmarked(said: Column) -> Column:
+    """Words up to the last that is more than marks."""
     last = F.array_max(F.transform(said, lambda w, i: F.when(F.length(F.translate(w, PARTING, "")) > 0, i + 1)))
     return F.array_join(F.slice(said, 1, F.greatest(F.coalesce(last, F.lit(0)), F.lit(1))), " ")
 
 
+def clean_title(c: Column) -> Column:
+    """A title without a clock time glued to its last letter, a score after the teams, or separators left at its end."""
+    t = let(let(clean(c), lambda t: _unglued(t, 5)), lambda t: _unglued(t, 4))
+    return let(F.split(let(F.split(t, " – "), _unscored), " "), _unmarked)
+
+
 def words(c: Column) -> Column:
     """Runs of letters and digits of the folded text."""
     return F.filter(F.split(fold(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -71,8 +84,7 @@ def title_stems(c: Column) -> Column:
 
 def junk_title(c: Column) -> Column:
     """A title that names nothing: empty, or digits and separators alone; a year alone may be a name."""
-    t = clean(c)
-    return (t == "") | (t.rlike(r"^[\d\s./:–-]*$") & t.rlike(r"\d") & ~t.rlike(r"^\d{4}$"))
+    return let(clean(c), lambda t: (t == "") | (t.rlike(r"^[\d\s./:–-]*$") & t.rlike(r"\d") & ~t.rlike(r"^\d{4}$")))
 
 
 def language_counts(c: Column, lexicons: dict[str, list[str]]) -> dict[str, Column]:

@@ -124,3 +124,29 @@ SITEMAPS = Fixture(
         ("https://b.example/map.xml", "<urlset>" + _ENTRY("url", "https://b.example/1", "2031-01-01") + _ENTRY("url", "https://b.example/2") + "</urlset>"),
     ],
 )
+
+_ITEM = lambda t, title, more="": f'<div class="eventon_list_event evo" data-time="{t}"><span class="evcal_event_title">{title}</span>{more}</div>'
+#: Calendar pages of a plugin: timed, whole days, one day, a repeat, items without a start or a title.
+CALENDARS = Fixture(
+    "page_id int, html string",
+    [
+        (1, _ITEM("1940691600-1940700600", "Evening", '<em class="evo_location_name">Old Mill</em><em class="evo_location_address">Dock street 4</em><div class="evo_event_schema"><a href="/e/1">x</a></div>')
+            + _ITEM("1940882400-1941141540", "Fair") + _ITEM("1941228000-1941314340", "One day", '<em class="evo_location_name">Old Mill</em><em class="evo_location_address">Old Mill</em>') + _ITEM("1940882400-1941141540", "Fair")),
+        (2, _ITEM("1926277200-1926370740", "Late") + _ITEM("x-y", "No time") + _ITEM("0-5", "Zero") + _ITEM("1926277200", "") + '<div class="eventon_list_event">none</div>'),
+        (3, None),
+    ],
+)
+#: Stored rows of an older reading.
+STORED = Fixture(
+    "id int, title string, location string, url string, via string",
+    [
+        (1, "Lantern night20:30", "Miesto: Old Mill | Brookton", "https://a.example/e/1", "https://a.example/list"),
+        (2, "Lantern night — concert, 5.5.2031 20:30, Hall Nine, Brookton.", "Brookton", "https://a.example/list", "https://www.a.example/list/"),
+        (3, "Reds – Blues – 3:1", "Arena", "mailto:x@a.example", "https://a.example/list"),
+        (4, "5. 5. 2031", "Arena", None, None),
+        (5, "ZRUŠENÉ: Lantern night", None, None, None),
+        (6, "Quiet — letters -", "TBA", "https://a.example/e/6.pdf", None),
+        (7, None, None, None, None),
+        (8, "1984", "Stage", "https://a.example/e/8", "https://a.example/list"),
+    ],
+)

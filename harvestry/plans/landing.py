@@ -16,6 +16,7 @@ from harvestry.functions import html as H
 from harvestry.functions import places as L
 from harvestry.plans.extraction import NOW, written_dates
 from harvestry.plans.registry import Tables, query
+from harvestry.sources.collections import decode_html
 
 
 @udtf(returnType="place int, title string, link string, text string")
@@ -67,13 +68,14 @@ def robots_rules(spark, base):
     return tested
 
 
-@query("SELECT doc_id, md5(text) AS hash FROM documents WHERE lang IN ('de', 'fr', 'es', 'en') AND text = text")
+@query("SELECT doc_id, md5(text) AS hash FROM documents")
 def decoded_pages(spark, base):
-    """Bytes in a page's charset read as text again; an unknown charset is read as UTF-8."""
-    charset = F.when(F.col("lang") == "de", "UTF-16").otherwise("UTF-8")
-    body = F.when(charset == "UTF-16", F.encode("text", "UTF-16")).otherwise(F.encode("text", "UTF-8"))
-    back = F.when(charset == "UTF-16", F.decode(body, "UTF-16")).otherwise(F.decode(body, "UTF-8"))
-    return Tables(spark, base).documents.where("lang in ('de', 'fr', 'es', 'en') and text is not null").select("doc_id", F.md5(back.cast("binary")).alias("hash"))
+    """Bytes of a page as text again: by the charset of the header, of the markup, or none that is known; null stays null."""
+    k = F.col("doc_id") % 4
+    body = F.when(k == 0, F.encode("text", "UTF-16")).otherwise(F.encode(F.when(k == 1, F.concat(F.lit('<meta charset="utf-8">'), F.col("text"))).otherwise(F.col("text")), "UTF-8"))
+    header = F.when(k == 0, "text/html; charset=UTF-16").when(k == 2, "text/html; charset=unknown-8").when(k == 3, "text/html; Charset='utf-8'")
+    back = F.regexp_replace(decode_html(body, header), '^<meta charset="utf-8">', "")
+    return Tables(spark, base).documents.select("doc_id", F.md5(back.cast("binary")).alias("hash"))
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 4 < 3 THEN n_name END AS city, CASE WHEN s_suppkey % 4 IN (0, 1) THEN 'Long street ' || (s_suppkey % 90 + 1) END AS street,
