@@ -46,7 +46,7 @@ def test_bounded_texts(spark, tmp_path):
     (tmp_path / "c.gz").write_bytes(gzip.compress(b"cut off" * 100)[:-20])
     got = {r.path[-4:]: r.text for r in C.read_texts(spark, str(tmp_path), 24).collect()}
     assert got[".xml"] == "plain text"
-    assert got["l.gz"] == "žltý kôň žltý kô" and got["c.gz"].startswith("cut off")
+    assert got["l.gz"] == "žltý kôň žltý kô" and got["c.gz"] and ("cut off" * 100).startswith(got["c.gz"])
 
 
 def test_shared_folder_is_asked_for(spark, monkeypatch):
