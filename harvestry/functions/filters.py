@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from harvestry.functions import urls as U
 from harvestry.functions.text import clean, fold, let
 
-NOT_EVENTS = {
+NO_LISTING = {
     "waste collection": r"^(planovany )?(vyvoz|odvoz|zber|zvoz)\b.{0,40}\b(odpad|plast|papier|sklo|bio)",
     "cancelled": r"(^|[\s(:|,-])(zrusen[eya]|cancelled|canceled)($|[\s)!:.,-])",
     "bye": r"^volno$",
@@ -24,7 +24,7 @@ BORING = r"(?i)login|signin|register|cart|wp-admin|token=|api/|/tag/|/author/|pr
 
 def not_an_event(title: Column) -> Column:
     """Why a title is no public event, or null: the first class that it is in."""
-    return let(fold(clean(title)), lambda t: F.coalesce(*(F.when(t.rlike(p), why) for why, p in NOT_EVENTS.items())))
+    return let(fold(clean(title)), lambda t: F.coalesce(*(F.when(t.rlike(p), why) for why, p in NO_LISTING.items())))
 
 
 def event_url(url: Column, listing: Column) -> Column:

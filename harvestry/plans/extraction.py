@@ -51,7 +51,7 @@ class ExtractLinks:
 
 
 @udtf(returnType="name string, start string, end string, place string, url string, country string")
-class JsonLdEvents:
+class JsonLdRows:
     """Rows of @type ...Event in a page's JSON-LD, through arrays, graphs and sub-events; broken scripts are skipped."""
 
     def eval(self, html: str):
@@ -78,7 +78,7 @@ class JsonLdEvents:
 def register(spark) -> None:
     """Make the table functions and the URL key known to SQL in this session."""
     spark.udtf.register("extract_links", ExtractLinks)
-    spark.udtf.register("json_ld_events", JsonLdEvents)
+    spark.udtf.register("json_ld_rows", JsonLdRows)
 
 
 @query("SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS heading, len(regexp_extract_all(html, '<a href=\"')) AS links FROM pages")
@@ -112,7 +112,7 @@ def json_ld_rows(spark, base):
     body = F.to_json(F.struct(F.lit("MusicEvent").alias("@type"), F.concat("n_name", F.lit(" night")).alias("name"), F.concat(F.lit("1998-06-"), F.lpad((F.col("n_nationkey") % 28 + 1).cast("string"), 2, "0")).alias("startDate"), F.struct(F.concat(F.lit("hall "), F.col("n_nationkey").cast("string")).alias("name")).alias("location")))
     html = F.concat(F.lit('<script type="application/ld+json">{"@graph": ['), body, F.lit(']}</script><script type="application/ld+json">{broken</script>'))
     Tables(spark, base).nation.select(html.alias("html")).createOrReplaceTempView("structured_pages")
-    return spark.sql("SELECT name, start, place FROM structured_pages, LATERAL json_ld_events(html)")
+    return spark.sql("SELECT name, start, place FROM structured_pages, LATERAL json_ld_rows(html)")
 
 
 @query("SELECT r_regionkey AS site, 'https://' || lower(r_name) || '.example/' || n_nationkey AS loc, CAST(DATE '1998-01-01' + CAST(n_nationkey AS INT) AS VARCHAR) AS lastmod FROM nation JOIN region ON n_regionkey = r_regionkey")

@@ -9,7 +9,7 @@ from harvestry.functions.scores import chao1, half_up, region_of
 from harvestry.plans.registry import Tables, query
 from harvestry.sources.tables import keep
 
-MIN_EVENTS = 8
+LEAST = 8
 
 SIGHTINGS_SQL = """
 sight AS (SELECT l_partkey AS event_id, l_suppkey AS site, p_brand AS town, p_type AS tag FROM lineitem JOIN part ON l_partkey = p_partkey
@@ -29,7 +29,7 @@ def sightings(t: Tables) -> DataFrame:
     return t.lineitem.where(inside).join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_partkey").alias("event_id"), F.col("l_suppkey").alias("site"), F.col("p_brand").alias("town"), F.col("p_type").alias("tag"))
 
 
-def coverage_report(rows: DataFrame, min_events: int = MIN_EVENTS) -> DataFrame:
+def coverage_report(rows: DataFrame, min_events: int = LEAST) -> DataFrame:
     """Per grouping set ((), town, tag, town and tag): events seen once, twice and more often, sites, Chao's estimate and the coverage.
 
     An event in several kinds counts once in what is not by kind; estimates need min_events.
