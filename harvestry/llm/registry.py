@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from harvestry.llm import langid, licenses, lines, packing, pieces, scoring, simhash, toxicity, transport, vectors
+from harvestry.llm import audit, langid, licenses, lines, packing, pieces, scoring, simhash, toxicity, transport, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,9 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_language_id": langid.op9_language_id,
         "op10_line_dedup": lines.op10_line_dedup,
+        "op12_filter_audit": audit.op12_filter_audit,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": lines.OP10_SQL}
+    return {"op10_line_dedup": lines.OP10_SQL, "op12_filter_audit": audit.OP12_SQL}
