@@ -161,7 +161,7 @@ orders AS (
   WHERE a.f NOT IN (b.f, c.f, d.f, e.f) AND b.f NOT IN (c.f, d.f, e.f) AND c.f NOT IN (d.f, e.f) AND d.f <> e.f
 ), applied AS (
   SELECT part, array_to_string(fs, '') AS filter_order, step, fs[step] AS f, n, good, bad, n_fails, fails[fs[step]] AS failing,
-         len(list_filter(fs[1:step - 1], x -> fails[x])) > 0 AS gone
+         len(list_filter(fs[1:step - 1], lambda x: fails[x])) > 0 AS gone
   FROM pattern, orders, (SELECT unnest(range(1, 6))::INT AS step)
 ), counted AS (
   SELECT part, filter_order, step, f, sum(CASE WHEN NOT gone AND NOT failing THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN NOT gone AND failing THEN n ELSE 0 END)::BIGINT AS removed,
