@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from harvestry.llm import audit, fingerprints, langid, licenses, lines, packing, pieces, scoring, simhash, toxicity, transport, vectors
+from harvestry.llm import alignment, audit, fingerprints, langid, licenses, lines, packing, pieces, scoring, simhash, toxicity, transport, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_line_dedup": lines.op10_line_dedup,
         "op11_fingerprints": fingerprints.op11_fingerprints,
         "op12_filter_audit": audit.op12_filter_audit,
+        "op13_token_alignment": alignment.op13_token_alignment,
         "pipeline": corpus_pipeline.run,
     }
 
