@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import permutations
 
 import numpy as np
@@ -73,34 +73,60 @@ def patterns(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    """part, removed (documents by order, step and label) and shown (documents by pattern): arrays, some rows a part."""
-    table = step_table()
-    cells = len(ORDERS) * (STEPS + 1) * LABELS
+Counts = dict[str, tuple[np.ndarray, np.ndarray]]
+ARRAYS = "part string, removed array<long>, shown array<long>"
+CELLS = len(ORDERS) * (STEPS + 1) * LABELS
+
 
-    def rest(parts: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.string()), pa.array([x.tolist() for x, _ in parts.values()], pa.list_(pa.int64())), pa.array([x.tolist() for _, x in parts.values()], pa.list_(pa.int64()))], ["part", "removed", "shown"])
+def accumulated(rows: DataFrame, add: Callable[[Counts, pa.RecordBatch], None]) -> DataFrame:
+    """One row for each part and task (more where a task sees very many parts), from what add() puts into a task's arrays."""
+
+    def handed(parts: Counts) -> pa.RecordBatch:
+        lists = [pa.array([x[k] for x in parts.values()], pa.list_(pa.int64())) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.string()), *lists], ["part", "removed", "shown"])
 
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        order = np.arange(len(ORDERS)) * ((STEPS + 1) * LABELS)
+        parts: Counts = {}
         for batch in batches:
-            coded = batch.column("part").dictionary_encode()
-            names, of = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-            pattern, label = batch.column("pattern").to_numpy(), batch.column("label").to_numpy()
-            for k, name in enumerate(names):
-                mine = of == k
-                cell = order + table[pattern[mine]] * LABELS + label[mine, None]
-                removed, shown = parts.setdefault(name, (np.zeros(cells, np.int64), np.zeros(1 << STEPS, np.int64)))
-                removed += np.bincount(cell.ravel(), minlength=cells)
-                shown += np.bincount(pattern[mine], minlength=1 << STEPS)
+            add(parts, batch)
             if len(parts) >= HELD_PARTS:
-                yield rest(parts)
+                yield handed(parts)
                 parts = {}
         if parts:
-            yield rest(parts)
+            yield handed(parts)
+
+    return rows.mapInArrow(over, ARRAYS)
+
+
+def arrays_of(parts: Counts, part: str) -> tuple[np.ndarray, np.ndarray]:
+    return parts.setdefault(part, (np.zeros(CELLS, np.int64), np.zeros(1 << STEPS, np.int64)))
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """part, removed (documents by order, step and label) and shown (documents by pattern), arrays."""
+    table, order = step_table(), np.arange(len(ORDERS)) * ((STEPS + 1) * LABELS)
+
+    def add(parts: Counts, batch: pa.RecordBatch) -> None:
+        coded = batch.column(0).dictionary_encode()
+        of, pattern, label = coded.indices.to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        for k, name in enumerate(coded.dictionary.to_pylist()):
+            mine = of == k
+            removed, shown = arrays_of(parts, name)
+            removed += np.bincount((order + table[pattern[mine]] * LABELS + label[mine, None]).ravel(), minlength=CELLS)
+            shown += np.bincount(pattern[mine], minlength=1 << STEPS)
+
+    return accumulated(rows.select("part", "pattern", "label"), add)
+
+
+def merged(partial: DataFrame) -> DataFrame:
+    """The arrays of `partial` added up inside each task that reads them."""
+
+    def add(parts: Counts, batch: pa.RecordBatch) -> None:
+        for name, removed, shown in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for held, more in zip(arrays_of(parts, name), (removed, shown), strict=True):
+                held += more.values.to_numpy()
 
-    return rows.select("part", "pattern", "label").mapInArrow(over, "part string, removed array<long>, shown array<long>")
+    return accumulated(partial, add)
 
 
 def summed(partial: DataFrame, name: str) -> DataFrame:
@@ -116,7 +142,7 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rows that repeat a doc_id count each for itself; equal texts of one doc_id are not copies of each other. Where labels
     repeat a doc_id, one row with 1 is enough. Other columns are not read. An empty table gives no rows.
     """
-    partial = keep(counted(patterns(docs, labels)), "audit")
+    partial = merged(keep(counted(patterns(docs, labels)), "audit"))
     per = (STEPS + 1) * LABELS
     filter_order = F.element_at(F.array(*map(F.lit, ORDERS)), F.col("order") + 1)
     cells = summed(partial, "removed").select("part", F.expr(f"div(place, {per})").cast("int").alias("order"), F.expr(f"div(place % {per}, {LABELS})").cast("int").alias("step0"), (F.col("place") % LABELS).alias("label"), "n")
