@@ -14,6 +14,7 @@ each, then all sums.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -28,6 +29,8 @@ from harvestry.llm.common import bounded_batches, each_batch, keep, read_table
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of texts that share a dictionary; one longer text has its own.
 BLOCK = 16 << 20
+#: Keys whose lists a task builds side by side before it sorts the rest by key.
+HELD_KEYS = 20_000
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 PAIR_SHIFT = 32
 
@@ -76,13 +79,15 @@ def chunked(docs: DataFrame, files: tuple[str, str], size: int) -> DataFrame:
 
 def encoded(chunks: DataFrame, files: tuple[str, str]) -> DataFrame:
     """chunk, a and b (id and length of each token), whole (both give the chunk's bytes back)."""
-    kind = pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int32())]))
+    def tokens(lists: list[list[int]], length: np.ndarray) -> pa.Array:
+        ids = np.fromiter(chain.from_iterable(lists), np.int32)
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(ids), pa.array(length[ids])], ["id", "n"]))
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = both(*files)
         a, b, whole = known.encode(batch.column(0).to_pylist())
-        columns = [batch.column(0), *(pa.array([[(i, len(raw[i])) for i in x] for x in ids], kind) for ids, raw in ((a, known.a_bytes), (b, known.b_bytes))), pa.array(whole, pa.bool_())]
-        return pa.RecordBatch.from_arrays(columns, ["chunk", "a", "b", "whole"])
+        return pa.RecordBatch.from_arrays([batch.column(0), tokens(a, known.a_length), tokens(b, known.b_length), pa.array(whole, pa.bool_())], ["chunk", "a", "b", "whole"])
 
     return each_batch(chunks.select("chunk"), of, "chunk binary, a array<struct<id:int,n:int>>, b array<struct<id:int,n:int>>, whole boolean")
 
@@ -105,9 +110,9 @@ def aligned(tokens: DataFrame) -> DataFrame:
     grouped = placed.withColumn("g", F.coalesce(F.sum(cut).over(before), F.lit(0)).cast("int")).groupBy("key", "g")
 
     def in_order(side: str) -> Column:
-        return F.transform(F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", F.col(side).alias("id"))))), lambda x: x["id"]).alias(side)
+        return F.sort_array(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", F.col(side).alias("id"))))).getField("id").alias(side)
 
-    return grouped.agg(in_order("a"), in_order("b")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("g", "a", "b"))).alias("groups"))
+    return grouped.agg(in_order("a"), in_order("b")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("g", "a", "b"))).alias("groups"))
 
 
 def links(groups: DataFrame) -> DataFrame:
@@ -145,6 +150,9 @@ def align(docs: DataFrame, byte_level: str | None = None, pieces: str | None = N
     spark = docs.sparkSession
     # A key's rows stay where they are for joins that also compare the end, or the place in the dictionary.
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    # Each step is written, so its shuffles can go as soon as it is; lists of many keys are built without a sort in between.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(HELD_KEYS))
     files = (byte_level or public_tokenizers.path(BYTE_LEVEL), pieces or public_tokenizers.path(PIECES))
     rows = keep(chunked(docs, files, block), "chunks")
     known = rows.where("chunk is not null").select("block", "local", "chunk")
@@ -170,7 +178,7 @@ def align(docs: DataFrame, byte_level: str | None = None, pieces: str | None = N
     told = known.join(found, "chunk", "left").drop("chunk")
     placed = texts.select("block", "doc", "doc_id", F.posexplode_outer("ids").alias("at", "local")).join(told.hint("shuffle_hash"), ["block", "local"], "left")
     each = placed.groupBy("block", "doc", "doc_id").agg(
-        F.bool_and(F.col("n_a").isNotNull()).alias("whole"), *(F.sum(c).alias(c) for c in SUMS), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda x: x["said"]), ";").alias("groups")
+        F.bool_and(F.col("n_a").isNotNull()).alias("whole"), *(F.sum(c).alias(c) for c in SUMS), F.array_join(F.sort_array(F.collect_list(F.struct("at", "said"))).getField("said"), ";").alias("groups")
     )
     return each.select("doc_id", *(F.when(F.col("whole"), F.col(c)).otherwise(0).alias(c) for c in SUMS), F.when(F.col("whole"), F.col("groups")).otherwise("").alias("groups"))
 

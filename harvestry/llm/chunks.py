@@ -8,6 +8,7 @@ So a text's tokens are its chunks' tokens, one after the other, and a chunk that
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import sentencepiece
@@ -37,6 +38,7 @@ class Both:
         letters = {c: b for b, c in byte_letters().items()}
         self.a_bytes = [bytes(letters.get(c, 0) for c in self.a.id_to_token(i)) for i in range(self.a.get_vocab_size())]
         self.b_bytes = [piece_bytes(self.b.id_to_piece(i), self.b.is_byte(i)) for i in range(self.b.get_piece_size())]
+        self.a_length, self.b_length = (np.array([len(x) for x in side], np.int32) for side in (self.a_bytes, self.b_bytes))
         self.lead = self.b.encode(GUARD)
         self.together = np.zeros((128, 128), bool)
         for i in range(self.b.get_piece_size()):
@@ -55,10 +57,25 @@ class Both:
         a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         k = len(self.lead)
         b = [x[k:] for x in self.b.encode([GUARD + t for t in texts], num_threads=1)]
+        same = b"".join(chunks)
+        if all(b"".join([raw[i] for x in ids for i in x]) == same for ids, raw in ((a, self.a_bytes), (b, self.b_bytes))) and self.fits(a, b, chunks):
+            return a, b, [True] * len(chunks)
         whole = [b"".join([self.a_bytes[i] for i in x]) == c == b"".join([self.b_bytes[i] for i in y]) for x, y, c in zip(a, b, chunks, strict=True)]
         return a, b, whole
 
 
+    def fits(self, a: list[list[int]], b: list[list[int]], chunks: list[bytes]) -> bool:
+        """Whether the tokens of each chunk are as long as it; with equal bytes in all, each chunk's bytes are then its own."""
+        length = np.array([len(c) for c in chunks])
+        for ids, own in ((a, self.a_length), (b, self.b_length)):
+            n = np.array([len(x) for x in ids])
+            sums = np.concatenate([[0], np.cumsum(own[np.fromiter(chain.from_iterable(ids), np.int64)])])
+            end = np.cumsum(n)
+            if (sums[end] - sums[end - n] != length).any():
+                return False
+        return True
+
+
 @lru_cache(1)
 def both(byte_level: str, pieces: str) -> Both:
     return Both(byte_level, pieces)
