@@ -4,14 +4,15 @@ Lines with a cue word give candidate blocks. A block is compressed alone and wit
 zstandard dictionary; templates are ranked by the share of their own size that they save. They are confirmed by exact
 wording differences: a template is found if its words stand in the block in order, with few missing or added, and with
 all its telling words (names, numbers, clause letters). Those that save enough come first; what a block repeats or how its
-other words are coded can hide an exact notice's share, so the others follow where none of those fits. Where none does but
-one saved enough, the block is split at the longest run of words that it shares with the best-ranked, and the parts are
-looked at again.
+other words are coded can hide an exact notice's share, so the others follow where none of those fits. All places of a
+template in a block are confirmed together: a short one's around its telling words, a long one's part by part. A list of
+templates is a parameter; notices in other words than those given are not found.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -47,6 +48,11 @@ TEMPLATES = {
     "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "GPL-3.0-short": "Licensed under GPLv3.",
+    "GPL-2.0-short": "Licensed under GPLv2.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "EUPL-1.2": "Licensed under the EUPL, Version 1.2.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -64,6 +70,8 @@ WORD = re.compile(rb"[A-Za-z0-9\x80-\xff]+(?:[.-][A-Za-z0-9]+)*")
 #: are, and the words that tell kinds of a license apart.
 LOOSE = frozenset(b"a an and any are by distributed following free in into is it of or released licensed licence license software source the this to under use version work v".split())
 KINDS = frozenset((b"affero", b"lesser"))
+#: What joins the names of a tag.
+JOINED = re.compile(rb"\s+(?:OR|AND|WITH)\s+\(?([A-Za-z0-9.+-]+)\)?")
 #: Words up to which a notice is short.
 SHORT = 16
 #: Saved share of a template's own size from which on it comes first and, if rejected, splits the block; share of a
@@ -116,11 +124,17 @@ def weight(found: list[bytes], template: list[bytes]) -> float:
     return sum(0.25 if w in LOOSE else 1 for w in found) if len(template) <= SHORT else len(found)
 
 
+def may_hold(block: list[bytes], template: list[bytes], telling: list[bytes]) -> bool:
+    """Whether the block has the telling words and enough of the others, in any order."""
+    known = set(block)
+    return known.issuperset(telling) and weight([w for w in template if w in known], template) >= FOUND * weight(template, template)
+
+
 def confirm(block: list[bytes], template: list[bytes], telling: list[bytes]) -> tuple[int, int, int, int] | None:
     """First and last word of the template's place in the block, missing and added words; None if the wordings differ too much."""
-    known, enough = set(block), FOUND * weight(template, template)
-    if not known.issuperset(telling) or weight([w for w in template if w in known], template) < enough:
+    if not may_hold(block, template, telling):
         return None
+    enough = FOUND * weight(template, template)
     matcher = SequenceMatcher(None, block, template, autojunk=False)
     runs = [m for m in matcher.get_matching_blocks() if m.size]
     if not runs:
@@ -142,10 +156,40 @@ def confirm(block: list[bytes], template: list[bytes], telling: list[bytes]) ->
     return first, last, len(template) - len(found), last - first - len(found)
 
 
-def shared(block: list[bytes], template: list[bytes]) -> tuple[int, int]:
-    """First word and end of the longest run of words that both have."""
-    run = SequenceMatcher(None, block, template, autojunk=False).find_longest_match()
-    return run.a, run.a + run.size
+#: First and last word of a place, missing and added words.
+Place = tuple[int, int, int, int]
+
+
+def around_telling(block: list[bytes], template: list[bytes], telling: list[bytes]) -> Iterator[Place]:
+    """The places of a short template: each holds its telling words, so each stands around the one that the block has least often."""
+    once = [w for w in telling if template.count(w) == 1] or telling
+    least = min(once, key=block.count)
+    at = [i for i, w in enumerate(block) if w == least]
+    reach = len(template) * (BETWEEN + 1)
+    for before, i, after in zip([-1, *at], at, [*at[1:], len(block)], strict=False):
+        low, high = max(before + 1, i - reach), min(after, i + reach)
+        if place := confirm(block[low:high], template, telling):
+            yield low + place[0], low + place[1], *place[2:]
+
+
+def in_parts(block: list[bytes], template: list[bytes], telling: list[bytes]) -> Iterator[Place]:
+    """The places of a long template: the best one, then those in what is left on both sides. A stretch that shares words with
+    the template but is no place of it is a border too."""
+    rest = [(0, len(block))]
+    while rest:
+        a, b = rest.pop()
+        part = block[a:b]
+        if not may_hold(part, template, telling):
+            continue
+        place = confirm(part, template, telling)
+        if place:
+            first, last = place[:2]
+            yield a + first, a + last, *place[2:]
+        else:
+            run = SequenceMatcher(None, part, template, autojunk=False).find_longest_match()
+            first, last = run.a, run.a + run.size
+        if first < last:
+            rest += [(a, a + first), (a + last, b)]
 
 
 Find = tuple[str, int, int, float, int, int]
@@ -153,39 +197,37 @@ Find = tuple[str, int, int, float, int, int]
 
 @lru_cache(2048)
 def inside(window: bytes, templates: tuple[tuple[str, str], ...]) -> list[Find]:
-    """Confirmed licenses of a window: name, byte range, saved share, missing and added words; the best of each place. Remembered."""
-    known = prepared(templates)
-    out = []
-    rest = [(0, len(window))]
-    while rest:
-        a, b = rest.pop()
-        block = window[a:b]
-        if not CUES.search(block):
+    """Confirmed licenses of a window: name, byte range, saved share, missing and added words; the best of each place. Remembered.
+
+    The window is compressed once with each template. All places of all templates are confirmed; of those that overlap, the
+    ones whose template saves enough come first, then those with fewer differences, then longer ones.
+    """
+    size = len(alone(window))
+    listed, spans = words(window)
+    known, places = set(listed), []
+    for name, press, own, template, telling in prepared(templates):
+        if not known.issuperset(telling):
             continue
-        size = len(alone(block))
-        ranked = sorted(((size - len(press.compress(block))) / own, name, listed, telling) for name, press, own, listed, telling in known)[::-1]
-        listed, spans = words(block)
-        best = None
-        near = [r for r in ranked if r[0] >= SAVED]
-        for some in (near, ranked[len(near) :]):
-            for saved, name, template, telling in some:
-                if place := confirm(listed, template, telling):
-                    key = (place[2] + place[3], -len(template))
-                    if best is None or key < best[0]:
-                        best = key, name, saved, place
-            if best:
-                break
-        if best:
-            _, name, saved, (first, last, missing, added) = best
-            start, end = spans[first][0], spans[last - 1][1]
-            out.append((name, a + start, a + end, saved, missing, added))
-            rest += [(a, a + start), (a + end, b)]
-        elif near:
-            first, last = shared(listed, near[0][2])
-            if first < last:
-                start, end = spans[first][0], spans[last - 1][1]
-                rest += [(a, a + start), (a + end, b)]
-    return sorted(out, key=lambda x: x[1])
+        saved = (size - len(press.compress(window))) / own
+        short = telling and len(template) <= SHORT
+        for place in (around_telling if short else in_parts)(listed, template, telling):
+            places.append((saved < SAVED, place[2] + place[3], -len(template), place[0], -saved, name, place))
+    out, free = [], bytearray(len(listed))
+    for *_, saved, name, (first, last, missing, added) in sorted(places):
+        if not any(free[first:last]):
+            free[first:last] = b"\x01" * (last - first)
+            out.append((name, spans[first][0], spans[last - 1][1], -saved, missing, added))
+    return sorted(out + [x for found in out for x in alternatives(window, found, templates)], key=lambda x: x[1])
+
+
+def alternatives(window: bytes, found: Find, templates: tuple[tuple[str, str], ...]) -> Iterator[Find]:
+    """The other names of a tag: what follows it after OR, AND or WITH, where a template's tag has that name."""
+    name, _, at, saved, *_ = found
+    tags = {n for n, _ in templates if n.endswith("-tag")}
+    while name.endswith("-tag") and (more := JOINED.match(window, at)):
+        at = more.end()
+        if f"{more[1].decode()}-tag" in tags:
+            yield f"{more[1].decode()}-tag", more.start(1), more.end(1), saved, 0, 0
 
 
 def find(text: bytes, templates: tuple[tuple[str, str], ...]) -> list[Find]:

@@ -263,7 +263,7 @@ def test_license_work_grows_with_the_text():
 
     known = tuple(licenses.TEMPLATES.items())
     took = []
-    for n in (40, 160):
+    for n in (400, 1600):
         text = "".join(f"Part {i}: Released under the MIT License. \n" for i in range(n)).encode()
         licenses.inside.cache_clear()
         began = time.process_time()
@@ -272,6 +272,16 @@ def test_license_work_grows_with_the_text():
     assert took[1] < 8 * took[0]
 
 
+def test_license_alternatives_and_short_forms():
+    known = tuple(licenses.TEMPLATES.items())
+    for text, names in (
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0\n", ["MIT-tag", "Apache-2.0-tag"]), ("# SPDX-License-Identifier: MIT OR (Apache-2.0) AND ISC\n", ["MIT-tag", "Apache-2.0-tag", "ISC-tag"]), ("It is licensed under GPLv3.", ["GPL-3.0-short"]),
+        ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]), ("Licensed under the EUPL, Version 1.2", ["EUPL-1.2"]), ("SPDX-License-Identifier: MIT OR Nobody", ["MIT-tag"]),
+        ("Released under the MIT License. Part 2. Released under the ISC License. And: Released under the MIT License.", ["MIT", "ISC", "MIT"]),
+    ):
+        assert [x for x, *_ in licenses.find(text.encode(), known)] == names, text
+
+
 def test_no_cue_no_license(documents):
     """What decides that a text is looked at loses nothing: without it the same notices are found."""
     known = tuple(licenses.TEMPLATES.items())
