@@ -9,6 +9,7 @@ every whole text; a machine's value is the mean of its weights over the text's f
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from heapq import nsmallest
 from itertools import combinations
 
 import numpy as np
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from harvestry.llm.common import bounded_batches, each_batch, fold_id, give_back, read_table
 
 SAMPLE, FOLDS, BITS, UNDETERMINED = 2000, 5, 13, "und"
+#: Characters of the sampled texts.
+BYTES = 64 << 20
 #: Families of ISO 639-1 codes; a code that is not listed is a family of its own.
 FAMILIES = {
     "germanic": "af da de en fo fy is lb nb nl nn no sv yi",
@@ -124,7 +127,10 @@ def fit(rows: list[tuple[str, str]]) -> Model:
 
 
 def sample(docs: DataFrame, most: int = SAMPLE, folds: int | None = FOLDS) -> list[tuple[str, str]]:
-    """At most `most` (lang, text) over all languages, the same number of each where there are as many; by a hash of doc_id."""
+    """At most `most` (lang, text) over all languages, the same number of each where there are as many; by a hash of doc_id and text.
+
+    Equal rows count once, and the texts have at most BYTES characters together, so the driver holds no more than that.
+    """
     known = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text")
     if folds:
         known = known.where(fold_id("doc_id", folds) != 0)
@@ -134,16 +140,21 @@ def sample(docs: DataFrame, most: int = SAMPLE, folds: int | None = FOLDS) -> li
     each = max(1, most // len(counts))
     # So small a share of each language's hashes that about 4/3 of what is needed passes.
     share = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, each * 4 / 3 / n) if n > 2 * each else 1.0)))
-    rank = F.xxhash64("doc_id", F.lit("lang"))
-    part = known.where((F.pmod(rank, F.lit(1 << 20)) / (1 << 20)) < share[F.col("lang")]).select("lang", "text", rank.alias("rank"))
-    rows = sorted((r["lang"], r["rank"], r["text"]) for r in part.toLocalIterator())
-    taken: dict[str, int] = {}
-    out = []
-    for lang, _, text in rows:
-        taken[lang] = taken.get(lang, 0) + 1
-        if taken[lang] <= each and has_letter(text):
-            out.append((lang, text))
-    return out
+    rank = F.xxhash64("doc_id", "text")
+    part = known.where((F.pmod(rank, F.lit(1 << 20)) / (1 << 20)) < share[F.col("lang")]).where(F.octet_length("text") <= BYTES).select("lang", "text", rank.alias("rank"))
+    held: dict[str, dict[int, str]] = {lang: {} for lang in counts}
+    for r in part.toLocalIterator():
+        mine = held[r["lang"]]
+        if has_letter(r["text"]):
+            mine[r["rank"]] = r["text"]
+        if len(mine) > 2 * each:
+            held[r["lang"]] = {k: mine[k] for k in nsmallest(each, mine)}
+    out, size = [], 0
+    for k, lang in sorted((k, lang) for lang, mine in held.items() for k in nsmallest(each, mine)):
+        size += len(held[lang][k])
+        if size <= BYTES:
+            out.append((lang, held[lang][k]))
+    return sorted(out)
 
 
 def predict_documents(docs: DataFrame, model: Model) -> DataFrame:

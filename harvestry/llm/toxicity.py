@@ -20,13 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harvestry.llm.common import bounded_batches, each_batch, fold_id, give_back, read_table, texts_of, tokens_of
 
 #: Most documents of the ordinary and of the toxic class to fit on.
 SAMPLE = {0: 3000, 1: 2000}
+#: Bytes of a class's sampled texts.
+BYTES = 64 << 20
 FOLDS, DISCOUNT, WINDOW, STEM = 5, 0.75, 16, 5
 #: Marks that may stand around a word.
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -176,7 +178,8 @@ def sample(docs: DataFrame, labels: DataFrame, most: dict[int, int] = SAMPLE, fo
     """At most `most[c]` labelled documents of each class as fit() takes them, outside fold 0 if there are folds.
 
     They are those of the smallest hashes of doc_id; of each class, every fourth document in that order is for the logistic
-    weights, so that both parts hold a class that has two documents. Rows that repeat a doc_id go to one part.
+    weights, so that both parts hold a class that has two documents. Rows that repeat a doc_id go to one part. A
+    class's texts have at most BYTES bytes together: those that come after do not take part.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     if folds:
@@ -186,15 +189,26 @@ def sample(docs: DataFrame, labels: DataFrame, most: dict[int, int] = SAMPLE, fo
     for c, n in most.items():
         part = known.where(F.col("toxic") == c).orderBy(rank, "doc_id").limit(n)
         chosen = part if chosen is None else chosen.union(part)
-    picked = F.broadcast(docs.sparkSession.createDataFrame(chosen.dropDuplicates(["doc_id"]).toPandas(), "doc_id long, toxic int"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id").select("doc_id", "toxic", "text").orderBy(rank, "doc_id")
+    spark = docs.sparkSession
+    picked = F.broadcast(spark.createDataFrame(chosen.dropDuplicates(["doc_id"]).toPandas(), "doc_id long, toxic int"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("of"))
+    # First the sizes of the texts, then those texts that the bounds take; one that equal rows repeat is fetched once.
+    sizes = named.join(picked, "doc_id").select("doc_id", "toxic", "of", F.octet_length("text").alias("size"))
+    of_class = Window.partitionBy("toxic").orderBy(rank, "doc_id", "of")
+    known_sizes = None
+    for c, n in most.items():
+        part = sizes.where(F.col("toxic") == c).orderBy(rank, "doc_id", "of").limit(n).withColumn("sum", F.sum(F.coalesce("size", F.lit(0))).over(of_class)).where(F.col("sum") <= BYTES)
+        known_sizes = part if known_sizes is None else known_sizes.union(part)
+    taken = F.broadcast(spark.createDataFrame(known_sizes.groupBy("doc_id", "of", "toxic").agg(F.count("*").alias("times")).toPandas(), "doc_id long, of long, toxic int, times long"))
+    rows = named.join(taken, ["doc_id", "of"]).dropDuplicates(["doc_id", "of"]).orderBy(rank, "doc_id", "of").select("doc_id", "toxic", "text", "times")
     found = rows.toArrow()
-    ids, classes = (found.column(c).to_numpy() for c in ("doc_id", "toxic"))
+    texts, times = list(texts_of(found.column("text").combine_chunks())), found.column("times").to_pylist()
+    ids, classes = (np.repeat(found.column(c).to_numpy(), times) for c in ("doc_id", "toxic"))
     held = np.zeros(len(ids), bool)
     for c in most:
         of = np.flatnonzero(classes == c)
         held[of] = np.cumsum(np.diff(ids[of], prepend=ids[of][:1]) != 0) % 4 == 1
-    return list(zip(found.column("toxic").to_pylist(), texts_of(found.column("text").combine_chunks()), held.tolist(), strict=True))
+    return list(zip(classes.tolist(), [t for t, n in zip(texts, times, strict=True) for _ in range(n)], held.tolist(), strict=True))
 
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Fitted operators: held-out accuracy, and odd rows."""
 
+from collections import Counter
 from harvestry.llm import langid, toxicity
 from harvestry.llm.registry import queries
 from tests.llm.conftest import ODD
@@ -59,3 +60,20 @@ def test_language_odd(spark, odd, nothing):
     assert langid.predict_documents(nothing, model).count() == 0
     assert langid.sample(nothing) == [] and {r.lang_pred for r in langid.predict_documents(odd, langid.fit([])).collect()} == {"und"}
     assert langid.fit([("en", "one language")]).predict("some text") == ("en", 1.0)
+
+
+def test_samples_are_bounded(spark, monkeypatch):
+    """Rows that repeat a doc_id, and very long texts, don't make a sample larger."""
+    from harvestry.llm import langid, toxicity
+
+    rows = [(1, f"text number {i % 50}", "en") for i in range(500)] + [(i, "word " * 300, "fr") for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels, {0: 5, 1: 5}, None)
+    assert len(got) == 10
+    monkeypatch.setattr(toxicity, "BYTES", 3000)
+    assert sum(len(t) for _, t, _ in toxicity.sample(docs, labels, {0: 50, 1: 50}, None)) <= 6000
+    assert 0 < len(langid.sample(docs, 20, None)) <= 20
+    assert all(n <= 10 for n in Counter(lang for lang, _ in langid.sample(docs, 20, None)).values())
+    monkeypatch.setattr(langid, "BYTES", 3000)
+    assert 0 < sum(len(t) for _, t in langid.sample(docs, 20, None)) <= 3000
