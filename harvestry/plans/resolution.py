@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvestry.functions import text as X
 from harvestry.operators.components import connected_components
+from harvestry.operators.merging import greedy_groups
 from harvestry.plans.registry import Tables, query
 from harvestry.plans.textual import STOP_SQL
 from harvestry.sources.tables import keep
@@ -97,20 +97,6 @@ def title_clusters(spark, base):
     return t.pages.select("page_id").join(roots.withColumnRenamed("node", "page_id"), "page_id", "left").select("page_id", F.coalesce("root", "page_id").alias("cluster"))
 
 
-def split_unrelated(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows of one cluster in groups that hold no two rows of different places: the most similar pairs unite first,
-    and two groups only if no row of one conflicts with a row of the other. Rows without a place conflict with none."""
-    rows = pdf.sort_values("id").reset_index(drop=True)
-    group = {r.id: [r] for r in rows.itertuples()}
-    for p in sorted({tuple(x) for links in rows.links for x in links}, key=lambda x: (-x[2], x[0], x[1])):
-        a, b = group[p[0]], group[p[1]]
-        if a is not b and not any(x.town is not None and y.town is not None and x.town != y.town for x in a for y in b):
-            a.extend(b)
-            for r in b:
-                group[r.id] = a
-    return pd.DataFrame({"page_id": rows.id, "event_id": [min(r.id for r in group[i]) for i in rows.id]})
-
-
 #: Pairs one after the other, the most similar first: g holds the groups after each.
 GREEDY_SQL = f"""{PAIRS_SQL}, k AS (SELECT a, b, row_number() OVER (ORDER BY round(sim, 6) DESC, a, b) AS i FROM pr WHERE sim >= {AGREE})"""
 
@@ -120,16 +106,17 @@ GREEDY_SQL = f"""{PAIRS_SQL}, k AS (SELECT a, b, row_number() OVER (ORDER BY rou
  FROM (SELECT k.i AS n, gs, list_filter(gs, lambda l: list_contains(l, k.a))[1] AS x, list_filter(gs, lambda l: list_contains(l, k.b))[1] AS y FROM g JOIN k ON k.i = g.i + 1)),
 z AS (SELECT unnest(gs) AS l FROM g WHERE i = (SELECT max(i) FROM g)) SELECT unnest(l) AS page_id, list_min(l) AS event_id FROM z""")
 def constrained_clusters(spark, base):
-    """Clusters without bridges: components of similar titles, split by place inside each component."""
+    """Similar listings in groups without two different places; a listing without a place bridges none."""
     t = Tables(spark, base)
-    pairs = similar_titles(page_titles(t), "page_id")
-    roots = connected_components(pairs)
-    link = F.array(F.col("a").cast("double"), F.col("b").cast("double"), F.round("sim", 6))
-    links = pairs.groupBy(F.col("a").alias("page_id")).agg(F.collect_list(link).alias("links"))
-    town = F.when(F.col("page_id") % 3 > 0, (F.col("page_id") % 3).cast("string"))
-    rows = t.pages.select("page_id", town.alias("town")).join(roots.withColumnRenamed("node", "page_id"), "page_id", "left").join(links, "page_id", "left")
-    rows = rows.select(F.col("page_id").alias("id"), "town", F.coalesce("root", "page_id").alias("root"), F.coalesce("links", F.array().cast("array<array<double>>")).alias("links"))
-    return rows.groupBy("root").applyInPandas(split_unrelated, "page_id long, event_id long")
+    town = t.pages.select(F.col("page_id").alias("id"), F.when(F.col("page_id") % 3 > 0, F.col("page_id") % 3).alias("key"))
+    return grouped(t, town, "differ", "event_id")
+
+
+def grouped(t: Tables, keys: DataFrame, rule: str, name: str) -> DataFrame:
+    """page_id and its group by greedy merging of similar titles; a listing without a partner is its own."""
+    pairs = similar_titles(page_titles(t), "page_id").select("a", "b", F.round("sim", 6).alias("score"))
+    groups = greedy_groups(pairs, keys, rule).withColumnRenamed("id", "page_id")
+    return t.pages.select("page_id").join(groups, "page_id", "left").select("page_id", F.coalesce("group", "page_id").alias(name))
 
 
 @query("""WITH r AS (SELECT o_custkey AS site, CAST(o_orderdate AS DATE) AS s, o_orderkey AS id FROM orders)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from harvestry.operators.components import connected_components
 from harvestry.plans.registry import Tables, query
-from harvestry.plans.resolution import GREEDY_SQL, page_titles, similar_titles
+from harvestry.plans.resolution import GREEDY_SQL, grouped
 
 
 @query("""WITH r AS (SELECT l_orderkey AS e, l_suppkey AS site, CAST(l_shipdate AS DATE) AS d, l_linenumber AS n, l_comment FROM (SELECT *, l_returnflag AS l_comment FROM lineitem))
@@ -21,33 +19,14 @@ def synced_events(spark, base):
         F.countDistinct("l_suppkey").alias("sites"), F.sort_array(F.collect_set("l_returnflag")).alias("tags"))
 
 
-def merge_greedily(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Within a component merge the best pairs first, never two listings of one site; the smaller id survives."""
-    site = dict(zip(pdf.id, pdf.site, strict=True))
-    into, held = {i: i for i in site}, {i: {s} for i, s in site.items()}
-    for a, b, _ in sorted({tuple(x) for links in pdf.links for x in links}, key=lambda x: (-x[2], x[0], x[1])):
-        a, b = into[a], into[b]
-        if a != b and not held[a] & held[b]:
-            low, high = min(a, b), max(a, b)
-            held[low] |= held[high]
-            into = {i: low if r == high else r for i, r in into.items()}
-    return pd.DataFrame({"page_id": list(into), "survivor": [int(v) for v in into.values()]})
-
-
 @query(f"""WITH RECURSIVE {GREEDY_SQL}, h AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS site FROM pages), g(i, gs) AS (SELECT 0::BIGINT, (SELECT list({{'ids': [page_id], 'sites': [site]}}) FROM h) UNION ALL
  SELECT n, CASE WHEN x = y OR len(list_intersect(x.sites, y.sites)) > 0 THEN gs ELSE list_append(list_filter(gs, lambda l: l <> x AND l <> y), {{'ids': list_concat(x.ids, y.ids), 'sites': list_concat(x.sites, y.sites)}}) END
  FROM (SELECT k.i AS n, gs, list_filter(gs, lambda l: list_contains(l.ids, k.a))[1] AS x, list_filter(gs, lambda l: list_contains(l.ids, k.b))[1] AS y FROM g JOIN k ON k.i = g.i + 1)),
 z AS (SELECT unnest(gs) AS l FROM g WHERE i = (SELECT max(i) FROM g)) SELECT unnest(l.ids) AS page_id, list_min(l.ids) AS survivor FROM z""")
 def joined_duplicates(spark, base):
-    """Similar listings of different sites as one, greedily inside each component."""
+    """Similar listings of different sites as one, the best pairs first."""
     t = Tables(spark, base)
-    pairs = similar_titles(page_titles(t), "page_id")
-    link = F.array(F.col("a").cast("double"), F.col("b").cast("double"), F.round("sim", 6))
-    links = pairs.groupBy(F.col("a").alias("page_id")).agg(F.collect_list(link).alias("links"))
-    rows = t.pages.select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("site"))
-    rows = rows.join(connected_components(pairs).withColumnRenamed("node", "page_id"), "page_id", "left").join(links, "page_id", "left")
-    rows = rows.select(F.col("page_id").alias("id"), "site", F.coalesce("root", "page_id").alias("root"), F.coalesce("links", F.array().cast("array<array<double>>")).alias("links"))
-    return rows.groupBy("root").applyInPandas(merge_greedily, "page_id long, survivor long")
+    return grouped(t, t.pages.select(F.col("page_id").alias("id"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("key")), "share", "survivor")
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE ts >= TIMESTAMP '2024-01-16' OR r <= 2")

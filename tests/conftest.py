@@ -22,3 +22,10 @@ def spark():
 @pytest.fixture(scope="session")
 def base():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture
+def rng():
+    import random
+
+    return random.Random(7)
