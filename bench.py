@@ -9,7 +9,7 @@ import time
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 HEADLINE = (
     "public_list", "tag_facets", "day_order", "load_summary", "showings", "coverage", "host_counters", "usage_rollup", "domains_merge", "learned_rules",
-    "day_runs", "failure_streaks", "moving_averages", "joined_runs", "host_caps", "evidence_cascade", "region_at", "keyword_tags", "url_templates",
+    "day_runs", "failure_streaks", "moving_averages", "joined_runs", "host_caps", "country_evidence", "region_at", "keyword_tags", "url_templates",
     "template_counters", "seen_page", "title_pairs", "title_clusters", "near_town", "town_counts", "parsed_dates", "frontier_pick", "upsert_latest", "table_counts",
 )
 

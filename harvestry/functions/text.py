@@ -84,7 +84,10 @@ def title_stems(c: Column) -> Column:
 
 def junk_title(c: Column) -> Column:
     """A title that names nothing: empty, or digits and separators alone; a year alone may be a name."""
-    return let(clean(c), lambda t: (t == "") | (t.rlike(r"^[\d\s./:–-]*$") & t.rlike(r"\d") & ~t.rlike(r"^\d{4}$")))
+    digits = "0123456789"
+    rest = lambda t: F.translate(t, digits + " ./:–-", "")
+    numbers = lambda t: F.length(t) - F.length(F.translate(t, digits, ""))
+    return let(clean(c), lambda t: (t == "") | ((rest(t) == "") & (numbers(t) > 0) & ~((numbers(t) == 4) & (F.length(t) == 4))))
 
 
 def language_counts(c: Column, lexicons: dict[str, list[str]]) -> dict[str, Column]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from harvestry.functions.locations import clean_location, country_in_url, zone_country
+from harvestry.functions.reading import with_title_facts
 from harvestry.functions.text import clean
 from harvestry.plans.registry import Tables, query
 
@@ -28,17 +29,13 @@ def ended_today(spark, base):
     return rows.select("l_orderkey", "l_linenumber", over.alias("ended"))
 
 
-#: A title, a kind, a date and a place, as one listing site writes them in a line.
-FACTS = r"^(.+?) — ([^,—]{2,40}), (\d{1,2}\.\s?\d{1,2}\.\s?\d{4}(?: \d{1,2}:\d{2})?), (.+?)\.?$"
-
-
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN p_name ELSE p_name || ' — ' || p_type END AS title, CASE WHEN p_partkey % 3 > 0 THEN lower(p_type) END AS kind, CASE WHEN p_partkey % 3 > 0 THEN 'Hall, ' || p_brand END AS place FROM part")
 def title_facts(spark, base):
     """A title taken apart where a date follows its kind; any other stays whole."""
     facts = F.concat(F.col("p_name"), F.lit(" — "), F.lower("p_type"), F.lit(", 20.11.2026 20:30, Hall, "), F.col("p_brand"), F.lit("."))
-    line = clean(F.when(F.col("p_partkey") % 3 > 0, facts).otherwise(F.concat_ws(" — ", "p_name", "p_type")))
-    part = lambda i: F.when(line.rlike(FACTS), F.regexp_extract(line, FACTS, i))
-    return Tables(spark, base).part.select("p_partkey", F.coalesce(part(1), line).alias("title"), part(2).alias("kind"), part(4).alias("place"))
+    line = F.when(F.col("p_partkey") % 3 > 0, facts).otherwise(F.concat_ws(" — ", "p_name", "p_type"))
+    told = with_title_facts(Tables(spark, base).part.select("p_partkey", line.alias("line")), "line")
+    return told.select("p_partkey", F.col("t_title").alias("title"), F.col("t_kind").alias("kind"), F.col("t_place").alias("place"))
 
 
 @query("SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'Mill ' || s_suppkey || ', Brookton' WHEN 5 THEN 'Mill ' || s_suppkey ELSE 'Mill ' || s_suppkey || ', Brookton' END AS place FROM supplier")

@@ -147,6 +147,34 @@ def parsed_dates(spark, base):
     return rows.join(read, "text").select("o_orderkey", F.col("r.start").alias("start"), F.col("r.end").alias("end"), F.col("r.time").alias("time"))
 
 
+#: Short names of months, as they stand between two dates.
+SHORT = "jan feb mar apr maj jun jul aug sep okt nov dec".split()
+
+
+def worded_dates(t: Tables):
+    """Each order's day in one of eight wordier forms: ranges that borrow a year, offsets, half days, places, days ago."""
+    first = F.col("o_orderdate").cast("date")
+    last, k = F.date_add(first, 3), F.col("o_orderkey") % 8
+    short = lambda d: F.concat(F.date_format(d, "d. "), F.element_at(F.array(*map(F.lit, SHORT)), F.month(d)))
+    text = (
+        F.when(k == 0, F.concat(F.date_format(first, "dd.MM"), F.lit(" - "), F.date_format(last, "dd.MM.yyyy"), F.lit(" 19:00"))).when(k == 1, F.concat(short(first), F.lit(" – "), short(last), F.date_format(last, " yyyy")))
+        .when(k == 2, F.concat(first.cast("string"), F.lit("T10:00:00+01:00"))).when(k == 3, F.concat(F.date_format(first, "d.M.yyyy"), F.lit(" 7 pm")))
+        .when(k == 4, F.concat(F.date_format(first, "d.M.yyyy"), F.lit(" 20:00 - Old Mill, 29. augusta 5"))).when(k == 5, F.concat(F.lit("pred "), (F.col("o_orderkey") % 50 + 1).cast("string"), F.lit(" dňami")))
+        .when(k == 6, F.concat(F.date_format(first, "d. M."), F.lit(" - "), F.date_format(last, "d. M. yy"))).otherwise(F.concat(F.date_format(first, "dd. MM. yyyy"), F.lit(" | 19.00")))
+    )
+    return t.orders.select("o_orderkey", text.alias("text"))
+
+
+@query("""WITH d AS (SELECT o_orderkey, o_orderkey % 8 AS k, CAST(o_orderdate AS DATE) AS d, CASE WHEN year(CAST(o_orderdate AS DATE) + 3) < 2000 THEN 100 ELSE 0 END AS century FROM orders)
+SELECT o_orderkey, CAST(CASE k WHEN 5 THEN DATE '1998-06-01' - CAST(o_orderkey % 50 + 1 AS INT) WHEN 6 THEN CAST(d + INTERVAL 1 YEAR * century AS DATE) ELSE d END AS VARCHAR) AS start, CAST(CASE WHEN k IN (0, 1) THEN d + 3 WHEN k = 6 THEN CAST((d + 3) + INTERVAL 1 YEAR * century AS DATE) END AS VARCHAR) AS "end",
+ CASE k WHEN 0 THEN '19:00' WHEN 2 THEN '10:00' WHEN 3 THEN '19:00' WHEN 4 THEN '20:00' WHEN 7 THEN '19:00' END AS time FROM d""")
+def read_dates(spark, base):
+    """Wordier days read again; each distinct text is parsed once, then joined back."""
+    rows = worded_dates(Tables(spark, base))
+    read = rows.select("text").distinct().withColumn("r", D.parse_column(F.col("text"), NOW))
+    return rows.join(read, "text").select("o_orderkey", F.col("r.start").alias("start"), F.col("r.end").alias("end"), F.col("r.time").alias("time"))
+
+
 @query("""SELECT CASE o_orderkey % 6 WHEN 0 THEN 'Y-N-N' WHEN 1 THEN 'N.N.Y' WHEN 2 THEN 'N. N. Y w N:N' WHEN 3 THEN 'N. M Y' WHEN 4 THEN 'N.N.Y - N.N.Y' ELSE 'Y-N-Nw N:N' END AS shape, count(*) AS uses FROM orders GROUP BY 1""")
 def date_shapes(spark, base):
     return written_dates(Tables(spark, base)).groupBy(D.date_shape(F.col("text")).alias("shape")).agg(F.count("*").alias("uses"))

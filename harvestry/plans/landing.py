@@ -141,10 +141,13 @@ def changed_pages(spark, base):
     return v.groupBy("user_id").agg(F.count("*").alias("visits"), F.count_if(~F.col("hash").eqNullSafe(F.col("before"))).alias("changed"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'waste collection' WHEN 1 THEN 'cancelled' WHEN 2 THEN 'office hours' END AS why FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'refuse' WHEN 1 THEN 'called off' WHEN 2 THEN 'opening hours' WHEN 3 THEN 'button' WHEN 4 THEN 'weekday' END AS why FROM part""")
 def row_rejection(spark, base):
     k = F.col("p_partkey")
-    title = F.when(k % 5 == 0, F.concat(F.lit("Vývoz: zmesový odpad "), F.col("p_name"))).when(k % 5 == 1, F.concat(F.col("p_name"), F.lit(" - ZRUŠENÉ"))).when(k % 5 == 2, F.concat(F.lit("Úradné hodiny "), F.col("p_name"))).otherwise(F.col("p_name"))
+    title = (
+        F.when(k % 7 == 0, F.concat(F.lit("Plánovaný vývoz: zmesový odpad "), F.col("p_name"))).when(k % 7 == 1, F.concat(F.col("p_name"), F.lit(" - ZRUŠENÉ")))
+        .when(k % 7 == 2, F.concat(F.lit("Úradné hodiny "), F.col("p_name"))).when(k % 7 == 3, "Viac info").when(k % 7 == 4, "Nedeľa").otherwise(F.col("p_name"))
+    )
     return Tables(spark, base).part.select("p_partkey", P.not_an_event(title).alias("why"))
 
 

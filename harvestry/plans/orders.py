@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvestry.plans.details import _draw_sql, draw
-from harvestry.plans.fixtures import SITEMAPS
 from harvestry.plans.registry import Tables, query
 from harvestry.sources.tables import keep
 
@@ -122,6 +121,10 @@ def frontier_next(spark, base):
     return Tables(spark, base).orders.orderBy(F.desc(_effective() + 4 * draw("o_orderkey", 11)), "o_orderkey").limit(1).select("o_orderkey")
 
 
+#: Pages whose entries one rendered site map file holds, by their numbers.
+PAGES_OF_A_FILE = 1000
+
+
 def sitemap_rows(files: DataFrame) -> DataFrame:
     """url, kind ('sitemap' or 'url'), loc, lastmod of the entries of site map files (url, xml), CDATA and entities read."""
     entry = r"(?s)<(sitemap|url)>(.*?)</(?:sitemap|url)>"
@@ -162,9 +165,25 @@ def read_sitemaps(files: DataFrame, starts: DataFrame, files_most: int = FILES,
     return best_per(found, "site", [F.desc_nulls_last("lastmod"), F.col("loc")], pages)
 
 
-@query("""SELECT * FROM (VALUES ('a', 'https://a.example/e/1', '2031-02-01'), ('a', 'https://a.example/e/2?x=1&y=2', '2031-03-01'), ('a', 'https://a.example/p/1', NULL), ('a', 'https://a.example/p/9', '2030-01-01'),
- ('b', 'https://b.example/1', '2031-01-01'), ('b', 'https://b.example/2', NULL)) AS t(site, loc, lastmod)""")
+#: Per site of the pages: an index of four maps, of which the one of tags is never opened; days by the page's number.
+_MAP_ROWS = "WITH m AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS site, page_id, page_id % 4 AS map, 'https://' || regexp_extract(url, '^https?://([^/]+)', 1) || '/p/' || page_id || '?a=1&b=2' AS loc, CAST(DATE '2031-01-01' + CAST(page_id % 300 AS INT) AS VARCHAR) AS lastmod FROM pages)"
+MAP_NAMES = ["posts-0", "posts-1", "events", "tags"]
+
+
+@query(f"{_MAP_ROWS}, r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY lastmod DESC, loc) AS place FROM m WHERE map < 3) SELECT site, loc, lastmod FROM r WHERE place <= {PER_SITE}")
 def sitemap_walk(spark, base):
-    """Pages through an index of invented site maps: children ranked, unlikely ones left, a loop and a missing file stood."""
-    starts = spark.createDataFrame([("a", "https://a.example/sitemap.xml"), ("b", "https://b.example/map.xml"), ("c", "https://c.example/none.xml")], "site string, url string")
-    return read_sitemaps(SITEMAPS.frame(spark), starts)
+    """The newest pages of each site through site maps that are rendered from the pages: an index, three maps, one unlikely."""
+    site = F.regexp_extract("url", "^https?://([^/]+)", 1)
+    root = F.concat(F.lit("https://"), F.col("site"))
+    pages = Tables(spark, base).pages.select(site.alias("site"), "page_id", F.element_at(F.array(*map(F.lit, MAP_NAMES)), (F.col("page_id") % 4 + 1).cast("int")).alias("map"))
+    day = F.date_add(F.lit("2031-01-01").cast("date"), (F.col("page_id") % 300).cast("int")).cast("string")
+    entry = F.concat(F.lit("<url><loc><![CDATA["), root, F.lit("/p/"), F.col("page_id").cast("string"), F.lit("?a=1&amp;b=2]]></loc><lastmod>"), day, F.lit("</lastmod></url>"))
+    # A map's text is made in parts of some pages, so no site's pages meet in one row: each part is a file of its own.
+    part = F.floor(F.col("page_id") / PAGES_OF_A_FILE)
+    name = F.concat(root, F.lit("/"), F.col("map"), F.lit("-"), F.col("part").cast("string"), F.lit(".xml"))
+    maps = keep(pages.select("site", "map", part.alias("part"), entry.alias("entry")).groupBy("site", "map", "part").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list("entry"), ""), F.lit("</urlset>")).alias("xml")).select("site", name.alias("url"), "xml"), "maps")
+    child = F.concat(F.lit("<sitemap><loc>"), F.col("url"), F.lit("</loc></sitemap>"))
+    index = maps.groupBy("site").agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.collect_list(child), ""), F.lit("</sitemapindex>")).alias("xml")).select("site", F.concat(root, F.lit("/sitemap.xml")).alias("url"), "xml")
+    files = keep(maps.select("url", "xml").union(index.select("url", "xml")), "files")
+    most = maps.groupBy("site").count().agg(F.max("count")).first()[0] or 1
+    return read_sitemaps(files, index.select("site", "url"), files_most=most + 1, children=most)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import UTC, datetime
+from datetime import UTC, date, datetime
 from zoneinfo import ZoneInfo
 
 import pandas as pd
@@ -12,10 +12,10 @@ from pyspark.sql.types import StringType
 
 from harvestry.functions import html as H
 from harvestry.functions import reading as R
-from harvestry.functions.dates import AHEAD, LONGEST_RUN, MONTH_OF
+from harvestry.functions.dates import AHEAD, LONGEST_RUN, MONTH_OF, parse_column
 from harvestry.functions.matching import names_town
 from harvestry.functions.text import words
-from harvestry.plans.fixtures import CALENDARS, STORED, TOWNS
+from harvestry.plans.matching import TOWNS
 from harvestry.plans.registry import Tables, query
 
 _M = "|".join(sorted(MONTH_OF, key=len, reverse=True))
@@ -57,24 +57,26 @@ def far_dates(spark, base):
     return Tables(spark, base).orders.select("o_orderkey", (start > F.date_add(F.lit("1997-01-01").cast("date"), AHEAD)).alias("too_far"), (F.datediff(end, start) > LONGEST_RUN).alias("endless"))
 
 
-_DOUBTS = [
-    (1, "concert on no day", None, None, None, None, None, True, True),
-    (2, "hall 7", None, None, None, None, "no date found", False, False),
-    (3, "5. 5. 2031 10:00 and 18:00", "2031-05-05", None, "10:00", None, "more times than it read", False, False),
-    (4, "5. 5. 2031 00:00 to 23:59", "2031-05-05", None, "00:00", None, None, False, False),
-    (5, "5. 5. 2031, 9. 5. 2031", "2031-05-05", None, None, None, "more dates than it read", False, False),
-    (6, "5. maja, monday 10:00, friday 12:00", "2031-05-05", None, "10:00", "12:00", "a schedule by weekday", False, False),
-    (7, "tomorrow 19:30", "2031-05-06", None, "19:30", None, "date without day and month", False, True),
-    (8, "5. 5. 2031 19:30", "2031-05-05", None, "19:30", None, None, False, False),
-    (9, "jeden maj", "2031-05-05", None, None, None, None, False, True),
-]
+#: What is written about a day d, and the doubt, whether it is dateless, and whether it has times only.
+WRITTEN = (
+    ("'hall ' || o_custkey", "unread", False, False), ("d || ' 10:00 and 18:00'", "times", False, False), ("d || ' 00:00 to 23:59'", None, False, False), ("d || ', ' || d", "days", False, False),
+    ("d || ', monday 10:00, friday 12:00'", "weekly", False, False), ("'tomorrow 19:30'", "relative", False, True), ("d || ' 19:30'", None, False, False), ("'concert on no day'", None, True, True),
+)
+_ORDER_DAY = "substr(CAST(o_orderdate AS STRING), 9, 2) || '. ' || substr(CAST(o_orderdate AS STRING), 6, 2) || '. ' || substr(CAST(o_orderdate AS STRING), 1, 4)"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if why is None else repr(why)}, {str(a).lower()}, {str(b).lower()})" for i, *_, why, a, b in _DOUBTS) + ") AS t(id, why, dateless, times_only)")
+def _written(k: int) -> str:
+    return "CASE o_orderkey % 8 " + " ".join(f"WHEN {i} THEN {'NULL' if w[k] is None else repr(w[k]) if isinstance(w[k], str) else str(w[k]).lower()}" for i, w in enumerate(WRITTEN)) + " END"
+
+
+@query(f"SELECT o_orderkey, {_written(1)} AS doubt, {_written(2)} AS dateless, {_written(3)} AS times_only FROM orders")
 def doubts(spark, base):
-    """Why readings of date texts may be wrong, over invented texts."""
-    rows = spark.createDataFrame([r[:6] for r in _DOUBTS], "id int, text string, start string, end string, time string, end_time string")
-    return rows.select("id", R.unsure_reason(F.col("text"), F.col("start"), F.col("end"), F.col("time"), F.col("end_time")).alias("why"), R.dateless(F.col("text")).alias("dateless"), R.times_only(F.col("text")).alias("times_only"))
+    """What the readings of texts about orders' days may have left out."""
+    rows = Tables(spark, base).orders.selectExpr("o_orderkey", "o_custkey", f"{_ORDER_DAY} AS d").selectExpr("o_orderkey", "CASE o_orderkey % 8 " + " ".join(f"WHEN {i} THEN {w[0]}" for i, w in enumerate(WRITTEN)) + " END AS text")
+    # Read once each distinct text, in a projection of its own.
+    texts = rows.select("text").distinct().withColumn("read", parse_column(F.col("text"), date(1998, 6, 1)))
+    found = R.with_doubts(texts, "text", "read").select("text", "doubt", "dateless", "times_only")
+    return rows.join(found, "text").select("o_orderkey", "doubt", "dateless", "times_only")
 
 
 @udtf(returnType="title string, start string, end string, place string, href string")
@@ -112,12 +114,27 @@ class CalendarRows:
                 yield row
 
 
-@query("""SELECT * FROM (VALUES (1, 'Evening', '2031-07-01T19:00', '2031-07-01T21:30', 'Old Mill, Dock street 4', '/e/1'), (1, 'Fair', '2031-07-04', '2031-07-06', NULL, NULL), (1, 'One day', '2031-07-08', NULL, 'Old Mill', NULL), (2, 'Late', '2031-01-15T22:00', '2031-01-16', NULL, NULL)) AS t(page_id, title, "start", "end", place, href)""")
+#: Seconds of an order's item on a calendar page: an evening, whole days, one day until its last minute, or without an end.
+_BEGIN = "(CAST(1925000000 / 86400 AS BIGINT) + o_orderkey % 700) * 86400 + CASE o_orderkey % 4 WHEN 0 THEN 61200 WHEN 3 THEN 61200 ELSE -7200 END"
+_LENGTH = "CASE o_orderkey % 4 WHEN 0 THEN 5400 WHEN 1 THEN 3 * 86400 - 60 WHEN 2 THEN 86400 - 60 END"
+
+
+@query(f"""WITH i AS (SELECT o_orderkey, o_custkey, o_orderkey % 4 AS k, make_timestamp(({_BEGIN.replace('CAST(1925000000 / 86400 AS BIGINT)', '22280')} + 7200) * 1000000) AS b FROM orders WHERE o_orderkey % 10 > 0)
+SELECT DISTINCT o_custkey, 'Item ' || o_orderkey % 1000 AS title, CASE WHEN k IN (0, 3) THEN strftime(b, '%Y-%m-%dT%H:%M') ELSE strftime(b, '%Y-%m-%d') END AS start, CASE k WHEN 0 THEN strftime(b + INTERVAL 90 MINUTE, '%Y-%m-%dT%H:%M') WHEN 1 THEN strftime(b + INTERVAL 2 DAY, '%Y-%m-%d') END AS "end",
+ CASE WHEN k < 2 THEN 'Old Mill, Dock street ' || k END AS place, CASE WHEN k = 0 THEN '/e/' || o_orderkey % 1000 END AS href FROM i""")
 def calendar_rows(spark, base):
-    """Rows of invented calendar pages, summer and winter time."""
+    """Items of calendar pages, one page for each customer with an item for each order; some have no title."""
     spark.udtf.register("calendar_rows", CalendarRows)
-    CALENDARS.frame(spark).createOrReplaceTempView("calendar_pages")
-    return spark.sql("SELECT page_id, title, start, end, place, href FROM calendar_pages, LATERAL calendar_rows(html, 'Europe/Berlin')")
+    k = F.col("o_orderkey") % 4
+    begin, length = F.expr(_BEGIN.replace("CAST(1925000000 / 86400 AS BIGINT)", "22280L")), F.expr(_LENGTH)
+    number = (F.col("o_orderkey") % 1000).cast("string")
+    title = F.when(F.col("o_orderkey") % 10 > 0, F.concat(F.lit("Item "), number)).otherwise("")
+    place = F.when(k < 2, F.concat(F.lit('<em class="evo_location_name">Old Mill</em><em class="evo_location_address">Dock street '), k.cast("string"), F.lit("</em>"))).otherwise("")
+    link = F.when(k == 0, F.concat(F.lit('<div class="evo_event_schema"><a href="/e/'), number, F.lit('">x</a></div>'))).otherwise("")
+    item = F.concat(F.lit('<div class="eventon_list_event evo" data-time="'), begin.cast("string"), F.coalesce(F.concat(F.lit("-"), (begin + length).cast("string")), F.lit("")), F.lit('"><span class="evcal_event_title">'), title, F.lit("</span>"), place, link, F.lit("</div>"))
+    pages = Tables(spark, base).orders.select("o_custkey", item.alias("item")).groupBy("o_custkey").agg(F.array_join(F.collect_list("item"), "").alias("html"))
+    pages.createOrReplaceTempView("calendar_pages")
+    return spark.sql("SELECT o_custkey, title, start, end, place, href FROM calendar_pages, LATERAL calendar_rows(html, 'Etc/GMT-2')")
 
 
 @F.pandas_udf(StringType())
@@ -140,10 +157,21 @@ def page_skeletons(spark, base):
     return Tables(spark, base).part.select("p_partkey", page.alias("page")).select("p_partkey", skeletons("page").alias("skeleton"), own_texts("page").alias("said"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'Lantern night', 'Old Mill, Brookton', 'https://a.example/e/1'), (2, 'Lantern night', 'Hall Nine, Brookton', NULL), (3, 'Reds – Blues', 'Arena', NULL), (6, 'Quiet — letters', NULL, NULL), (8, '1984', 'Stage', 'https://a.example/e/8')) AS t(id, title, location, url)""")
+#: A part's row as an older reading stored it: title, location, url; by the part's key.
+STORED = {
+    "id": "p_partkey",
+    "title": "CASE p_partkey % 8 WHEN 0 THEN p_name || '20:30' WHEN 1 THEN p_name || ' — concert, 5.5.2031 20:30, Hall ' || p_brand || '.' WHEN 2 THEN 'Reds – Blues – 3:1' WHEN 3 THEN '5. 5. 2031' WHEN 4 THEN 'ZRUŠENÉ: ' || p_name WHEN 5 THEN p_name || ' -' WHEN 6 THEN NULL ELSE '1984' END",
+    "location": "CASE p_partkey % 8 WHEN 0 THEN 'Miesto: Old Mill | Brookton' WHEN 1 THEN p_brand WHEN 2 THEN 'Arena' WHEN 5 THEN 'TBA' WHEN 7 THEN 'Stage ' || p_brand END",
+    "url": "CASE p_partkey % 8 WHEN 0 THEN 'https://a.example/e/' || p_partkey WHEN 1 THEN 'https://a.example/list' WHEN 2 THEN 'mailto:x@a.example' WHEN 5 THEN 'https://a.example/e/' || p_partkey || '.pdf' ELSE 'https://a.example/e/' || p_partkey END",
+    "via": "CASE WHEN p_partkey % 8 = 1 THEN 'https://www.a.example/list/' ELSE 'https://a.example/list' END",
+}
+
+
+@query("""SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 2 THEN 'Reds – Blues' WHEN 7 THEN '1984' ELSE p_name END AS title, CASE p_partkey % 8 WHEN 0 THEN 'Old Mill, Brookton' WHEN 1 THEN 'Hall ' || p_brand WHEN 2 THEN 'Arena' WHEN 7 THEN 'Stage ' || p_brand END AS location,
+ CASE WHEN p_partkey % 8 IN (0, 7) THEN 'https://a.example/e/' || p_partkey END AS url FROM part WHERE p_partkey % 8 NOT IN (3, 4, 6)""")
 def repaired_rows(spark, base):
-    """Stored rows of an older reading, read again; three are no events."""
-    return R.repaired(STORED.frame(spark))
+    """Stored rows of an older reading, read again; those that are no events go."""
+    return R.repaired(Tables(spark, base).part.selectExpr(*(f"{e} AS {c}" for c, e in STORED.items())))
 
 
 @query("""SELECT n_nationkey, 'concert in with ' || lower(n_name) || ' and friends' AS said FROM nation""")

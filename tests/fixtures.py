@@ -1,4 +1,4 @@
-"""Small invented tables of which some queries are made, as DataFrames and as SQL of the same rows."""
+"""Small invented tables with the odd cases of some operators, as DataFrames."""
 
 from __future__ import annotations
 

@@ -38,6 +38,36 @@ def test_dates(written, want):
     assert (got and tuple(None if x is None else str(x) for x in got)) == want
 
 
+@pytest.mark.parametrize(
+    ("written", "want"),
+    [
+        ("07.12 - 12.12.2026 17:15", ("2026-12-07", "2026-12-12", "17:15", None)), ("7.12 - 2.02.27", ("2026-12-07", "2027-02-02", None, None)), ("1. 12. - 6. 12. 20.15 hod", ("2026-12-01", "2026-12-06", "20:15", None)),
+        ("29. nov - 2. dec 2026", ("2026-11-29", "2026-12-02", None, None)), ("17. dec – 4. jan", ("2026-12-17", "2027-01-04", None, None)), ("4 March – 9 April, 2027 18:45", ("2027-03-04", "2027-04-09", None, None)[:2] + ("18:45", None)),
+        ("st 2. 12. 9:30 – pi 4. 12. 16:00", ("2026-12-02", "2026-12-04", "09:30", "16:00")), ("2. – 4. decembra 2026", ("2026-12-02", "2026-12-04", None, None)), ("od 2.12.2026 09:00 do 4.12.2026 16:00", ("2026-12-02", "2026-12-04", "09:00", "16:00")),
+        ("19.30 – 21.00 hod. 4.12.2026", ("2026-12-04", None, "19:30", "21:00")), ("4 prosinec Pá | 18.30", ("2026-12-04", None, "18:30", None)), ("utorok 8.12.2026 o 17.45", ("2026-12-08", None, "17:45", None)),
+        ("4.12.2026 18:30 - Old Mill, 3. maja 12", ("2026-12-04", None, "18:30", None)), ("pred 3 dnami", ("2026-11-12", None, None, None)), ("o 2 tyzdne", ("2026-11-29", None, None, None)), ("in 4 days 20:15", ("2026-11-19", None, "20:15", None)),
+        ("3 weeks ago", ("2026-10-25", None, None, None)), ("v stredu o 18.15", ("2026-11-18", None, "18:15", None)), ("stvrtok 31. 11. 18:00", None), ("pi 12. 6.", ("2026-06-12", None, None, None)), ("12.6. PI", ("2026-06-12", None, None, None)),
+        ("12. 7. so zborom", ("2027-07-12", None, None, None)), ("stvrtok 10. decembrast10 18:00", ("2026-12-10", None, "18:00", None)), ("2026-12-04T22:45:00Z", ("2026-12-04", None, "23:45", None)), ("2026-07-04T23:10:00Z", ("2026-07-05", None, "01:10", None)[:2] + ("01:10", None)),
+        ("2026-07-04T18:00:00+01:00", ("2026-07-04", None, "18:00", None)), ("2026-12-04T10:00:00-04:00", ("2026-12-04", None, "15:00", None)), ("4.12.2026 6:30 p.m. - 8 pm", ("2026-12-04", None, "18:30", "20:00")), ("4.12.2026 o 7 a spol", ("2026-12-04", None, None, None)),
+        ("4.1.99999", ("2027-01-04", None, None, None)), ("2026-13-40", None), ("November 30, 2026 7 pm", ("2026-11-30", None, "19:00", None)), ("14 januara, 2027", ("2027-01-14", None, None, None)),
+    ],
+)
+def test_dates_by_tokens(written, want):
+    got = dates.parse(written, NOW)
+    assert (got and tuple(None if x is None else str(x) for x in got)) == want
+
+
+def test_a_weekday_that_fits_no_year():
+    assert dates.reading("piatok, 18. november", NOW)[4] and not dates.reading("streda 18. november", NOW)[4]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="0123456789.:-–, |TZ+oapmjdecnvsutrkhi\n", max_size=40))
+def test_dates_of_any_text(text):
+    got = dates.reading(text, NOW)
+    assert got is None or (got[1] is None or got[0] < got[1])
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dates(date(2020, 1, 1), date(2030, 12, 31)))
 def test_dates_round_trip(day):
@@ -107,14 +137,13 @@ def test_blocking_loses_no_pair(spark):
     assert all(abs(got[k] - v) < 1e-9 for k, v in want.items())
 
 
-def test_no_bridge():
+def test_no_bridge(spark):
     """A row without a place must not join rows of two places."""
-    import pandas as pd
-
-    from harvestry.plans.resolution import split_unrelated
+    from harvestry.operators.merging import greedy_groups
 
-    rows = pd.DataFrame({"id": [1, 2, 3], "town": ["a", None, "b"], "root": [1, 1, 1], "links": [[[1.0, 2.0, 0.9]], [[2.0, 3.0, 0.8]], []]})
-    assert dict(split_unrelated(rows).values.tolist()) == {1: 1, 2: 1, 3: 3}
+    pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.8)], "a long, b long, score double")
+    towns = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id long, key string")
+    assert {r.id: r.group for r in greedy_groups(pairs, towns, "differ").collect()} == {1: 1, 2: 1, 3: 3}
 
 
 def test_polygon(spark):
