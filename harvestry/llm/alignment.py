@@ -156,27 +156,29 @@ def align(docs: DataFrame, byte_level: str | None = None, pieces: str | None = N
     files = (byte_level or public_tokenizers.path(BYTE_LEVEL), pieces or public_tokenizers.path(PIECES))
     rows = keep(chunked(docs, files, block), "chunks")
     known = rows.where("chunk is not null").select("block", "local", "chunk")
-    texts = rows.where("doc is not null").select("block", "doc", "doc_id", "ids").repartition("block")
+    texts = rows.where("doc is not null").select("block", "doc", "doc_id", "ids")
     tokens = keep(encoded(known.select("chunk").distinct(), files).withColumn("key", F.monotonically_increasing_id()), "tokens")
-    groups = keep(aligned(tokens.where("whole").select("key", "a", "b")), "groups")
+    groups = aligned(tokens.where("whole").select("key", "a", "b"))
+    sizes = (*(F.size(F.flatten(f"groups.{side}")).cast("long").alias(f"n_{side}") for side in "ab"), F.size("groups").cast("long").alias("n_groups"))
+    pairs = F.array_distinct(F.flatten(F.transform("groups", group_pairs)))
+    own = keep(groups.join(tokens.select("key", "chunk"), "key").select("key", "chunk", "groups", pairs.alias("pairs"), written(F.col("groups")).alias("said"), *sizes), "groups")
 
     # Documents that hold a pair: each one's chunks bring their pairs, which count once for the document.
-    own = groups.join(tokens.select("key", "chunk"), "key").select("chunk", F.array_distinct(F.flatten(F.transform("groups", group_pairs))).alias("pairs"))
-    lists = known.join(own, "chunk", "left").select("block", "local", "pairs")
-    holds = texts.select("block", "doc", F.explode(F.array_distinct("ids")).alias("local")).join(lists.hint("shuffle_hash"), ["block", "local"])
-    pairs = holds.groupBy("block", "doc").agg(F.flatten(F.collect_list("pairs")).alias("pairs"), F.bool_or(F.col("pairs").isNull()).alias("broken")).where("not broken")
-    counts = keep(pairs.select(F.explode(F.array_distinct("pairs")).alias("pair")).groupBy("pair").agg(F.count("*").alias("docs")), "pairs")
+    lists = known.join(own.select("chunk", "pairs"), "chunk", "left").select("block", "local", "pairs")
+    some = texts.select("block", "doc", F.array_distinct("ids").alias("ids")).repartition("block").select("block", "doc", F.explode("ids").alias("local"))
+    holds = some.join(lists.hint("shuffle_hash"), ["block", "local"])
+    whole = holds.groupBy("block", "doc").agg(F.flatten(F.collect_list("pairs")).alias("pairs"), F.bool_or(F.col("pairs").isNull()).alias("broken")).where("not broken")
+    counts = keep(whole.select(F.explode(F.array_distinct("pairs")).alias("pair")).groupBy("pair").agg(F.count("*").alias("docs")), "pairs")
 
     best = counts.groupBy(F.shiftright("pair", PAIR_SHIFT).alias("a")).agg(F.max("docs").alias("most"))
     rated = counts.withColumn("a", F.shiftright("pair", PAIR_SHIFT)).join(best, "a").select("pair", "docs", (F.col("docs") == F.col("most")).cast("long").alias("best"))
-    linked = links(groups).withColumn("pair", pair_of(F.col("a"), F.col("b")))
+    linked = links(own).withColumn("pair", pair_of(F.col("a"), F.col("b")))
     sums = linked.join(rated, "pair", "left").groupBy("key").agg(
         F.sum("n").alias("n_links"), F.sum(F.col("n") * F.coalesce("best", F.lit(0))).alias("n_best"), F.sum(F.col("n") * F.coalesce("docs", F.lit(0))).alias("count_sum")
     )
-    sizes = groups.select("key", written(F.col("groups")).alias("said"), *(F.size(F.flatten(f"groups.{side}")).cast("long").alias(f"n_{side}") for side in "ab"), F.size("groups").cast("long").alias("n_groups"))
-    found = keep(tokens.select("key", "chunk").join(sizes.join(sums, "key"), "key").select("chunk", "said", *SUMS), "found")
+    found = keep(own.select("key", "chunk", "said", "n_a", "n_b", "n_groups").join(sums, "key").select("chunk", "said", *SUMS), "found")
     told = known.join(found, "chunk", "left").drop("chunk")
-    placed = texts.select("block", "doc", "doc_id", F.posexplode_outer("ids").alias("at", "local")).join(told.hint("shuffle_hash"), ["block", "local"], "left")
+    placed = texts.repartition("block").select("block", "doc", "doc_id", F.posexplode_outer("ids").alias("at", "local")).join(told.hint("shuffle_hash"), ["block", "local"], "left")
     each = placed.groupBy("block", "doc", "doc_id").agg(
         F.bool_and(F.col("n_a").isNotNull()).alias("whole"), *(F.sum(c).alias(c) for c in SUMS), F.array_join(F.sort_array(F.collect_list(F.struct("at", "said"))).getField("said"), ";").alias("groups")
     )
