@@ -29,8 +29,8 @@ from harvestry.llm.common import bounded_batches, each_batch, keep, read_table
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of texts that share a dictionary; one longer text has its own.
 BLOCK = 16 << 20
-#: Keys whose lists a task builds side by side before it sorts the rest by key.
-HELD_KEYS = 20_000
+#: Chunks, and documents, whose lists a task builds side by side before it sorts the rest by key.
+HELD_CHUNKS, HELD_DOCS = 20_000, 1_000
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 PAIR_SHIFT = 32
 
@@ -152,7 +152,8 @@ def align(docs: DataFrame, byte_level: str | None = None, pieces: str | None = N
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     # Each step is written, so its shuffles can go as soon as it is; lists of many keys are built without a sort in between.
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(HELD_KEYS))
+    held = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    spark.conf.set(held, str(HELD_CHUNKS))
     files = (byte_level or public_tokenizers.path(BYTE_LEVEL), pieces or public_tokenizers.path(PIECES))
     rows = keep(chunked(docs, files, block), "chunks")
     known = rows.where("chunk is not null").select("block", "local", "chunk")
@@ -163,6 +164,7 @@ def align(docs: DataFrame, byte_level: str | None = None, pieces: str | None = N
     pairs = F.array_distinct(F.flatten(F.transform("groups", group_pairs)))
     own = keep(groups.join(tokens.select("key", "chunk"), "key").select("key", "chunk", "groups", pairs.alias("pairs"), written(F.col("groups")).alias("said"), *sizes), "groups")
 
+    spark.conf.set(held, str(HELD_DOCS))
     # Documents that hold a pair: each one's chunks bring their pairs, which count once for the document.
     lists = known.join(own.select("chunk", "pairs"), "chunk", "left").select("block", "local", "pairs")
     some = texts.select("block", "doc", F.array_distinct("ids").alias("ids")).repartition("block").select("block", "doc", F.explode("ids").alias("local"))
