@@ -30,7 +30,7 @@ BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of texts that share a dictionary; one longer text has its own.
 BLOCK = 16 << 20
 #: Chunks, and documents, whose lists a task builds side by side before it sorts the rest by key.
-HELD_CHUNKS, HELD_DOCS = 20_000, 1_000
+HELD_CHUNKS, HELD_DOCS = 20_000, 4_000
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 PAIR_SHIFT = 32
 
