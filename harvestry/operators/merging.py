@@ -3,7 +3,7 @@
 Taken one after the other, a pair unites its two groups unless their keys forbid it. A group's best open pair is decided by
 nothing but the two groups that it joins, so wherever both sides agree on it, it can be taken at once, and many such pairs
 are in each round. Groups that have their best pair with one of the two follow them in the same round, as far as no other
-pair comes before. Keys only gather, so pairs of groups that they keep apart are dropped as soon as that shows.
+pair of theirs, or of those that follow, comes before. Keys only gather, so pairs of groups that they keep apart are dropped as soon as that shows.
 Rounds are joins and grouped minima over rows: neither a component nor a hub's pairs meet in a task.
 """
 
@@ -77,7 +77,9 @@ def round_of(edges: DataFrame, held: DataFrame, rule: str) -> DataFrame:
     near = near.join(best.select(F.col("u").alias("v"), "best"), "v").join(summary(held, "v"), "v", "left")
     follows = (F.col("best") == F.col("o")) & ~F.col("taken") & (F.coalesce("n_v", F.lit(0)) <= 1)
     near = keep(near.select("r", "v", "o", F.col("key_v").alias("key"), follows.alias("follows")), "near")
-    bound = near.where("not follows").groupBy("r").agg(F.min("o").alias("bound"))
+    # A follower's own pairs are the united group's too: what comes behind the first of them waits for the next round.
+    others = near.where("follows").select("r", F.col("v").alias("u")).join(ways, "u").join(core.select(F.col("u").alias("v"), F.col("r").alias("own")), "v", "left").where("own is null or own <> r").select("r", "o")
+    bound = near.where("not follows").select("r", "o").union(others).groupBy("r").agg(F.min("o").alias("bound"))
     first = near.where("follows").join(bound, "r", "left").where("bound is null or o < bound").select("r", "v", "o", "key")
     own = held.select(F.col("at").alias("u"), "key").join(core, "u").select("r", "key").distinct()
     return agreed.select(F.col("y").alias("gone"), F.col("x").alias("into")).union(followers(first, own, rule).select(F.col("v").alias("gone"), F.col("r").alias("into")))

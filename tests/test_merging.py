@@ -28,7 +28,7 @@ def check(spark, pairs, keys, rule):
 
 @pytest.mark.parametrize("rule", ("differ", "share"))
 def test_random_pairs(spark, rng, rule):
-    for n, kinds in ((24, 4),):
+    for n, kinds in ((24, 4), (24, 3)):
         pairs = [(a, b, rng.choice((1.0, 0.9, 0.8, 0.5))) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.12]
         check(spark, pairs, [(i, rng.choice([None, *"abcdefgh"[:kinds]])) for i in range(n)], rule)
 
