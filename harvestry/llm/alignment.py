@@ -6,8 +6,8 @@ group are linked. What is aligned so are the distinct chunks of all texts (see c
 chunks, and both tokenizers end wherever a chunk does, so a text's groups are those of its chunks, one after the other. A word
 that a million documents share is aligned once.
 
-Documents are written in blocks of bounded size with a dictionary of the chunks in them. Two joins bring results back, by
-chunk to the blocks' dictionaries and by block to the documents: first the linked pairs, for the number of documents that hold
+Documents are written in blocks of bounded size with a dictionary of the chunks in them. A join by chunk brings results to the
+blocks' dictionaries, and a block's documents look up theirs: first the linked pairs, for the number of documents that hold
 each, then all sums.
 """
 
@@ -28,9 +28,9 @@ from harvestry.llm.common import bounded_batches, each_batch, keep, read_table
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of texts that share a dictionary; one longer text has its own.
-BLOCK = 16 << 20
-#: Chunks, and documents, whose lists a task builds side by side before it sorts the rest by key.
-HELD_CHUNKS, HELD_DOCS = 20_000, 4_000
+BLOCK = 4 << 20
+#: Chunks, and blocks, whose lists a task builds side by side before it sorts the rest by key.
+HELD_CHUNKS, HELD_BLOCKS = 20_000, 4
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 PAIR_SHIFT = 32
 
@@ -164,13 +164,12 @@ def align(docs: DataFrame, byte_level: str | None = None, pieces: str | None = N
     pairs = F.array_distinct(F.flatten(F.transform("groups", group_pairs)))
     own = keep(groups.join(tokens.select("key", "chunk"), "key").select("key", "chunk", "groups", pairs.alias("pairs"), written(F.col("groups")).alias("said"), *sizes), "groups")
 
-    spark.conf.set(held, str(HELD_DOCS))
+    spark.conf.set(held, str(HELD_BLOCKS))
     # Documents that hold a pair: each one's chunks bring their pairs, which count once for the document.
-    lists = known.join(own.select("chunk", "pairs"), "chunk", "left").select("block", "local", "pairs")
-    some = texts.select("block", "doc", F.array_distinct("ids").alias("ids")).repartition("block").select("block", "doc", F.explode("ids").alias("local"))
-    holds = some.join(lists.hint("shuffle_hash"), ["block", "local"])
-    whole = holds.groupBy("block", "doc").agg(F.flatten(F.collect_list("pairs")).alias("pairs"), F.bool_or(F.col("pairs").isNull()).alias("broken")).where("not broken")
-    counts = keep(whole.select(F.explode(F.array_distinct("pairs")).alias("pair")).groupBy("pair").agg(F.count("*").alias("docs")), "pairs")
+    held_by = in_blocks(texts, known.join(own.select("chunk", "pairs"), "chunk", "left").select("block", F.struct("local", "pairs").alias("entry")))
+    whole = F.filter("docs", lambda d: F.forall(d["ids"], lambda i: F.col("entries")[i]["pairs"].isNotNull()))
+    of_doc = F.transform(whole, lambda d: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["ids"]), lambda i: F.col("entries")[i]["pairs"]))))
+    counts = keep(held_by.select(F.explode(of_doc).alias("pairs")).select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("docs")), "pairs")
 
     best = counts.groupBy(F.shiftright("pair", PAIR_SHIFT).alias("a")).agg(F.max("docs").alias("most"))
     rated = counts.withColumn("a", F.shiftright("pair", PAIR_SHIFT)).join(best, "a").select("pair", "docs", (F.col("docs") == F.col("most")).cast("long").alias("best"))
@@ -179,12 +178,25 @@ def align(docs: DataFrame, byte_level: str | None = None, pieces: str | None = N
         F.sum("n").alias("n_links"), F.sum(F.col("n") * F.coalesce("best", F.lit(0))).alias("n_best"), F.sum(F.col("n") * F.coalesce("docs", F.lit(0))).alias("count_sum")
     )
     found = keep(own.select("key", "chunk", "said", "n_a", "n_b", "n_groups").join(sums, "key").select("chunk", "said", *SUMS), "found")
-    told = known.join(found, "chunk", "left").drop("chunk")
-    placed = texts.repartition("block").select("block", "doc", "doc_id", F.posexplode_outer("ids").alias("at", "local")).join(told.hint("shuffle_hash"), ["block", "local"], "left")
-    each = placed.groupBy("block", "doc", "doc_id").agg(
-        F.bool_and(F.col("n_a").isNotNull()).alias("whole"), *(F.sum(c).alias(c) for c in SUMS), F.array_join(F.sort_array(F.collect_list(F.struct("at", "said"))).getField("said"), ";").alias("groups")
-    )
-    return each.select("doc_id", *(F.when(F.col("whole"), F.col(c)).otherwise(0).alias(c) for c in SUMS), F.when(F.col("whole"), F.col("groups")).otherwise("").alias("groups"))
+    told = in_blocks(texts, known.join(found, "chunk", "left").select("block", F.struct("local", "said", *SUMS).alias("entry")))
+
+    def total(d: Column, c: str) -> Column:
+        return F.aggregate(d["ids"], F.lit(0).cast("long"), lambda n, i: n + F.col("entries")[i][c])
+
+    def result(d: Column) -> Column:
+        fine = F.forall(d["ids"], lambda i: F.col("entries")[i]["said"].isNotNull())
+        said = F.array_join(F.transform(d["ids"], lambda i: F.col("entries")[i]["said"]), ";")
+        return F.struct(d["doc_id"].alias("doc_id"), *(F.when(fine, total(d, c)).otherwise(0).alias(c) for c in SUMS), F.when(fine, said).otherwise("").alias("groups"))
+
+    return told.select(F.explode(F.transform("docs", result)).alias("x")).select("x.*")
+
+
+def in_blocks(texts: DataFrame, entries: DataFrame) -> DataFrame:
+    """One row per block: docs, its documents (doc_id, ids), and entries, its dictionary in order, so that entries[id] is an id's."""
+    kind = entries.schema["entry"].dataType
+    docs = texts.select("block", F.struct("doc_id", "ids").alias("doc"), F.lit(None).cast(kind).alias("entry"))
+    both_ = docs.unionByName(entries.select("block", "entry"), allowMissingColumns=True).repartition("block")
+    return both_.groupBy("block").agg(F.collect_list("doc").alias("docs"), F.sort_array(F.collect_list("entry")).alias("entries"))
 
 
 def group_pairs(x: Column) -> Column:
