@@ -101,3 +101,14 @@ def test_places():
     assert split("Klub, Sever", towns)["district"] == "Sever" and split("Klub, Sever", towns)["city"] == "Košice"
     assert split("Žilina, Košice", towns)["several"] == ["Žilina", "Košice"] and split("Online (Zoom)", towns)["online"]
     assert split("Filharmónia Košice", towns)["city"] == "Košice" and split(None, towns)["city"] is None
+
+
+def test_discard(spark):
+    from harvestry.sources.tables import discard, keep
+
+    first, second = keep(spark.range(10), "first"), keep(spark.range(0), "second")
+    files = first.inputFiles()
+    discard(first, second)
+    import os
+
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
