@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 
 from harvestry.llm.chunks import both, cuts
 from harvestry.llm.common import bounded_batches, each_batch, keep, read_table
+from harvestry.sources.tables import discard
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of texts that share a dictionary; one longer text has its own.
-BLOCK = 4 << 20
+BLOCK = 16 << 20
 #: Chunks, and blocks, whose lists a task builds side by side before it sorts the rest by key.
 HELD_CHUNKS, HELD_BLOCKS = 20_000, 4
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -162,7 +163,8 @@ def align(docs: DataFrame, byte_level: str | None = None, pieces: str | None = N
     groups = aligned(tokens.where("whole").select("key", "a", "b"))
     sizes = (*(F.size(F.flatten(f"groups.{side}")).cast("long").alias(f"n_{side}") for side in "ab"), F.size("groups").cast("long").alias("n_groups"))
     pairs = F.array_distinct(F.flatten(F.transform("groups", group_pairs)))
-    own = keep(groups.join(tokens.select("key", "chunk"), "key").select("key", "chunk", "groups", pairs.alias("pairs"), written(F.col("groups")).alias("said"), *sizes), "groups")
+    own = keep(groups.join(tokens.select("key", "chunk"), "key").select("key", "chunk", "groups", pairs.alias("pairs"), *sizes), "groups")
+    discard(tokens)
 
     spark.conf.set(held, str(HELD_BLOCKS))
     # Documents that hold a pair: each one's chunks bring their pairs, which count once for the document.
@@ -177,7 +179,8 @@ def align(docs: DataFrame, byte_level: str | None = None, pieces: str | None = N
     sums = linked.join(rated, "pair", "left").groupBy("key").agg(
         F.sum("n").alias("n_links"), F.sum(F.col("n") * F.coalesce("best", F.lit(0))).alias("n_best"), F.sum(F.col("n") * F.coalesce("docs", F.lit(0))).alias("count_sum")
     )
-    found = keep(own.select("key", "chunk", "said", "n_a", "n_b", "n_groups").join(sums, "key").select("chunk", "said", *SUMS), "found")
+    found = keep(own.select("key", "chunk", written(F.col("groups")).alias("said"), "n_a", "n_b", "n_groups").join(sums, "key").select("chunk", "said", *SUMS), "found")
+    discard(own, counts)
     told = in_blocks(texts, known.join(found, "chunk", "left").select("block", F.struct("local", "said", *SUMS).alias("entry")))
 
     def total(d: Column, c: str) -> Column:
