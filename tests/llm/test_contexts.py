@@ -166,3 +166,19 @@ def test_scores_do_not_depend_on_the_layout(spark, base, parts):
     one = {r.doc_id: r.score for r in scoring.score_documents(docs.repartition(3)).collect()}
     other = {r.doc_id: r.score for r in scoring.score_documents(docs.orderBy(F.desc("doc_id")).coalesce(1).repartition(parts, F.col("doc_id") % 3)).collect()}
     assert one.keys() == other.keys() and all(abs(one[k] - other[k]) < 1e-6 * abs(one[k]) for k in one)
+
+
+def test_spellings_learn_from_all_tokens(spark, rng):
+    """No sample: its size changes nothing, and tasks' sums over grams teach what all tokens at once teach."""
+    tokens = [bytes(rng.choice(b"abcdexyz") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    rows = [(i, " ".join(t.decode() for t in rng.sample(tokens, 20)), True) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3)
+    few, many = ({r.doc_id: r.spelled_score for r in scoring.score_documents(docs, 10, n).collect()} for n in (5, 500))
+    assert few.keys() == many.keys() and all(abs(few[k] - many[k]) < 1e-9 * abs(few[k]) for k in few)
+    types = sorted(set(tokens))
+    table = np.zeros((len(scoring.ORDERS), 2, 1 << scoring.BITS), np.uint32)
+    scoring.bit_counts(types, table)
+    grams = scoring.gram_counts(spark.createDataFrame([(bytearray(t),) for t in types], "token binary").repartition(3))
+    assert (scoring.bit_table(grams, grams.count()) == table).all()
+    one, other = scoring.learn(table, types), scoring.learn_all(grams, table)
+    assert np.allclose(one.weights, other.weights) and np.allclose(one.refined, other.refined)
