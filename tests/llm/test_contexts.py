@@ -182,3 +182,12 @@ def test_spellings_learn_from_all_tokens(spark, rng):
     assert (scoring.bit_table(grams, grams.count()) == table).all()
     one, other = scoring.learn(table, types), scoring.learn_all(grams, table)
     assert np.allclose(one.weights, other.weights) and np.allclose(one.refined, other.refined)
+
+
+def test_distinct_rows_in_order(rng):
+    """Distinct rows come in the order of (short, long, leaf, train), with their counts and each token's row."""
+    columns = np.array([[rng.choice((0, 1, 2**32 - 1)) for _ in range(3000)], [rng.choice((0, 7, 2**32 - 1)) for _ in range(3000)], [rng.choice((0, 5, 200_000)) for _ in range(3000)], [rng.randrange(2) for _ in range(3000)]], np.uint32)
+    rows, times, of = contexts.distinct(columns, np.ones(3000, np.int64))
+    want = Counter(zip(*columns.tolist(), strict=True))
+    assert list(zip(*rows.tolist(), strict=True)) == sorted(want) and times.tolist() == [want[k] for k in sorted(want)]
+    assert (rows[:, of] == columns).all()
