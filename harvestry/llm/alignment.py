@@ -7,39 +7,42 @@ chunks, and both tokenizers end wherever a chunk does, so a text's groups are th
 that a million documents share is aligned once.
 
 Documents are written in blocks of bounded size with a dictionary of the chunks in them. A join by chunk brings results to the
-blocks' dictionaries, and a block's documents look up theirs: first the linked pairs, for the number of documents that hold
-each, then all sums.
+blocks' dictionaries, and a block's documents look up theirs, as arrays in the block's task: first the linked pairs, for the number
+of documents that hold each, then all sums.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harvestry.llm.chunks import both, cuts
-from harvestry.llm.common import bounded_batches, each_batch, keep, read_table
+from harvestry.llm.common import bounded_batches, each_batch, give_back, keep, read_table
+from harvestry.llm.contexts import packed, unpacked
 from harvestry.sources.tables import discard
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of texts that share a dictionary; one longer text has its own.
 BLOCK = 16 << 20
-#: Chunks, and blocks, whose lists a task builds side by side before it sorts the rest by key.
-HELD_CHUNKS, HELD_BLOCKS = 20_000, 4
+#: Chunks whose lists a task builds side by side before it sorts the rest by key; documents in a row of a block.
+HELD_CHUNKS, ROW_DOCS = 20_000, 512
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 PAIR_SHIFT = 32
 
 
 def chunked(docs: DataFrame, files: tuple[str, str], size: int) -> DataFrame:
-    """Two kinds of rows, by block: of its dictionary (local, chunk), and of its documents (doc, doc_id, ids: chunks in order)."""
+    """Two kinds of rows, by block: of its dictionary (local, chunk), and of its documents, some in a row (doc_ids, sizes, ids: packed, their chunks in order)."""
     bounded_batches(docs.sparkSession)
-    schema = pa.schema([("block", pa.int64()), ("local", pa.int32()), ("chunk", pa.binary()), ("doc", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    schema = pa.schema([("block", pa.int64()), ("local", pa.int32()), ("chunk", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("ids", pa.binary())])
 
     def block(number: int, doc_ids: list[int | None], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         raw = b"".join(b" " + t if t else b"" for t in texts)
@@ -53,13 +56,13 @@ def chunked(docs: DataFrame, files: tuple[str, str], size: int) -> DataFrame:
         known, n = coded.dictionary, len(coded.dictionary)
         for i in range(0, n, 1 << 16):
             k = min(1 << 16, n - i)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, number)), pa.array(np.arange(i, i + k, dtype=np.int32)), known.slice(i, k).cast(pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int32()))], schema=schema)
-        ids = coded.indices.cast(pa.int32())
-        lists = np.searchsorted(at, starts).astype(np.int32)
-        for i in range(0, len(texts), 512):
-            k = min(512, len(texts) - i)
-            of = pa.ListArray.from_arrays(pa.array(lists[i : i + k + 1] - lists[i]), ids.slice(int(lists[i]), int(lists[i + k] - lists[i])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, number)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(np.arange(i, i + k, dtype=np.int32)), pa.array(doc_ids[i : i + k], pa.int64()), of], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, number)), pa.array(np.arange(i, i + k, dtype=np.int32)), known.slice(i, k).cast(pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int32())), pa.nulls(k, pa.binary())], schema=schema)
+        ids = coded.indices.to_numpy().astype(np.uint32)
+        lists, press = np.searchsorted(at, starts).astype(np.int32), zstandard.ZstdCompressor(level=1)
+        for i in range(0, len(texts), ROW_DOCS):
+            k = min(i + ROW_DOCS, len(texts))
+            row = [number], [None], [None], [doc_ids[i:k]], [np.diff(lists[i : k + 1])], [packed([ids[lists[i] : lists[k]]], press)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
     def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, doc_ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
@@ -75,7 +78,7 @@ def chunked(docs: DataFrame, files: tuple[str, str], size: int) -> DataFrame:
         if texts:
             yield from block(number, doc_ids, texts)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(over, "block long, local int, chunk binary, doc int, doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(over, "block long, local int, chunk binary, doc_ids array<long>, sizes array<int>, ids binary")
 
 
 def encoded(chunks: DataFrame, files: tuple[str, str]) -> DataFrame:
@@ -158,7 +161,7 @@ def align(docs: DataFrame, byte_level: str | None = None, pieces: str | None = N
     files = (byte_level or public_tokenizers.path(BYTE_LEVEL), pieces or public_tokenizers.path(PIECES))
     rows = keep(chunked(docs, files, block), "chunks")
     known = rows.where("chunk is not null").select("block", "local", "chunk")
-    texts = rows.where("doc is not null").select("block", "doc", "doc_id", "ids")
+    texts = rows.where("ids is not null").select("block", "doc_ids", "sizes", "ids")
     tokens = keep(encoded(known.select("chunk").distinct(), files).withColumn("key", F.monotonically_increasing_id()), "tokens")
     groups = aligned(tokens.where("whole").select("key", "a", "b"))
     sizes = (*(F.size(F.flatten(f"groups.{side}")).cast("long").alias(f"n_{side}") for side in "ab"), F.size("groups").cast("long").alias("n_groups"))
@@ -166,12 +169,7 @@ def align(docs: DataFrame, byte_level: str | None = None, pieces: str | None = N
     own = keep(groups.join(tokens.select("key", "chunk"), "key").select("key", "chunk", "groups", pairs.alias("pairs"), *sizes), "groups")
     discard(tokens)
 
-    spark.conf.set(held, str(HELD_BLOCKS))
-    # Documents that hold a pair: each one's chunks bring their pairs, which count once for the document.
-    held_by = in_blocks(texts, known.join(own.select("chunk", "pairs"), "chunk", "left").select("block", F.struct("local", "pairs").alias("entry")))
-    whole = F.filter("docs", lambda d: F.forall(d["ids"], lambda i: F.col("entries")[i]["pairs"].isNotNull()))
-    of_doc = F.transform(whole, lambda d: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["ids"]), lambda i: F.col("entries")[i]["pairs"]))))
-    counts = keep(held_by.select(F.explode(of_doc).alias("pairs")).select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("docs")), "pairs")
+    counts = keep(in_blocks(texts, known.join(own.select("chunk", "pairs"), "chunk", "left").select("block", "local", "pairs"), pairs_held, "pair long, docs long").groupBy("pair").agg(F.sum("docs").alias("docs")), "pairs")
 
     best = counts.groupBy(F.shiftright("pair", PAIR_SHIFT).alias("a")).agg(F.max("docs").alias("most"))
     rated = counts.withColumn("a", F.shiftright("pair", PAIR_SHIFT)).join(best, "a").select("pair", "docs", (F.col("docs") == F.col("most")).cast("long").alias("best"))
@@ -181,25 +179,94 @@ def align(docs: DataFrame, byte_level: str | None = None, pieces: str | None = N
     )
     found = keep(own.select("key", "chunk", written(F.col("groups")).alias("said"), "n_a", "n_b", "n_groups").join(sums, "key").select("chunk", "said", *SUMS), "found")
     discard(own, counts)
-    told = in_blocks(texts, known.join(found, "chunk", "left").select("block", F.struct("local", "said", *SUMS).alias("entry")))
+    return in_blocks(texts, known.join(found, "chunk", "left").select("block", "local", "said", *SUMS), told, f"doc_id long, {', '.join(f'{c} long' for c in SUMS)}, groups string")
 
-    def total(d: Column, c: str) -> Column:
-        return F.aggregate(d["ids"], F.lit(0).cast("long"), lambda n, i: n + F.col("entries")[i][c])
 
-    def result(d: Column) -> Column:
-        fine = F.forall(d["ids"], lambda i: F.col("entries")[i]["said"].isNotNull())
-        said = F.array_join(F.transform(d["ids"], lambda i: F.col("entries")[i]["said"]), ";")
-        return F.struct(d["doc_id"].alias("doc_id"), *(F.when(fine, total(d, c)).otherwise(0).alias(c) for c in SUMS), F.when(fine, said).otherwise("").alias("groups"))
+#: Of a block: its documents' ids, how many chunks each has, and these chunks' places in the dictionary; the dictionary in order.
+Documents = Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]
 
-    return told.select(F.explode(F.transform("docs", result)).alias("x")).select("x.*")
 
+def in_blocks(texts: DataFrame, entries: DataFrame, function: Callable[[Documents, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What `function` gives of each block's documents and of its dictionary's entries (block, local and more); a block comes to one task."""
 
-def in_blocks(texts: DataFrame, entries: DataFrame) -> DataFrame:
-    """One row per block: docs, its documents (doc_id, ids), and entries, its dictionary in order, so that entries[id] is an id's."""
-    kind = entries.schema["entry"].dataType
-    docs = texts.select("block", F.struct("doc_id", "ids").alias("doc"), F.lit(None).cast(kind).alias("entry"))
-    both_ = docs.unionByName(entries.select("block", "entry"), allowMissingColumns=True).repartition("block")
-    return both_.groupBy("block").agg(F.collect_list("doc").alias("docs"), F.sort_array(F.collect_list("entry")).alias("entries"))
+    def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor()
+        for block in by_block(batches):
+            of_texts = pc.is_null(block.column("local"))
+            docs = zip(*block.filter(of_texts).select(["doc_ids", "sizes", "ids"]).columns, strict=True)
+            entries = block.filter(pc.invert(of_texts)).sort_by("local")
+            yield from function(((ids.values, sizes.values.to_numpy(), unpacked(x.as_py(), 1, unpress)[0].astype(np.int64)) for ids, sizes, x in docs), entries)
+            del block, docs, entries
+            give_back()
+
+    # One whole number to sort by needs no comparisons of rows; a dictionary's order is made in the task.
+    return texts.unionByName(entries, allowMissingColumns=True).repartition("block").sortWithinPartitions("block").mapInArrow(over, schema)
+
+
+def by_block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each block, from batches sorted by it; a block's size is bounded when it is written."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        cut = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)] if len(block) else []
+        for low, high in zip(cut, cut[1:], strict=False):
+            if held and block[low] != now:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            now = block[low]
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def one_array(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.nulls(0, column.type)
+
+
+def of_docs(sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The sum of each document's values."""
+    total, end = np.concatenate([[0], np.cumsum(values, dtype=np.int64)]), np.cumsum(sizes, dtype=np.int64)
+    return total[end] - total[end - sizes]
+
+
+def sorted_distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
+def pairs_held(docs: Documents, entries: pa.Table) -> Iterator[pa.RecordBatch]:
+    """pair and docs, how many of a block's documents hold it; a document with a chunk that has no pairs at all (null) holds none."""
+    lists = one_array(entries.column("pairs"))
+    unknown, lengths = pc.is_null(lists).to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    begins = np.cumsum(lengths) - lengths
+    pairs, place = np.unique(pc.list_flatten(lists).to_numpy(), return_inverse=True)
+    n = np.zeros(len(pairs), np.int64)
+    for _, sizes, ids in docs:
+        fine = of_docs(sizes, unknown[ids]) == 0
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        use = fine[doc]
+        # A document's distinct chunks, then their distinct pairs.
+        key = sorted_distinct(doc[use] * max(len(lists), 1) + ids[use])
+        doc, chunk = np.divmod(key, max(len(lists), 1))
+        k = lengths[chunk]
+        at = np.repeat(begins[chunk] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        key = sorted_distinct(np.repeat(doc, k) * max(len(pairs), 1) + place[at])
+        n += np.bincount(key % max(len(pairs), 1), minlength=len(pairs))
+    held = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[held], pa.int64()), pa.array(n[held])], ["pair", "docs"])
+
+
+def told(docs: Documents, entries: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Each document's sums and the text of its groups; zeros and an empty one where a chunk has none (null)."""
+    said = one_array(entries.column("said"))
+    unknown = pc.is_null(said).to_numpy(zero_copy_only=False)
+    sums = [pc.fill_null(one_array(entries.column(c)), 0).to_numpy() for c in SUMS]
+    for doc_ids, sizes, ids in docs:
+        fine = of_docs(sizes, unknown[ids]) == 0
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        groups = pc.fill_null(pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), said.take(pa.array(ids))), ";"), "")
+        yield pa.RecordBatch.from_arrays([doc_ids, *(pa.array(np.where(fine, of_docs(sizes, x[ids]), 0)) for x in sums), groups], ["doc_id", *SUMS, "groups"])
 
 
 def group_pairs(x: Column) -> Column:

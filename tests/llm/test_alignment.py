@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as tokenizers_of
+import pyarrow as pa
 import pytest
 
 from harvestry.llm import alignment
@@ -91,3 +92,17 @@ def test_op13_on_documents(spark, base, documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     result = sorted((r.doc_id, *(r[c] for c in alignment.SUMS), r.groups_sha256) for r in queries()["op13_token_alignment"](spark, base).collect())
     assert result == [(*x[1:-1], hashlib.sha256(x[-1].encode()).hexdigest() if x[-1] else "") for x in want(rows)]
+
+
+def test_blocks_look_their_chunks_up(spark):
+    """Documents come in rows of bounded size; pairs count once a document, and not where one of its chunks has none."""
+    rows = [(i, "the cat " * (i % 3)) for i in range(alignment.ROW_DOCS + 90)]
+    kept = alignment.chunked(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), FILES, alignment.BLOCK).where("ids is not null").collect()
+    assert [len(r.sizes) for r in kept] == [alignment.ROW_DOCS, 90] and [d for r in kept for d in r.doc_ids] == list(range(len(rows)))
+    assert all(len(r.ids) < sum(r.sizes) for r in kept)
+    entries = pa.table({"local": [0, 1, 2, 3], "pairs": pa.array([[7, 5], [5], None, []], pa.list_(pa.int64())), "said": ["a", "b", None, "d"], **{c: pa.array([1, 10, None, 100], pa.int64()) for c in alignment.SUMS}})
+    docs = pa.array([3, None, 4, 5], pa.int64()), np.array([3, 0, 2, 2], np.int32), np.array([0, 1, 0, 1, 2, 1, 3])
+    (counts,) = alignment.pairs_held(iter([docs]), entries)
+    assert counts.to_pydict() == {"pair": [5, 7], "docs": [2, 1]}
+    (found,) = alignment.told(iter([docs]), entries)
+    assert found.column("groups").to_pylist() == ["a;b;a", "", "", "b;d"] and found.column("n_a").to_pylist() == [12, 0, 0, 110]
