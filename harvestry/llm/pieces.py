@@ -5,6 +5,9 @@ backward A-star search from the end takes these as exact heuristics, so paths co
 cut where no piece crosses (between a letter and a blank, say), so its lattice falls into independent chunks: the N best
 segmentations of the text are the N best sums over its chunks. Characters without a piece are spelled by byte pieces.
 
+Of most chunks only the best path and what the second loses is needed. New chunks are therefore searched side by side, place by
+place: one array operation extends the paths of thousands of chunks by the pieces of one length.
+
 A unigram model's scores are log-probabilities and are taken as they are. A merge table's scores are only the ranks of its
 pieces, whose sums mean nothing (they favour many early pieces over the one that they merge into); there a piece's
 log-probability follows from its rank by the Zipf-Mandelbrot law.
@@ -14,9 +17,11 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterable, Sequence
+from collections import defaultdict
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from heapq import heappop, heappush, nsmallest
+from itertools import chain, count, islice
 from math import log
 
 import numpy as np
@@ -34,15 +39,43 @@ FLAT = 100
 BLANK = "▁"
 #: What a character without a piece costs beyond the lowest score of a usual piece.
 UNKNOWN_COST = 10.0
-#: Chunks a generation of a worker's memory holds, and the longest that it does.
-CACHE, LONGEST = 600_000, 48
+#: Characters of the chunks that a worker remembers, at which it begins anew; characters of texts that are segmented at once.
+CACHE, AT_ONCE = 8_000_000, 1 << 19
+#: The longest parts that are searched side by side, and how many.
+LONGEST, ABREAST = 48, 4096
 
 
 #: Segmentations as (score, ids), best first.
 Best = list[tuple[float, tuple[int, ...]]]
-#: Of a chunk: its best score, what the second loses (infinite where there is none), the best ids as bytes, and whether they
-#: decode to the chunk.
-Digest = tuple[float, float, bytes, bool]
+
+
+class Column:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: str) -> None:
+        self.room, self.size = np.zeros(1024, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        need = self.size + len(more)
+        if need > len(self.room):
+            self.room = np.concatenate([self.room[: self.size], np.zeros(need, self.room.dtype)])
+        self.room[self.size : need] = more
+        self.size = need
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of ranges, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+class Digests:
+    """By a chunk's number its best score, what the second loses (infinite where there is none), its best ids' place among
+    `ids` and their number, and whether they decode to the chunk."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.characters = 0
+        self.score, self.loss, self.start, self.size, self.same, self.ids = (Column(kind) for kind in ("f8", "f8", "i8", "i8", "?", "<u4"))
 
 
 class Pieces:
@@ -60,9 +93,25 @@ class Pieces:
         self.unknown = min(usual, default=0.0) - UNKNOWN_COST
         crossed = any(p[k] != BLANK and p[k + 1] == BLANK for p in self.score for k in range(len(p) - 1))
         self.chunks = re.compile(".+" if crossed else f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+", re.S)
-        # Digests of chunks in two generations: when the young one is full it becomes the old one.
-        self.young: dict[str, Digest] = {}
-        self.old: dict[str, Digest] = {}
+        # The same as arrays: characters have codes (0: in no piece), prefixes are numbered nodes, a step is a node and a code.
+        letters = sorted({c for p in self.score for c in p})
+        code = dict(zip(letters, range(1, len(letters) + 1), strict=True))
+        self.width = len(letters) + 1
+        self.codes = np.zeros(ord(letters[-1]) + 2 if letters else 1, np.int64)
+        self.codes[list(map(ord, letters))] = range(1, self.width)
+        node = {p: k for k, p in enumerate(["", *filter(None, self.trie)])}
+        self.steps = np.full(len(node), np.iinfo(np.int64).max)
+        self.steps[:-1] = [node[p[:-1]] * self.width + code[p[-1]] for p in islice(node, 1, None)]
+        self.after_step = np.argsort(self.steps) + 1
+        self.steps.sort()
+        self.worth, self.piece = np.full(len(node), -np.inf), np.zeros(len(node), np.uint32)
+        for p, k in islice(node.items(), 1, None):
+            self.worth[k], self.piece[k] = self.score.get(p, (-np.inf, 0))
+        self.alone = np.array([False, *(c in self.score for c in letters)])
+        self.crossed = np.sort([np.iinfo(np.int64).max, *(code[x] * self.width + code[y] for x, y in self.pairs)])
+        self.raw_size = np.zeros(max(self.raw, default=0) + 1, np.int64)
+        self.raw_size[list(self.raw)] = [len(x) for x in self.raw.values()]
+        self.known = Digests()
 
     def ways(self, text: str) -> tuple[list[list[tuple[float, int, tuple[float, tuple[int, ...]]]]], list[float]]:
         """Forward Viterbi: per place the ways into it (score from the start, start, piece) and the best score from the start."""
@@ -120,8 +169,8 @@ class Pieces:
                 break
         return out
 
-    def best_two(self, text: str) -> Digest:
-        """A chunk's best path and what the second best loses: the best that goes through a way the best one does not take."""
+    def best_two(self, text: str) -> tuple[float, float, list[int]]:
+        """A part's best score, what the second loses (the best path through a way that the best path does not take), the best ids."""
         into, best = self.ways(text)
         n, path = len(text), []
         taken: list = [None] * (n + 1)
@@ -141,8 +190,107 @@ class Pieces:
                     second = edge[0] + rest
                 if edge[2][0] + rest > after[edge[1]]:
                     after[edge[1]] = edge[2][0] + rest
-        ids = [i for piece in reversed(path) for i in piece]
-        return best[n], best[n] - second, packed(ids), self.spells(ids, text)
+        return best[n], best[n] - second, [i for piece in reversed(path) for i in piece]
+
+    def edges(self, codes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each length the scores of the pieces that begin at (place, part), without a piece minus infinity; and their ids.
+
+        codes[place, part] are the parts' characters, 0 behind their ends.
+        """
+        flat, abreast = codes.ravel(), codes.shape[1]
+        at, node = np.flatnonzero(flat), np.zeros(np.count_nonzero(flat), np.int64)
+        worth, ids, ahead = [], [], at
+        while True:
+            key = node * self.width + flat[ahead]
+            step = np.searchsorted(self.steps, key)
+            there = self.steps[step] == key
+            at, node = at[there], self.after_step[step[there]]
+            if not len(at):
+                return worth, np.array(ids)
+            worth.append(np.full(codes.shape, -np.inf))
+            ids.append(np.zeros(codes.shape, np.uint32))
+            worth[-1].ravel()[at], ids[-1].ravel()[at] = self.worth[node], self.piece[node]
+            ahead = at + len(worth) * abreast
+            inside = ahead < len(flat)
+            at, node, ahead = at[inside], node[inside], ahead[inside]
+
+    def abreast(self, codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """best_two() of many parts at once, with equal results: scores, losses, how many ids each has, all ids in a row.
+
+        codes[place, part] as for edges(); size: their lengths. Each character has a piece of its own.
+        """
+        worth, ids = self.edges(codes)
+        places, n = codes.shape
+        best, back = np.full((places + 1, n), -np.inf), np.zeros((places + 1, n), np.int8)
+        best[0] = 0
+        for j in range(1, places + 1):
+            for length in range(min(j, len(worth)), 0, -1):  # of equal scores the one that comes from farthest
+                to = best[j - length] + worth[length - 1][j - length]
+                better = to > best[j]
+                np.copyto(best[j], to, where=better)
+                np.copyto(back[j], length, where=better)
+        after, second, at, taken = np.full((places + 1, n), -np.inf), np.full(n, -np.inf), size.copy(), np.zeros((places + 1, n), np.int8)
+        after[size, np.arange(n)] = 0
+        for j in range(places, 0, -1):
+            np.copyto(taken[j], back[j], where=at == j)
+            for length in range(1, min(j, len(worth)) + 1):
+                own, i = worth[length - 1][j - length], j - length
+                through = best[i] + own + after[j]
+                through[taken[j] == length] = -np.inf
+                np.maximum(second, through, out=second)
+                np.maximum(after[i], own + after[j], out=after[i])
+            at -= taken[j]
+        part, end = np.nonzero(taken.T)
+        length = taken[end, part].astype(np.int64)
+        score = best[size, np.arange(n)]
+        return score, score - second, np.bincount(part, minlength=n), ids[length - 1, end - length, part]
+
+    def learn(self, chunks: list[str]) -> None:
+        """Add the digests of new chunks, in this order: cut where no piece crosses, distinct parts searched side by side."""
+        text, sizes = "".join(chunks), np.fromiter(map(len, chunks), np.int64, len(chunks))
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        codes = np.append(self.codes[np.minimum(points, len(self.codes) - 1)], 0)
+        begins = np.cumsum(sizes) - sizes
+        cut = np.ones(len(points), bool)
+        pair = codes[:-2] * self.width + codes[1:-1]
+        cut[1:] = self.crossed[np.searchsorted(self.crossed, pair)] != pair
+        cut[begins] = True
+        bounds = np.append(np.flatnonzero(cut), len(points))
+        ends = bounds[1:].tolist()
+        parts: dict[str, int] = defaultdict(count().__next__)
+        which = np.fromiter((parts[text[a:b]] for a, b in zip(bounds.tolist(), ends, strict=False)), np.int64, len(ends))
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1))
+        start, size = bounds[first], np.diff(bounds)[first]
+        usual = np.logical_and.reduceat(self.alone[codes[:-1]], bounds[:-1])[first] & (size <= LONGEST)
+
+        # The parts in the order in which they are searched, then their digests in that order.
+        order = np.concatenate([np.flatnonzero(usual)[np.argsort(-size[usual], kind="stable")], np.flatnonzero(~usual)])
+        n, found, said = int(usual.sum()), [], list(parts)
+        for low in range(0, n, ABREAST):
+            some = order[low : min(low + ABREAST, n)]
+            place = np.arange(size[some[0]])[:, None]
+            found.append(self.abreast(np.where(place < size[some], codes[np.minimum(start[some] + place, len(points))], 0), size[some]))
+        for k in order[n:].tolist():
+            score, loss, ids = self.best_two(said[k])
+            found.append((np.array([score]), np.array([loss]), np.array([len(ids)]), np.array(ids, np.uint32)))
+        score, loss, length, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        at = np.empty(len(order), np.int64)
+        at[order] = np.arange(len(order))
+
+        of, head = at[which], np.searchsorted(bounds, begins)
+        ids, length = ids[ranges((np.cumsum(length) - length)[of], length[of])], np.add.reduceat(length[of], head)
+        known, place = self.known, np.cumsum(length) - length
+        known.start.add(place + known.ids.size)
+        for column, values in ((known.score, np.add.reduceat(score[of], head)), (known.loss, np.minimum.reduceat(loss[of], head)), (known.size, length), (known.ids, ids), (known.same, self.spell(ids, place, chunks, text, points, begins))):
+            column.add(values)
+        known.characters += len(text)
+
+    def spell(self, ids: np.ndarray, place: np.ndarray, chunks: list[str], text: str, points: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """spells() of many chunks in a row: their ids, where each one's begin; the chunks, as one text, its characters, where each begins."""
+        size = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+        if b"".join(map(self.raw.__getitem__, ids.tolist())) == text.encode("utf-8", "surrogatepass") and (np.add.reduceat(self.raw_size[ids], place) == np.add.reduceat(size, begins)).all():
+            return np.ones(len(chunks), bool)
+        return np.array([self.spells(some.tolist(), c) for some, c in zip(np.split(ids, place[1:]), chunks, strict=True)])
 
     def spells(self, ids: Iterable[int], text: str) -> bool:
         """Whether the ids decode to the chunk: texts are their chunks in a row, so each can be decoded by itself."""
@@ -158,34 +306,23 @@ class Pieces:
         cuts = self.cuts(text)
         return self.join([self.lattice(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]) if cuts else self.lattice(text)
 
-    def digest(self, text: str) -> Digest:
-        """A chunk's digest; remembered."""
-        found = self.young.get(text) or self.old.get(text)
-        if found is None:
-            if cuts := self.cuts(text):
-                parts = [self.digest(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-                found = sum(p[0] for p in parts), min(p[1] for p in parts), b"".join(p[2] for p in parts), all(p[3] for p in parts)
-            else:
-                found = self.best_two(text)
-        if len(text) <= LONGEST:
-            if len(self.young) >= CACHE:
-                self.old, self.young = self.young, {}
-            self.young[text] = found
-        return found
-
     def chunks_of(self, text: str) -> list[str]:
         return self.chunks.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
-    def digests_of(self, chunks: list[str]) -> list[Digest]:
-        digest, get = self.digest, self.young.get
-        out = []
-        for c in chunks:
-            d = get(c)
-            if d is None:
-                d = digest(c)
-                get = self.young.get  # the generations may have changed
-            out.append(d)
-        return out
+    def numbers_of(self, chunks: list[str]) -> np.ndarray:
+        """The chunks' numbers among the known digests; new ones are learned first."""
+        if self.known.characters > CACHE:
+            self.known = Digests()
+        known = self.known
+        numbers = np.fromiter(map(known.number.__getitem__, chunks), np.int64, len(chunks))
+        new = len(known.number) - known.score.size
+        if new:
+            try:
+                self.learn([*islice(reversed(known.number), new)][::-1])
+            except Exception:
+                self.known = Digests()  # not one with chunks that have a number but no digest
+                raise
+        return numbers
 
     def join(self, parts: list[Best]) -> Best:
         """The N best sums over the parts' N best lists."""
@@ -207,30 +344,47 @@ class Pieces:
             done = sorted(options, key=lambda x: x[0])[:n]
         return done
 
-    def ranked(self, text: str) -> tuple[float, list[tuple[float, bytes]], bool]:
-        """The best score of a whole text; of its N best segmentations what each loses and its ids as bytes; whether all of
-        them decode to the text.
+    def ranked(self, texts: Iterable[str]) -> Iterator[tuple[float, list[tuple[float, bytes]], bool]]:
+        """Of each whole text the best score; of its N best segmentations what each loses and its ids as bytes; whether all of
+        them decode to the text. Texts are taken together up to AT_ONCE characters.
 
         Only the N - 1 chunks whose second rank loses least are searched beyond their best.
         """
-        chunks = self.chunks_of(text)
-        digests = self.digests_of(chunks)
-        losses = np.array([d[1] for d in digests])
-        few = min(self.n_best - 1, len(losses))
-        cheap = np.argpartition(losses, few - 1)[:few].tolist() if few else []
-        lists = [self.chunk(chunks[k]) for k in cheap]
-        same = BLANK not in text and all([d[3] for d in digests]) and all(self.spells(ids, chunks[k]) for k, x in zip(cheap, lists, strict=True) for _, ids in x)
-        ids, out = [d[2] for d in digests], []
-        for loss, changed in self.changes(lists):
-            own = list(ids) if changed else ids
-            for at, rank in changed.items():
-                own[cheap[at]] = packed(lists[at][rank][1])
-            out.append((loss, b"".join(own)))
-        return sum([d[0] for d in digests]), out, same
+        some, size = [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size >= AT_ONCE:
+                yield from self.ranked_together(some)
+                some, size = [], 0
+        yield from self.ranked_together(some)
+
+    def ranked_together(self, texts: list[str]) -> Iterator[tuple[float, list[tuple[float, bytes]], bool]]:
+        lists_of = [self.chunks_of(text) for text in texts]
+        numbers, known = self.numbers_of(list(chain.from_iterable(lists_of))), self.known
+        score, loss, size = (column.room[numbers] for column in (known.score, known.loss, known.size))
+        ends = np.append(0, np.cumsum(size))
+        wrong = np.append(0, np.cumsum(~known.same.room[numbers])).tolist()
+        ids = known.ids.room[ranges(known.start.room[numbers], size)]
+        high = 0
+        for text, chunks in zip(texts, lists_of, strict=True):
+            low, high = high, high + len(chunks)
+            few = min(self.n_best - 1, len(chunks))
+            cheap = np.argpartition(loss[low:high], few - 1)[:few].tolist() if few else []
+            lists = [self.chunk(chunks[k]) for k in cheap]
+            same = BLANK not in text and wrong[low] == wrong[high] and all(self.spells(x, chunks[k]) for k, best in zip(cheap, lists, strict=True) for _, x in best)
+            out = []
+            for lost, changed in self.changes(lists):
+                own, at = [], ends[low]
+                for k, rank in sorted((cheap[c], lists[c][rank][1]) for c, rank in changed.items()):
+                    own += [ids[at : ends[low + k]].tobytes(), packed(rank)]
+                    at = ends[low + k + 1]
+                out.append((lost, b"".join([*own, ids[at : ends[high]].tobytes()])))
+            yield sum(score[low:high].tolist()), out, same
 
     def best(self, text: str) -> Best:
         """The N best (score, ids) of a whole text; an empty text has one empty segmentation."""
-        score, ranks, _ = self.ranked(text)
+        score, ranks, _ = next(self.ranked([text]))
         return [(score - loss, struct.unpack(f"<{len(ids) // 4}I", ids)) for loss, ids in ranks]
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -283,8 +437,7 @@ def segment_documents(docs: DataFrame, model: str | None = None, n_best: int = N
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         table = load(path, n_best)
         columns: list[list] = [[] for _ in range(5)]
-        for raw in texts_of(batch.column(1)):
-            score, ranks, same = table.ranked(raw.decode("utf-8", "replace"))
+        for score, ranks, same in table.ranked(raw.decode("utf-8", "replace") for raw in texts_of(batch.column(1))):
             for column, value in zip(columns, (ranks[0][1], score, [ids for _, ids in ranks[1:]], [loss for loss, _ in ranks[1:]], same), strict=True):
                 column.append(value)
         kinds = [pa.binary(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.float64()), pa.bool_()]

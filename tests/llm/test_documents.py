@@ -323,6 +323,30 @@ def test_n_best_against_all(rng):
             assert [s for s, _ in got] == [s for s, _ in want[:4]] and len(set(got)) == len(got) and set(got) <= set(want)
 
 
+def test_parts_side_by_side_as_one_by_one(rng):
+    for _ in range(20):
+        table = small_pieces(rng)
+        words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 14))) for _ in range(40)]
+        size = np.array([len(w) for w in words])
+        codes = np.array([[table.codes[ord(w[k])] if k < len(w) else 0 for w in words] for k in range(size.max())])
+        score, loss, length, ids = table.abreast(codes, size)
+        want = [table.best_two(w) for w in words]
+        assert list(zip(score, loss, strict=True)) == [w[:2] for w in want]
+        assert length.tolist() == [len(w[2]) for w in want] and ids.tolist() == [i for w in want for i in w[2]]
+
+
+def test_new_chunks_are_searched_together(rng, monkeypatch):
+    """op8: the place-by-place search in Python is only for the chunks that can be in the N best, however many are new."""
+    calls, ways = [], pieces.Pieces.ways
+    monkeypatch.setattr(pieces.Pieces, "ways", lambda table, text: calls.append(text) or ways(table, text))
+    table = small_pieces(rng, 3)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(4, 12))) for _ in range(2000)]
+    (score, ids), *_ = table.best(" ".join(words))
+    assert len(calls) <= 2 * 12 and len(set(words)) > 1000  # two chunks of at most twelve characters
+    assert ids == tuple(i for w in words for i in table.lattice("▁" + w)[0][1])
+    assert abs(score - sum(table.lattice("▁" + w)[0][0] for w in words)) < 1e-6
+
+
 def test_pieces_round_trip(documents, odd, nothing):
     import public_tokenizers
 
