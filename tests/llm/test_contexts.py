@@ -191,3 +191,39 @@ def test_distinct_rows_in_order(rng):
     want = Counter(zip(*columns.tolist(), strict=True))
     assert list(zip(*rows.tolist(), strict=True)) == sorted(want) and times.tolist() == [want[k] for k in sorted(want)]
     assert (rows[:, of] == columns).all()
+
+
+def test_lessons_are_sums_over_rows():
+    """What levels note one by one, sorted by gate, is what each row adds by itself; rows of weight 0 add nothing."""
+    r = np.random.default_rng(5)
+    mixer, gates = contexts.Mixer(), contexts.SEEN**2
+    slope, curve, refined = np.zeros((gates, 4)), mixer.taught.copy(), mixer.refined.copy()
+    for n in (300, 40, 1):
+        gate, at = r.integers(0, 20, n), r.integers(0, contexts.LEVELS, n)
+        at += gate * contexts.LEVELS
+        inputs = [r.normal(size=n).astype(np.float32) for _ in range(3)]
+        bit, p, times = (r.random(n) < 0.5).astype(np.float32), r.random(n).astype(np.float32), r.integers(0, 3, n).astype(np.float32)
+        mixer.note(gate, inputs, at, bit, p, times)
+        for k in range(n):
+            x = np.array([*(v[k] for v in inputs), 1.0], float)
+            slope[gate[k]] += (float(bit[k]) - float(p[k])) * times[k] * x
+            curve[gate[k]] += float(p[k]) * (1 - float(p[k])) * times[k] * np.outer(x, x)
+            refined[int(bit[k]), gate[k], at[k] % contexts.LEVELS] += times[k]
+    weights = mixer.weights + np.linalg.solve(curve, slope[:, :, None])[:, :, 0]
+    mixer.teach()
+    assert np.allclose(mixer.weights, weights, atol=1e-4) and np.allclose(mixer.taught, curve, rtol=1e-4, atol=1e-3) and np.array_equal(mixer.refined, refined)
+    assert not mixer.slope.any() and not mixer.bent.any() and not mixer.places.any()
+
+
+def test_levels_double():
+    counts = np.array([0, 1, 2, 3, 4, 7, 8, 63, 64, 1e6], np.float32)
+    assert contexts.level(counts).tolist() == [0, 1, 2, 2, 3, 3, 4, 6, 7, 7] and contexts.level(counts).dtype == np.int64
+
+
+def test_texts_are_dealt_together_up_to_a_size():
+    """op5: batches are put together before words are looked up, and long texts keep a group small."""
+    import pyarrow as pa
+
+    small, large = pa.RecordBatch.from_pydict({"text": ["ab"] * 10}), pa.RecordBatch.from_pydict({"text": ["x" * 1000] * 10})
+    assert [b.num_rows for b in scoring.gathered([small] * 7, 30, 5000)] == [30, 30, 10]
+    assert [b.num_rows for b in scoring.gathered([small, large, small, large, small], 1000, 5000)] == [20, 20, 10]
