@@ -227,3 +227,27 @@ def test_texts_are_dealt_together_up_to_a_size():
     small, large = pa.RecordBatch.from_pydict({"text": ["ab"] * 10}), pa.RecordBatch.from_pydict({"text": ["x" * 1000] * 10})
     assert [b.num_rows for b in scoring.gathered([small] * 7, 30, 5000)] == [30, 30, 10]
     assert [b.num_rows for b in scoring.gathered([small, large, small, large, small], 1000, 5000)] == [20, 20, 10]
+
+
+def test_rows_alone_in_their_two_words_are_scored_once_a_kind(monkeypatch):
+    """op5: rows whose two words have seen nothing else are predicted together, as the leaf after one word that they are."""
+    n, leaves, predicted, whole = 300, 8, [], contexts.Mixer.predict
+    monkeypatch.setattr(contexts.Mixer, "predict", lambda self, gate, inputs: predicted.append(len(gate)) or whole(self, gate, inputs))
+    leaf = np.arange(n) % leaves * 7
+    found = contexts.score_bucket(contexts.Tree.of(np.arange(1.0, 65)), np.stack([np.full(n, 7), np.arange(n) * 5, leaf, np.ones(n, int)]).astype(np.uint32))
+    assert sum(predicted) < n and all(len(set(found[leaf == x].tolist())) == 1 for x in set(leaf.tolist()))
+
+
+def test_order_of_two_columns():
+    """op5: rows in order and the runs of equal ones, with and without room for places beside the keys; sums by text follow them."""
+    r = np.random.default_rng(3)
+    for high, low in ((50, 7), (2**32, 2**32), (3, 2**32), (2**32, 2)):
+        a, b = r.integers(0, high, 500).astype(np.uint64), r.integers(0, low, 500).astype(np.uint32)
+        a[100:200], b[100:200] = a[:100], b[:100]
+        order, new = contexts.ordered(a, b)
+        rows = list(zip(a[order].tolist(), b[order].tolist(), strict=True))
+        assert sorted(order.tolist()) == list(range(500)) and rows == sorted(rows) and new.tolist() == [k == 0 or rows[k] != rows[k - 1] for k in range(500)]
+    text = (r.integers(0, 3, 500) << scoring.PLACE) + r.integers(0, 9, 500)
+    of, sums = scoring.sums_of(text, np.arange(500.0))
+    assert of.tolist() == sorted(set(text.tolist())) and sums.tolist() == [float(np.flatnonzero(text == x).sum()) for x in of.tolist()]
+    assert [len(x) for x in scoring.sums_of(text[:0], np.zeros(0))] == [0, 0]
