@@ -83,7 +83,13 @@ def usage_tree(spark, base):
 
 @query("SELECT user_id, CAST(round(sum(value)) AS BIGINT) AS units, median_n FROM events, (SELECT CAST(quantile_disc(n, 0.5) AS BIGINT) AS median_n FROM (SELECT count(*) AS n FROM events GROUP BY user_id)) GROUP BY user_id, median_n HAVING count(*) > median_n")
 def heavy_hosts(spark, base):
-    """Hosts with more visits than the median host, next to it."""
-    counts = Tables(spark, base).events.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value")).cast("long").alias("units"))
+    """Hosts with more visits than the median host, next to it.
+
+    A sum of doubles hangs on its order, and with it on which side of a half a host falls: values are added by event_id, so
+    neither files nor partitions change a row.
+    """
+    so_far = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = Tables(spark, base).events.select("user_id", F.count("*").over(so_far).alias("n"), F.sum("value").over(so_far).alias("units"))
+    counts = sums.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("units", "n")).cast("long").alias("units"))
     median = counts.agg(F.expr("percentile_disc(0.5) within group (order by n)").cast("long").alias("median_n"))
     return counts.crossJoin(F.broadcast(median)).where("n > median_n").select("user_id", "units", "median_n")
