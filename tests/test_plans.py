@@ -32,3 +32,8 @@ def test_no_nested_loops(spark, base, name):
 def test_top_lists(spark, base):
     assert "TakeOrderedAndProject" in plan(catalog.QUERIES["frontier_view"](spark, base))
     assert "WindowGroupLimit" in plan(catalog.QUERIES["host_caps"](spark, base))
+
+
+def test_no_sort_of_all_pairs(spark, base):
+    """The smallest of very many distances is taken by hash: to sort them fills the disk."""
+    assert "SortAggregate" not in plan(catalog.QUERIES["nearest_namesake"](spark, base))
