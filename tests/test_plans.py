@@ -5,6 +5,7 @@ import re
 import pytest
 
 from harvestry import catalog
+from harvestry.plans.spatial import near_spots
 
 
 def plan(df):
@@ -37,3 +38,10 @@ def test_top_lists(spark, base):
 def test_no_sort_of_all_pairs(spark, base):
     """The smallest of very many distances is taken by hash: to sort them fills the disk."""
     assert "SortAggregate" not in plan(catalog.QUERIES["nearest_namesake"](spark, base))
+
+
+def test_spots_are_measured_once(spark):
+    """Listings on one spot share a distance; rounding and sines are not done for each."""
+    a = spark.createDataFrame([(i, 48.0 + i % 2, 17.0) for i in range(50)], "id long, lat double, lon double")
+    near = near_spots(a, spark.createDataFrame([(1, 48.01, 17.01), (2, 48.02, 17.0), (3, 60.0, 17.0)], "town long, t_lat double, t_lon double"), 25.0)
+    assert sorted((r.lat, r.town) for r in near.collect()) == [(48.0, 1), (48.0, 2)]
