@@ -45,3 +45,10 @@ def test_spots_are_measured_once(spark):
     a = spark.createDataFrame([(i, 48.0 + i % 2, 17.0) for i in range(50)], "id long, lat double, lon double")
     near = near_spots(a, spark.createDataFrame([(1, 48.01, 17.01), (2, 48.02, 17.0), (3, 60.0, 17.0)], "town long, t_lat double, t_lon double"), 25.0)
     assert sorted((r.lat, r.town) for r in near.collect()) == [(48.0, 1), (48.0, 2)]
+
+
+def test_counts_need_no_pairs(spark, base):
+    """Listings near a town are summed by spots: no join brings in the listings themselves."""
+    p = plan(catalog.QUERIES["town_counts"](spark, base))
+    joins = [line for line in p.splitlines() if "Join" in line]
+    assert joins and not any(re.search(r"\bid#", line) for line in p.splitlines()) and "sum(n#" in p
