@@ -8,7 +8,7 @@ from zoneinfo import ZoneInfo
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from harvestry.functions import html as H
 from harvestry.functions import reading as R
@@ -137,14 +137,11 @@ def calendar_rows(spark, base):
     return spark.sql("SELECT o_custkey, title, start, end, place, href FROM calendar_pages, LATERAL calendar_rows(html, 'Etc/GMT-2')")
 
 
-@F.pandas_udf(StringType())
-def skeletons(pages: pd.Series) -> pd.Series:
-    return pages.map(H.skeleton, na_action="ignore")
-
-
-@F.pandas_udf(StringType())
-def own_texts(pages: pd.Series) -> pd.Series:
-    return pages.map(H.own_text, na_action="ignore")
+@F.pandas_udf(StructType([StructField("skeleton", StringType()), StructField("said", StringType())]))
+def shortened(pages: pd.Series) -> pd.DataFrame:
+    """Skeleton and own text of each page, from one tree; equal pages of a batch are read once."""
+    known = {p: H.shortened(p) for p in pages.dropna().unique()}
+    return pd.DataFrame([known.get(p, (None, None)) for p in pages], columns=["skeleton", "said"])
 
 
 @query("""WITH n AS (SELECT p_partkey, CAST(p_size AS INT) AS n FROM part) SELECT p_partkey, '<ul class="x">' || array_to_string(list_transform(range(1, 1 + CASE WHEN n > 10 THEN 8 ELSE n END), lambda i: '<li><a href="/' || i || '">Part ' || i || '</a></li>'), '') || CASE WHEN n > 10 THEN '<p>[' || (n - 8) || ' more]</p>' ELSE '' END || '</ul>' AS skeleton,
@@ -154,7 +151,7 @@ def page_skeletons(spark, base):
     item = lambda i: F.concat(F.lit('<li data-n="1"><a href="/'), i.cast("string"), F.lit('">Part '), i.cast("string"), F.lit("</a></li>"))
     items = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size")), item), "")
     page = F.concat(F.lit('<html><head><title>t</title></head><body><nav>menu</nav><div id="cookie-bar">ok?</div><ul class="x" style="y">'), items, F.lit("</ul><div> </div><script>1</script><footer>end</footer></body></html>"))
-    return Tables(spark, base).part.select("p_partkey", page.alias("page")).select("p_partkey", skeletons("page").alias("skeleton"), own_texts("page").alias("said"))
+    return Tables(spark, base).part.select("p_partkey", shortened(page).alias("s")).select("p_partkey", "s.skeleton", "s.said")
 
 
 #: A part's row as an older reading stored it: title, location, url; by the part's key.

@@ -191,3 +191,19 @@ def test_repairs():
         ((day(5), date(2033, 5, 5), None, None), (day(5), None, None, None)),
     ]:
         assert dates.tidy(*given_) == want
+
+
+def test_equal_pages_are_read_once(monkeypatch):
+    """Both texts of a page come from one tree, and a batch's equal pages are one page; null stays null."""
+    import pandas as pd
+
+    from harvestry.functions import html as H
+    from harvestry.plans.reading import shortened
+
+    read, parse = [], H.parse
+    monkeypatch.setattr(H, "parse", lambda h: read.append(h) or parse(h))
+    pages = ["<body><ul><li>a</li></ul><nav>m</nav></body>", "<p>b</p>", "", None]
+    got = shortened.func(pd.Series(pages * 3))
+    assert sorted(read) == sorted(pages[:3])
+    assert list(got["skeleton"][:3]) == [H.skeleton(p) for p in pages[:3]] and list(got["said"][:3]) == ["a", "b", ""]
+    assert got["skeleton"].isna().tolist() == [False, False, False, True] * 3
