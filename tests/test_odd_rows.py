@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from harvestry.functions import evidence, reading
 from harvestry.plans.evidence import LUNDIA
-from harvestry.plans.matching import best_matches, same_event_pairs
+from harvestry.plans.matching import best_matches, same_event_pairs, title_matches
 from harvestry.plans.orders import read_sitemaps
 from harvestry.plans.reading import CalendarRows
 from tests import fixtures as X
@@ -67,3 +67,12 @@ def test_a_run_without_an_end_has_few_buckets(spark):
     known = [(1, "a", "Copper fair", date(2031, 6, 1), date(9999, 12, 31), *other), (2, "b", "Copper fair", date(2031, 6, 2), None, *other), (3, "c", "Copper fair", date(2031, 6, 30), None, *other)]
     got = same_event_pairs(spark.createDataFrame(known, X.SIGHTINGS.columns), [])
     assert {(r.a, r.b) for r in got.where(F.col("score") > 0).collect()} == {(1, 2)}
+
+
+def test_titles_are_compared_once(spark):
+    """More sightings of the same titles compare no more titles; the best match is the copy."""
+    once = X.SIGHTINGS.frame(spark)
+    twice = once.union(once.withColumn("id", F.col("id") + 100))
+    assert title_matches(once, X.TOWNS, 6)[0].count() == title_matches(twice, X.TOWNS, 6)[0].count()
+    best = best_matches(same_event_pairs(twice, X.TOWNS))
+    assert {r.id: r.best for r in best.collect()}[4] == 104
